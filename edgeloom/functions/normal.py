@@ -59,17 +59,23 @@ def _poly(x: Column, coefficients: list[float]) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
-def erfc(x: Column) -> Column:
-    """Complementary error function, accurate in the far tail."""
-    y = F.abs(x)
+def _erfc_positive(y: Column) -> Column:
     near = 1.0 - y * _poly(y * y, _ERF_P) / _poly(y * y, _ERF_Q)
     mid = F.exp(-y * y) * _poly(y, _MID_P) / _poly(y, _MID_Q)
-    y_far = F.greatest(y, F.lit(1.0))  # keeps the unused branch finite at 0
-    w = 1.0 / (y_far * y_far)
-    far = (F.exp(-y * y) / y_far) * (
+    w = 1.0 / F.greatest(y * y, F.lit(1.0))  # keeps the unused branch finite at 0
+    far = F.exp(-y * y) / F.greatest(y, F.lit(1.0)) * (
         F.lit(1.0 / math.sqrt(math.pi)) - w * _poly(w, _FAR_P) / _poly(w, _FAR_Q)
     )
-    positive = F.when(y <= 0.46875, near).when(y <= 4.0, mid).when(y < 27.5, far).otherwise(0.0)
+    return F.when(y <= 0.46875, near).when(y <= 4.0, mid).when(y < 27.5, far).otherwise(0.0)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function, accurate in the far tail.
+
+    The expression refers to ``x`` many times: name a long input with
+    ``withColumn`` first.
+    """
+    positive = _erfc_positive(F.abs(x))
     return F.when(x >= 0, positive).otherwise(2.0 - positive)
 
 
@@ -84,7 +90,7 @@ def norm_cdf(z: Column) -> Column:
 
 def two_sided_p(z: Column) -> Column:
     """``P(|N(0,1)| >= |z|)``."""
-    return erfc(F.abs(z) / math.sqrt(2.0))
+    return _erfc_positive(F.abs(z) / math.sqrt(2.0))
 
 
 def norm_ppf(u: Column) -> Column:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.graph import components, degree
+from edgeloom.operators.graph import components
 from edgeloom.operators.matrix import symmetrise
 from edgeloom.session import checkpointed
 
@@ -64,34 +64,36 @@ def _merge_component(edges: pd.DataFrame, m: float) -> dict[int, int]:
     return {int(nodes[k]): first[owner[k]] for k in range(n)}
 
 
-def greedy_modularity(edges: DataFrame, p: int) -> DataFrame:
-    """``node, community`` by greedy modularity (Clauset, Newman and Moore 2004).
-
-    Communities of different components never merge and do not affect each
-    other's gains, so every component is an independent task. A component too
-    large for a task is merged step by step with joins.
-    """
-    spark = edges.sparkSession
+def _by_component(edges: DataFrame, p: int, small_task, by_joins) -> DataFrame:
+    """Partition every component in its own task, components too large for one by joins."""
     comp = checkpointed(components(edges, p))
-    m = float(edges.count())
-    if m == 0:
-        return comp.select("node", F.col("node").alias("community"))
-    keyed = edges.select("i", "j").join(comp.withColumnRenamed("node", "i"), "i")
+    keyed = checkpointed(edges.select("i", "j").join(comp.withColumnRenamed("node", "i"), "i"))
     sizes = keyed.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
     big = sizes.filter(F.col("c") > MAX_COMPONENT_EDGES).select("component")
-    small = keyed.join(big, "component", "left_anti")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _merge_component(pdf, m)
+        found = small_task(pdf)
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
-    part = small.groupBy("component").applyInPandas(run, "node INT, community INT")
+    part = keyed.join(big, "component", "left_anti").groupBy("component").applyInPandas(
+        run, "node INT, community INT")
     if not big.isEmpty():
-        part = part.unionByName(_merge_by_joins(keyed.join(big, "component"), m))
+        part = part.unionByName(by_joins(keyed.join(big, "component")))
     return comp.join(part, "node", "left").select(
         "node", F.coalesce("community", "node").alias("community"))
 
 
+def greedy_modularity(edges: DataFrame, p: int) -> DataFrame:
+    """``node, community`` by greedy modularity (Clauset, Newman and Moore 2004).
+
+    Communities of different components never merge and do not affect each
+    other's gains, so every component is an independent task. A component too
+    large for a task is merged step by step with joins.
+    """
+    m = float(edges.count())
+    return _by_component(edges, p, lambda pdf: _merge_component(pdf, m), lambda big: _merge_by_joins(big, m))
+
+
 def _merge_by_joins(edges: DataFrame, m: float) -> DataFrame:
     """The same merging for large components, one merge per component and step."""
     unit = 1.0 / (2.0 * m)
@@ -127,16 +129,48 @@ def _merge_by_joins(edges: DataFrame, m: float) -> DataFrame:
         member = checkpointed(renamed(member, "community"))
 
 
+def _propagate_component(pdf: pd.DataFrame) -> dict[int, int]:
+    """Semi-synchronous label propagation of one component."""
+    nbrs: dict[int, list[int]] = {}
+    for i, j in pdf[["i", "j"]].itertuples(index=False):
+        nbrs.setdefault(int(i), []).append(int(j))
+        nbrs.setdefault(int(j), []).append(int(i))
+    colour: dict[int, int] = {}
+    for v in sorted(nbrs, key=lambda k: (-len(nbrs[k]), k)):
+        used = {colour[u] for u in nbrs[v] if u in colour}
+        colour[v] = next(c for c in range(len(used) + 1) if c not in used)
+    shades = [[v for v in nbrs if colour[v] == c] for c in range(max(colour.values()) + 1)]
+    label = {v: v for v in nbrs}
+    moved = True
+    while moved:
+        moved = False
+        for shade in shades:
+            for v in shade:  # no two nodes of a shade are neighbours
+                seen, votes = np.unique([label[u] for u in nbrs[v]], return_counts=True)
+                best = seen[votes == votes.max()]
+                if label[v] not in best:
+                    label[v], moved = int(best.max()), True
+    first: dict[int, int] = {}
+    for v in sorted(label):
+        first.setdefault(label[v], v)
+    return {v: first[c] for v, c in label.items()}
+
+
 def label_propagation(edges: DataFrame, p: int) -> DataFrame:
     """``node, community`` by semi-synchronous label propagation (Cordasco and Gargano 2010).
 
     Nodes are coloured so that neighbours differ; the nodes of one colour
     update together. A node keeps its label if it is among the most frequent
-    of its neighbours, otherwise it takes the largest of those. Every step is a
-    join and two aggregations, so the graph may have any size.
+    of its neighbours, otherwise it takes the largest of those.
     """
+    return _by_component(edges, p, _propagate_component, _propagate_by_joins)
+
+
+def _propagate_by_joins(edges: DataFrame) -> DataFrame:
+    """The same updates for large components: every step is a join and two aggregations."""
     links = checkpointed(symmetrise(edges.select("i", "j"), []))
-    colour = checkpointed(_greedy_colours(links, degree(edges, p)))
+    degrees = links.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    colour = checkpointed(_greedy_colours(links, degrees))
     label = checkpointed(colour.select("node", F.col("node").alias("label")))
     shades = [r[0] for r in colour.select("colour").distinct().orderBy("colour").collect()]
     while True:

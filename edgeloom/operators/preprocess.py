@@ -61,7 +61,8 @@ def npn_long(long: DataFrame, n: int, truncation: float | None = None,
     delta = truncation_level(n) if truncation is None else truncation
     ranked = average_rank(long, "value", ["var_id"], n, rows_per_slice=rows_per_slice)
     u = F.greatest(F.lit(delta), F.least(F.lit(1.0 - delta), F.col("rank") / (n + 1.0)))
-    return ranked.select("row_id", "var_id", norm_ppf(u).alias("value"))
+    # named first: the quantile expression refers to u many times
+    return ranked.withColumn("_u", u).select("row_id", "var_id", norm_ppf(F.col("_u")).alias("value"))
 
 
 def npn_shrinkage(samples: DataFrame, truncation: float | None = None,

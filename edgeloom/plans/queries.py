@@ -171,7 +171,7 @@ def edge_zscores_dof(spark, sf):
 
 
 def edge_pvalues(spark, sf):
-    return _fit(spark, sf).result_.edges.select("i", "j", rnd("p_value", 7))
+    return _fit(spark, sf).result_.edges.select("i", "j", rnd("p_value", 6))
 
 
 def fdr_bh(spark, sf):
@@ -593,11 +593,12 @@ def _tested_graph(spark, sf):
     g = inputs.correlation_graph(spark, sf)
     n = inputs.table(spark, sf, "embeddings").agg(F.count(F.lit(1)).cast("double")).scalar()
     z = F.round(F.atanh("corr") * F.sqrt(n - 3.0), 9)
-    return g.withColumn("p_value", two_sided_p(z))
+    return g.withColumn("z", z).withColumn("p_value", two_sided_p(F.col("z")))
 
 
 def _significant(spark, sf):
-    return _tested_graph(spark, sf).filter("p_value > 1e-7 and p_value < 0.02")
+    tested = inference.fdr_control(_tested_graph(spark, sf), 0.05, "BH", P * (P - 1) // 2)
+    return tested.filter("is_edge = 1 and p_value > 1e-7").select("i", "j", "p_value")
 
 
 def correlation_pvalues(spark, sf):
