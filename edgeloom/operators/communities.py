@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators.graph import components
 from edgeloom.operators.matrix import symmetrise
-from edgeloom.session import checkpointed
+from edgeloom.session import checkpointed, spread
 
 ALGORITHMS = ("greedy_modularity", "label_propagation")
 MAX_COMPONENT_EDGES = 2_000_000  # larger components are merged by joins
@@ -75,7 +75,7 @@ def _by_component(edges: DataFrame, p: int, small_task, by_joins) -> DataFrame:
         found = small_task(pdf)
         return pd.DataFrame({"node": list(found), "community": list(found.values())})
 
-    part = keyed.join(big, "component", "left_anti").groupBy("component").applyInPandas(
+    part = spread(keyed.join(big, "component", "left_anti"), "component").groupBy("component").applyInPandas(
         run, "node INT, community INT")
     if not big.isEmpty():
         part = part.unionByName(by_joins(keyed.join(big, "component")))

@@ -21,7 +21,7 @@ from edgeloom.operators.matrix import MAX_DENSE_P, check_dense
 from edgeloom.operators.metrics import NAN, normalised_score, top_k_recall
 from edgeloom.operators.preprocess import dense_from_edges
 from edgeloom.operators.prefix import average_rank
-from edgeloom.session import checkpointed
+from edgeloom.session import checkpointed, spread
 
 
 def dense_laplacian(a: np.ndarray, normalised: bool = False) -> np.ndarray:
@@ -76,7 +76,7 @@ def diffuse(graphs: DataFrame, p: int, delta: np.ndarray, t_grid, normalised: bo
         return pd.DataFrame({"graph": pdf["graph"].iloc[0], "node": nodes.ravel(),
                              "t_idx": steps.ravel(), "t": times[steps.ravel()], "s": s.ravel()})
 
-    return graphs.select("graph", "i", "j").groupBy("graph").applyInPandas(
+    return spread(graphs.select("graph", "i", "j"), "graph").groupBy("graph").applyInPandas(
         run, "graph STRING, node INT, t_idx INT, t DOUBLE, s DOUBLE"
     )
 

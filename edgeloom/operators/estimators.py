@@ -16,10 +16,11 @@ from edgeloom.operators.gram import (
     Stats, assemble, collect_keyed_stats, collect_stats, matrix_edges, merge, stat_blocks,
 )
 from edgeloom.operators.kernels import (
-    admm_glasso, gaussian_score, glasso, lasso_nodes, residual_variance,
+    gaussian_score, glasso, lasso_nodes, residual_variance,
 )
 from edgeloom.operators.matrix import MAX_DENSE_P, check_dense, pair_grid, width
 from edgeloom.operators.sampling import with_folds, with_subsets
+from edgeloom.session import spread
 
 
 def fan_out(spark, p: int) -> DataFrame:
@@ -117,7 +118,7 @@ class DesparifiedGGM:
         nodes = inf.floor_residuals(raw.select("i", "tau2", "nnz"))
         edges = inf.precision_edges(
             nodes, beta_table(raw), n, p, self.dof_correction, self.variance
-        )
+        ).persist()  # adjacency, scores and intervals all read it
         self.beta_ = beta_table(raw)
         self.result_ = GGMInferenceResult(edges, nodes, n, p)
         return self
@@ -155,6 +156,10 @@ class DesparifiedGGM:
     def scores(self) -> DataFrame:
         return self._fitted().edges.select("i", "j", F.abs("z").alias("score"))
 
+    def assessed(self, alpha: float = 0.05) -> DataFrame:
+        """Every pair with ``is_edge`` and ``score``."""
+        return self.get_adjacency(alpha).select("i", "j", "is_edge", F.abs("z").alias("score"))
+
     def confidence_intervals(self, alpha: float = 0.05, method: str = "asymptotic",
                              X: DataFrame | None = None, n_splits: int = 25,
                              seed: int = 0) -> DataFrame:
@@ -212,6 +217,10 @@ class _PrecisionEstimator:
     def scores(self) -> DataFrame:
         return self.precision_.select("i", "j", F.abs("omega").alias("score"))
 
+    def assessed(self, alpha: float = 0.05) -> DataFrame:
+        """Every pair with ``is_edge`` and ``score`` (``alpha`` does not apply)."""
+        return self.get_adjacency().select("i", "j", "is_edge", F.abs("omega").alias("score"))
+
     def value_edges(self) -> DataFrame:
         return self.precision_.select("i", "j", F.abs("omega").alias("value"))
 
@@ -279,7 +288,7 @@ class SklearnGLasso(_PrecisionEstimator):
                     out = []
                     for f, a in zip(pdf["fold"], pdf["alpha"]):
                         train_cov, test_cov = table[int(f)]
-                        theta = glasso(train_cov, float(a), max_iter=max_iter)
+                        theta = glasso(train_cov, float(a), max_iter=max_iter)[0]
                         out.append(gaussian_score(test_cov, theta))
                     yield pdf.assign(score=out)
 
@@ -301,7 +310,7 @@ class SklearnGLasso(_PrecisionEstimator):
             self.alpha_ = alphas[best]
             grid = _refined(alphas, best, last_finite, self.n_alphas)
         self.cv_scores_ = score
-        self.precision_matrix = glasso(cov, self.alpha_, max_iter=max_iter)
+        self.precision_matrix = glasso(cov, self.alpha_, max_iter=max_iter)[0]
         return self
 
     def keyed_values(self, keyed: DataFrame, p: int) -> DataFrame:
@@ -318,7 +327,7 @@ class GGLassoEstimator(_PrecisionEstimator):
     def fit(self, samples: DataFrame) -> "GGLassoEstimator":
         self._spark = samples.sparkSession
         stats = collect_stats(samples)
-        self.precision_matrix = glasso(stats.covariance(ddof=1), self.lambda1)
+        self.precision_matrix = glasso(stats.covariance(ddof=1), self.lambda1)[0]
         return self
 
     def keyed_values(self, keyed: DataFrame, p: int) -> DataFrame:
@@ -329,12 +338,12 @@ def _keyed_glasso(keyed: DataFrame, p: int, lam: float, ddof: int) -> DataFrame:
     check_dense(p, "a graphical lasso per group")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        theta = glasso(assemble(pdf).covariance(ddof), lam)
+        theta = glasso(assemble(pdf).covariance(ddof), lam)[0]
         i, j = np.triu_indices(p, k=1)
         return pd.DataFrame({"key": int(pdf["key"].iloc[0]), "i": i, "j": j,
                              "value": np.abs(theta[i, j])})
 
-    return stat_blocks(keyed, p, keyed=True).groupBy("key").applyInPandas(
+    return spread(stat_blocks(keyed, p, keyed=True), "key").groupBy("key").applyInPandas(
         fit, "key INT, i INT, j INT, value DOUBLE"
     )
 
@@ -382,18 +391,18 @@ class PIGLassoEstimator:
             start, parts = None, []
             upper = np.triu(np.ones((p, p), bool), 1)
             for k, lam in enumerate(grid):
-                theta, omega, ok = admm_glasso(s, float(lam), weight, start)
+                theta, dual, ok = glasso(s, float(lam), weight, start, 500, 1e-5, 1e-4)
                 parts.append(pd.DataFrame({"lam_idx": [k], "ok": [int(ok)], "i": [-1], "j": [-1]}))
                 if not ok:
                     continue
                 i, j = np.nonzero((np.abs(theta) > eps) & upper)
                 parts.append(pd.DataFrame({"lam_idx": k, "ok": 1, "i": i, "j": j}))
-                start = omega
+                start = (theta, dual)
             out = pd.concat(parts, ignore_index=True)
             out.insert(0, "sub_id", int(pdf["key"].iloc[0]))
             return out
 
-        return stat_blocks(keyed, p, keyed=True).groupBy("key").applyInPandas(
+        return spread(stat_blocks(keyed, p, keyed=True), "key").groupBy("key").applyInPandas(
             path, "sub_id INT, lam_idx INT, ok INT, i INT, j INT"
         )
 
@@ -430,6 +439,10 @@ class PIGLassoEstimator:
     def scores(self) -> DataFrame:
         return self.precision_.select("i", "j", F.col("omega").alias("score"))
 
+    def assessed(self, alpha: float = 0.05) -> DataFrame:
+        """Every pair with ``is_edge`` and ``score`` (``alpha`` does not apply)."""
+        return self.get_adjacency().select("i", "j", "is_edge", F.col("stability").alias("score"))
+
 
 def penalty_mask(prior: DataFrame, p: int, weight: float) -> np.ndarray:
     """Per-pair penalty multiplier ``clip(1 - weight * prior, 0.1, 1)``."""

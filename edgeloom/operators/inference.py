@@ -15,6 +15,7 @@ from edgeloom.operators.kernels import nodewise_precision
 from edgeloom.operators.matrix import check_dense, pair_grid, width
 from edgeloom.operators.prefix import ROWS_PER_SLICE, lookup, running
 from edgeloom.operators.sampling import with_subsets
+from edgeloom.session import spread
 
 METHODS = {"BH": "BH", "bh": "BH", "BY": "BY", "by": "BY"}
 
@@ -185,7 +186,7 @@ def keyed_precision(samples: DataFrame, p: int, lambda_scale: float = 1.0,
             {"key": int(pdf["key"].iloc[0]), "i": i, "j": j, "omega": w, "variance": v, "z": z}
         )
 
-    return stat_blocks(samples, p, keyed=True).groupBy("key").applyInPandas(
+    return spread(stat_blocks(samples, p, keyed=True), "key").groupBy("key").applyInPandas(
         fit, "key INT, i INT, j INT, omega DOUBLE, variance DOUBLE, z DOUBLE"
     )
 

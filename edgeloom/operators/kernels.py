@@ -79,19 +79,18 @@ def soft(a: np.ndarray, t) -> np.ndarray:
 
 
 def admm_glasso(s: np.ndarray, lam: float, mask: np.ndarray | None = None,
-                start: np.ndarray | None = None, max_iter: int = 500, tol: float = 1e-5,
-                rtol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, bool]:
+                start: tuple[np.ndarray, np.ndarray] | None = None, max_iter: int = 500,
+                tol: float = 1e-5, rtol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, bool]:
     """Graphical lasso by ADMM (Boyd et al. 2011), off-diagonal penalty only.
 
-    Returns the sparse iterate, the positive-definite iterate and whether the
-    residual test was met. The step size follows residual balancing.
+    ``start`` is a pair (matrix, multiplier) of a neighbouring problem. Returns
+    the sparse iterate, the unscaled multiplier and whether the residual test
+    was met. The step size follows residual balancing.
     """
     p = s.shape[0]
     weight = lam * (mask if mask is not None else 1.0) * (1.0 - np.eye(p))
-    theta = np.eye(p) if start is None else start.copy()
-    dual = np.zeros((p, p))
+    theta, dual = (np.eye(p), np.zeros((p, p))) if start is None else (start[0].copy(), start[1].copy())
     rho = 1.0
-    omega = theta
     for _ in range(max_iter):
         d, v = np.linalg.eigh(theta - dual - s / rho)
         omega = (v * ((d + np.sqrt(d * d + 4.0 / rho)) / 2.0)) @ v.T
@@ -103,12 +102,12 @@ def admm_glasso(s: np.ndarray, lam: float, mask: np.ndarray | None = None,
         eps_p = p * tol + rtol * max(np.linalg.norm(omega), np.linalg.norm(theta))
         eps_d = p * tol + rtol * rho * np.linalg.norm(dual)
         if primal <= eps_p and shift <= eps_d:
-            return theta, omega, True
+            return theta, rho * dual, True
         if primal > 10.0 * shift:
             rho, dual = rho * 2.0, dual / 2.0
         elif shift > 10.0 * primal:
             rho, dual = rho / 2.0, dual * 2.0
-    return theta, omega, False
+    return theta, rho * dual, False
 
 
 def components_of(adj: np.ndarray) -> np.ndarray:
@@ -127,31 +126,34 @@ def components_of(adj: np.ndarray) -> np.ndarray:
     return label
 
 
-def glasso(s: np.ndarray, lam: float, start: np.ndarray | None = None, max_iter: int = 2000,
-           tol: float = 1e-8) -> np.ndarray:
-    """Graphical lasso precision, solved per block of the screened covariance.
+def glasso(s: np.ndarray, lam: float, mask: np.ndarray | None = None,
+           start: tuple[np.ndarray, np.ndarray] | None = None, max_iter: int = 2000,
+           tol: float = 1e-8, rtol: float = 1e-8) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Graphical lasso, solved per block of the screened covariance.
 
-    Variables that are not connected by ``|s_ij| > lam`` have an exactly
-    block-diagonal solution (Mazumder and Hastie 2012), so each block is solved
-    by itself and isolated variables in closed form.
+    Variables that are not connected by ``|s_ij| > lam * mask_ij`` have an
+    exactly block-diagonal solution (Mazumder and Hastie 2012), so each block
+    is solved by itself and isolated variables in closed form. Returns the
+    precision, the multiplier (a warm start) and convergence of every block.
     """
     p = s.shape[0]
-    linked = np.abs(s) > lam
+    linked = np.abs(s) > lam * (mask if mask is not None else 1.0)
     np.fill_diagonal(linked, False)
     label = components_of(linked)
-    out = np.zeros((p, p))
+    out, dual, good = np.zeros((p, p)), np.zeros((p, p)), True
     for c in np.unique(label):
         idx = np.flatnonzero(label == c)
-        block = np.ix_(idx, idx)
         if len(idx) == 1:
-            out[idx[0], idx[0]] = 1.0 / s[idx[0], idx[0]] if s[idx[0], idx[0]] > 0 else 0.0
+            k = idx[0]
+            out[k, k] = 1.0 / s[k, k] if s[k, k] > 0 else 0.0
             continue
-        theta, _, _ = admm_glasso(
-            s[block], lam, start=None if start is None else start[block],
-            max_iter=max_iter, tol=tol, rtol=tol,
-        )
-        out[block] = (theta + theta.T) / 2.0
-    return out
+        block = np.ix_(idx, idx)
+        theta, u, ok = admm_glasso(
+            s[block], lam, None if mask is None else mask[block],
+            None if start is None else (start[0][block], start[1][block]), max_iter, tol, rtol)
+        out[block], dual[block] = (theta + theta.T) / 2.0, u
+        good = good and ok
+    return out, dual, good
 
 
 def gaussian_score(cov: np.ndarray, precision: np.ndarray) -> float:

@@ -37,6 +37,16 @@ def scored_pairs(predicted: DataFrame, truth: DataFrame, p: int,
     )
 
 
+def assess(assessed: DataFrame, truth: DataFrame, p: int) -> DataFrame:
+    """Metrics from one table that already holds every pair with ``is_edge`` and ``score``."""
+    label = F.col("label").cast("int") if "label" in truth.columns else F.lit(1)
+    true = truth.select("i", "j", label.alias("_t")).filter("i < j")
+    pairs = assessed.join(true, ["i", "j"], "left").select(
+        "i", "j", F.col("is_edge").cast("int").alias("pred"),
+        F.coalesce("_t", F.lit(0)).alias("truth"), "score")
+    return evaluate(pairs, rows=p * (p - 1) // 2)
+
+
 def _ratio(a, b):
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 

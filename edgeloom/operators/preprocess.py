@@ -14,6 +14,7 @@ from edgeloom.functions.normal import norm_ppf
 from edgeloom.operators.gram import Stats, collect_stats, correlation_edges, matrix_edges
 from edgeloom.operators.matrix import check_dense, to_long, to_wide, width
 from edgeloom.operators.prefix import ROWS_PER_SLICE, average_rank
+from edgeloom.session import spread
 
 
 def column_stats(samples: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def kendall_edges(samples: DataFrame, p: int | None = None, n: int | None = None
                     out.append((i, j, _tau(conc - disc, len(grid), ties[i], ties[j])))
         return pd.DataFrame(out, columns=["i", "j", "tau"])
 
-    return routed.groupBy("ba", "bb").applyInPandas(count, "i INT, j INT, tau DOUBLE")
+    return spread(routed, "ba", "bb").groupBy("ba", "bb").applyInPandas(count, "i INT, j INT, tau DOUBLE")
 
 
 def _kendall_binned(samples: DataFrame, p: int, n: int, rows_per_task: int) -> DataFrame:

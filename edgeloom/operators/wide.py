@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators.gram import gram_rows
 from edgeloom.operators.kernels import lasso_nodes
-from edgeloom.session import checkpointed
+from edgeloom.session import checkpointed, spread
 
 GROW = 64  # candidates added to a working set per round
 _STATE = "i INT, gii DOUBLE, tau2 DOUBLE, idx ARRAY<INT>, val ARRAY<DOUBLE>, add ARRAY<INT>"
@@ -100,7 +100,7 @@ def fit_nodes_by_active_set(samples: DataFrame, p: int, penalty_of, standardise:
     while True:
         asked = checkpointed(want.unionByName(todo).distinct())
         fitted = checkpointed(
-            asked.join(rows.select(F.col("i").alias("k"), "x"), "k")
+            spread(asked.join(rows.select(F.col("i").alias("k"), "x"), "k"), "node")
             .groupBy("node").applyInPandas(_solver(lam, max_iter, tol), _STATE))
         ready = fitted.filter(F.size("add") == 0)
         done = ready if done is None else done.unionByName(ready)

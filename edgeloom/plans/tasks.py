@@ -40,15 +40,9 @@ def run_single(cls: type, kwargs: dict, name: str, samples: DataFrame, truth: Da
     start = time.perf_counter()
     try:
         est = cls(**kwargs).fit(samples)
-        if isinstance(est, estimators.DesparifiedGGM) or hasattr(est, "result_"):
-            predicted = est.get_adjacency(alpha=alpha)
-        elif isinstance(est, estimators.PIGLassoEstimator):
-            predicted = est.get_adjacency()  # a zero cut would call every pair
-        elif hasattr(est, "precision_"):
-            predicted = est.get_adjacency(threshold=0.0)
-        else:
-            raise AttributeError("the estimator has neither result_ nor precision_")
-        got = metrics.evaluate_predictions(predicted, truth, width(samples), est.scores()).first()
+        if not hasattr(est, "assessed"):
+            raise AttributeError("the estimator has no assessed() table of pairs")
+        got = metrics.assess(est.assessed(alpha), truth, width(samples)).first()
         row.update(got.asDict())
     except Exception:
         row["error"] = traceback.format_exc()
@@ -111,11 +105,7 @@ def replicate_seed(topology: str, rep: int, seed_offset: int = 0) -> int:
 def fit_and_score(est, prior, samples: DataFrame, truth: DataFrame, p: int, alpha: float) -> dict:
     start = time.perf_counter()
     est = est.fit(samples) if prior is None else est.fit(samples, prior)
-    if isinstance(est, estimators.DesparifiedGGM):
-        adj = est.get_adjacency(alpha)
-    else:
-        adj = est.get_adjacency()
-    row = metrics.evaluate_predictions(adj, truth, p, est.scores()).first().asDict()
+    row = metrics.assess(est.assessed(alpha), truth, p).first().asDict()
     row["wall_seconds"] = time.perf_counter() - start
     return row
 

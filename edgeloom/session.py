@@ -52,3 +52,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage into reliable storage (never executor-local blocks)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` over all cores, before a compute-heavy group task.
+
+    Adaptive execution merges small shuffle partitions by their bytes; groups
+    that are small but expensive would then run one after another. A stated
+    partition count is left alone.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
