@@ -206,7 +206,8 @@ class _PrecisionEstimator:
     @property
     def precision_(self) -> DataFrame:
         """Edge table ``i, j, omega``."""
-        return matrix_edges(self._spark, self._matrix(), "omega")
+        matrix = self._matrix()
+        return matrix_edges(self._spark, matrix, "omega")
 
     def get_adjacency(self, threshold: float = 0.0) -> DataFrame:
         """``i, j, omega, is_edge`` with ``|omega| > threshold``."""
