@@ -81,44 +81,51 @@ def diffuse(graphs: DataFrame, p: int, delta: np.ndarray, t_grid, normalised: bo
     )
 
 
+def _poisson(k: int, mu: float) -> float:
+    if mu == 0:
+        return 1.0 if k == 0 else 0.0
+    log = k * math.log(mu) - mu - math.lgamma(k + 1)
+    return math.exp(log) if log > -700 else 0.0
+
+
 def _diffuse_by_series(graphs: DataFrame, p: int, delta: np.ndarray, times: np.ndarray,
                        normalised: bool) -> DataFrame:
     """Uniformisation: ``exp(-tL) d = sum_k Poisson(k; ct) (I - L/c)^k d``.
 
     The powers do not depend on t, so one sparse product per term serves the
-    whole time grid. Lineage is cut every few products.
+    whole time grid; the sums for all times travel with the node.
     """
     spark = graphs.sparkSession
     names = [r["graph"] for r in graphs.select("graph").distinct().collect()]
+    t_grid = F.array(*[F.lit(float(t)) for t in times])
     out = None
     for name in names:
         edges = graphs.filter(F.col("graph") == name).select("i", "j")
         lap = checkpointed(laplacian(edges, p, normalised))
         c = 2.0 if normalised else 2.0 * degree(edges, p).agg(F.max("degree")).first()[0]
-        mu = c * float(times.max())
-        terms = int(mu + 12.0 * math.sqrt(mu) + 30)
-        v = spark.createDataFrame(
-            pd.DataFrame({"node": np.arange(p, dtype=np.int32), "v": delta})
-        )
-        acc = None
-        for k in range(terms + 1):
-            logs = [-c * t + (k * math.log(c * t) if t > 0 else (0.0 if k == 0 else -math.inf))
-                    - math.lgamma(k + 1) for t in times]
-            w = F.array(*[F.lit(math.exp(x) if x > -700 else 0.0) for x in logs])
-            part = v.select("node", F.transform(w, lambda x: x * F.col("v")).alias("s"))
-            acc = part if acc is None else acc.join(part.withColumnRenamed("s", "q"), "node").select(
-                "node", F.zip_with("s", "q", lambda a, b: a + b).alias("s"))
-            step = (
-                lap.join(v.withColumnRenamed("node", "j"), "j").groupBy("i")
+        top = c * float(times.max())
+        last = int(top)
+        while _poisson(last, top) > 1e-18:
+            last += 1
+
+        def weights(k: int):
+            return F.array(*[F.lit(_poisson(k, c * float(t))) for t in times])
+
+        start = spark.createDataFrame(pd.DataFrame({"node": np.arange(p, dtype=np.int32), "v": delta}))
+        state = start.withColumn("s", F.transform(weights(0), lambda w: w * F.col("v")))
+        for k in range(1, last + 1):
+            product = (
+                lap.join(state.select(F.col("node").alias("j"), "v"), "j").groupBy(F.col("i").alias("node"))
                 .agg(F.sum(F.col("l") * F.col("v")).alias("lv"))
             )
-            v = v.join(step, F.col("node") == F.col("i"), "left").select(
-                "node", (F.col("v") - F.coalesce("lv", F.lit(0.0)) / c).alias("v"))
-            if k % 8 == 7:
-                v, acc = checkpointed(v), checkpointed(acc)
-        tg = F.array(*[F.lit(float(t)) for t in times])
-        rows = acc.select(F.lit(name).alias("graph"), "node", F.posexplode("s").alias("t_idx", "s")).select(
-            "graph", "node", "t_idx", F.element_at(tg, F.col("t_idx") + 1).alias("t"), "s")
+            moved = state.join(product, "node", "left").select(
+                "node", (F.col("v") - F.coalesce("lv", F.lit(0.0)) / c).alias("v"), "s")
+            # the state is read twice by the next term, so it is stored after each
+            state = checkpointed(moved.select(
+                "node", "v", F.zip_with("s", weights(k), lambda s, w: s + w * F.col("v")).alias("s")))
+        rows = state.select("node", F.posexplode("s").alias("t_idx", "s")).select(
+            F.lit(name).alias("graph"), "node", "t_idx",
+            F.element_at(t_grid, F.col("t_idx") + 1).alias("t"), "s")
         out = rows if out is None else out.unionByName(rows)
     return out
 

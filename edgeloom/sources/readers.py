@@ -101,7 +101,7 @@ def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
 def read_gene_order(spark: SparkSession, path: str) -> DataFrame:
     """``var_id, var_name``: the position of each name among the non-blank lines."""
     text = spark.read.text(path, wholetext=True)
-    names = F.filter(F.transform(F.split("value", "\n"), F.trim), lambda s: s != "")
+    names = F.filter(F.transform(F.split("value", "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return text.select(F.posexplode(names).alias("var_id", "var_name"))
 
 
