@@ -287,7 +287,7 @@ am AS (SELECT list(r ORDER BY node) AS m FROM rw),
 pw(k, x, gap) AS (SELECT 0, list_transform(range({P}), lambda z: 1.0::DOUBLE/{P}), 1e9::DOUBLE
   UNION ALL SELECT k+1, list_transform(y, lambda a: a/nrm), list_sum(list_transform(range({P}), lambda z: abs(y[z+1]/nrm-x[z+1]))) FROM (
     SELECT k, x, y, sqrt(list_inner_product(y,y)) AS nrm FROM (SELECT k, x, list_transform(range({P}), lambda z: list_inner_product(m[z+1], x)) AS y FROM pw, am WHERE gap>={P}*1e-6 AND k<1000)))""",
-        f"SELECT node, {r('x[node+1]',7,'score')} FROM nodes, (SELECT x FROM pw ORDER BY k DESC LIMIT 1)", True),
+        f"SELECT node, {r(f'CASE WHEN gap<{P}*1e-6 THEN x[node+1] ELSE degree::DOUBLE END',7,'score')} FROM dg, (SELECT x, gap FROM pw ORDER BY k DESC LIMIT 1)", True),
     "modularity_score": q(graph() + ", mm AS (SELECT count(*)::DOUBLE AS m FROM g)",
         f"SELECT {r('sum(((u IS NOT NULL)::INT - a.degree*b.degree/(2*m)))/(2*min(m))',8,'modularity')} FROM dg a JOIN dg b ON a.node//8=b.node//8 LEFT JOIN bo ON u=a.node AND v=b.node, mm"),
     "community_sets": q(graph(0.8) + """, rc(node, c) AS (SELECT node, node FROM nodes UNION SELECT bo.v, rc.c FROM rc JOIN bo ON bo.u=rc.node),
