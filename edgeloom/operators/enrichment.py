@@ -352,14 +352,17 @@ def from_adjacency(edges: DataFrame, variables: DataFrame, terms: DataFrame, p:
         ranked = ranked_genes(edges, variables, p, rank_method)
         return [EnrichmentResult("ranked_genes", level, backend, "prerank", prerank(ranked, used),
                                  ranked.select("gene"), None, meta)]
+
+    def labelled(hubs: DataFrame, name: str) -> DataFrame:
+        # scores are never negative; a plain literal would fold the join keys away
+        return hubs.select(F.when(F.col("score") >= 0, name).alias("set_name"), "gene")
+
     if extraction == "community":
         sets = community_gene_sets(detect(edges, p, community_algorithm), variables)
     elif extraction == "prerank":
-        sets = hub_genes(edges, variables, p, "degree", 0.5).select(
-            F.lit("hub_genes_fallback").alias("set_name"), "gene")
+        sets = labelled(hub_genes(edges, variables, p, "degree", 0.5), "hub_genes_fallback")
     else:
-        sets = hub_genes(edges, variables, p, centrality, hub_quantile).select(
-            F.lit("hub_genes").alias("set_name"), "gene")
+        sets = labelled(hub_genes(edges, variables, p, centrality, hub_quantile), "hub_genes")
     tested = ora(sets, used, background)
     names = sorted(r[0] for r in sets.select("set_name").distinct().collect()) or ["hub_genes"]
     return [

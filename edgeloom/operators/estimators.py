@@ -119,6 +119,7 @@ class DesparifiedGGM:
         edges = inf.precision_edges(
             nodes, beta_table(raw), n, p, self.dof_correction, self.variance
         ).persist()  # adjacency, scores and intervals all read it
+        self._held = [raw, edges]
         self.beta_ = beta_table(raw)
         self.result_ = GGMInferenceResult(edges, nodes, n, p)
         return self
@@ -153,6 +154,11 @@ class DesparifiedGGM:
         self.result_ = replace(r, adj_fdr=out, fdr_alpha=alpha)
         return out
 
+    def release(self) -> None:
+        """Drop the cached tables of the last fit (they can be recomputed)."""
+        for df in getattr(self, "_held", []):
+            df.unpersist()
+
     def scores(self) -> DataFrame:
         return self._fitted().edges.select("i", "j", F.abs("z").alias("score"))
 
@@ -437,6 +443,11 @@ class PIGLassoEstimator:
             "is_edge", (F.col("stability") >= F.lit(float(threshold))).cast("int")
         )
 
+    def release(self) -> None:
+        """Drop the cached selections of the last fit."""
+        if self.stability_ is not None:
+            self.selections_.unpersist()
+
     def scores(self) -> DataFrame:
         return self.precision_.select("i", "j", F.col("omega").alias("score"))
 

@@ -201,11 +201,33 @@ def summarise_by_seed(results: DataFrame, keys: list[str], value: str,
     )
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float],
+                      rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
+    """Linearly interpolated percentiles per group.
+
+    Equal values are counted first and located by running counts, so a group
+    of any size is never held by one task.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    cum = running(counts, value, {"_cum": ("_c", "sum")}, keys, counts.count(), rows_per_slice=rows_per_slice)
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    placed = cum.join(sizes, keys)
+
+    def at(position):
+        here = (F.col("_cum") > position) & (F.col("_cum") - F.col("_c") <= position)
+        return F.max(F.when(here, F.col(value)))
+
+    picks = []
+    for name, share in shares.items():
+        h = (F.col("_n") - 1) * F.lit(float(share))
+        picks += [at(F.floor(h)).alias(f"_lo_{name}"), at(F.ceil(h)).alias(f"_hi_{name}"),
+                  F.max(h - F.floor(h)).alias(f"_f_{name}")]
+    return placed.groupBy(*keys).agg(*picks).select(*keys, *[
+        (F.col(f"_lo_{n}") + F.col(f"_f_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in shares])
+
+
 def wall_percentiles(results: DataFrame, keys: list[str], value: str = "wall_seconds") -> DataFrame:
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    return results.groupBy(*keys).agg(q.alias("_q")).select(
-        *keys, F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75")
-    )
+    return exact_percentiles(results, keys, value, {"p25": 0.25, "median": 0.5, "p75": 0.75})
 
 
 def max_normalised(results: DataFrame, key: str, metrics: list[str]) -> DataFrame:

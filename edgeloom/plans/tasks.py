@@ -44,6 +44,8 @@ def run_single(cls: type, kwargs: dict, name: str, samples: DataFrame, truth: Da
             raise AttributeError("the estimator has no assessed() table of pairs")
         got = metrics.assess(est.assessed(alpha), truth, width(samples)).first()
         row.update(got.asDict())
+        if hasattr(est, "release"):
+            est.release()
     except Exception:
         row["error"] = traceback.format_exc()
     row["wall_seconds"] = time.perf_counter() - start
@@ -106,6 +108,8 @@ def fit_and_score(est, prior, samples: DataFrame, truth: DataFrame, p: int, alph
     start = time.perf_counter()
     est = est.fit(samples) if prior is None else est.fit(samples, prior)
     row = metrics.assess(est.assessed(alpha), truth, p).first().asDict()
+    if hasattr(est, "release"):
+        est.release()
     row["wall_seconds"] = time.perf_counter() - start
     return row
 

@@ -150,6 +150,14 @@ def test_enrichment(spark):
         enrichment.get_databases("dna", "gprofiler")
 
 
+def test_percentiles_sliced_and_plain(spark):
+    v = np.random.default_rng(1).integers(0, 30, 101).astype(float)
+    df = spark.createDataFrame([(0, float(x)) for x in v], "k INT, v DOUBLE")
+    for per in (10**6, 8):
+        r = metrics.exact_percentiles(df, ["k"], "v", {"a": 0.25, "b": 0.33}, per).first()
+        assert (r.a, r.b) == pytest.approx((np.quantile(v, 0.25), np.quantile(v, 0.33)))
+
+
 def test_runner_keeps_failures_as_rows(spark):
     from edgeloom.operators import estimators, simulate
 
