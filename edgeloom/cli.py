@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators import enrichment, estimators, metrics, preprocess, simulate
+from edgeloom.session import ship_package
 from edgeloom.sources import readers, sinks
 
 
@@ -101,6 +102,7 @@ def _enrich(spark: SparkSession, a) -> None:
 def main(argv: list[str] | None = None) -> int:
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("edgeloom").getOrCreate()
+    ship_package(spark)
     {"simulate": _simulate, "run": _run, "evaluate": _evaluate, "enrich": _enrich}[a.command](spark, a)
     return 0
 

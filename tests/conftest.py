@@ -7,13 +7,14 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 warnings.simplefilter("ignore")
 
-from edgeloom.session import local_session  # noqa: E402
+from edgeloom.session import local_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(8, 4)
     s.sparkContext.setLogLevel("ERROR")
+    ship_package(s)
     yield s
     s.stop()
 
