@@ -56,12 +56,45 @@ def _order(turn: int) -> Column:
     return F.col("item").bitwiseXOR(F.xxhash64(F.lit(turn)))
 
 
+def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``item, root`` after ``links`` (a, b) connect further groups."""
+    if roots is None:
+        return connected(links).withColumnRenamed("node", "item")
+    ends = (
+        links.join(roots.select(F.col("item").alias("a"), F.col("root").alias("ra")), "a", "left")
+        .join(roots.select(F.col("item").alias("b"), F.col("root").alias("rb")), "b", "left")
+        .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    )
+    moved = connected(ends)
+    old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left")
+    new = moved.join(roots.select(F.col("item").alias("node")), "node", "left_anti")
+    return stored(
+        old.select("item", F.coalesce("r2", "root").alias("root"))
+        .unionByName(new.select(F.col("node").alias("item"), "root")), "roots")
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return rows.withColumn("root", F.col("item"))
+    return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold different groups, and more than one item that has not served."""
+    state = rows.groupBy("bucket").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.sum(F.when(~F.col("served"), 1).otherwise(0)).alias("unserved"))
+    return rows.join(state.filter("lo < hi and unserved > 1").select("bucket"), "bucket")
+
+
 def groups(
     members: DataFrame,
     verify: Callable[[DataFrame, DataFrame], DataFrame],
     may_link: Callable[[str, str], Column] | None = None,
     extra: tuple[str, ...] = (),
-) -> DataFrame:
+    roots: DataFrame | None = None,
+    turns: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """``item, root``: the smallest item reached through links, for every item that reaches a smaller one.
 
     ``members``: ``bucket, item`` (bigint), and the columns ``extra`` of the item.
@@ -69,62 +102,36 @@ def groups(
     or more items; it returns the pairs that are linked.
     ``may_link`` is a condition on the extra columns of both (given the prefixes
     of the two names) without which a pair cannot be linked.
+    ``roots`` are groups that are known before. After ``turns`` rounds (all that
+    are needed, by default) the rows of buckets that are not settled are
+    returned too; they are empty if all are.
     """
-    per_bucket = members.groupBy("bucket").agg(F.min("item").alias("lo"), F.max("item").alias("hi"))
     live = stored(
-        members.join(per_bucket.filter("lo < hi").select("bucket"), "bucket").distinct(), "buckets")
-    grown = live.withColumn("root", F.col("item")).withColumn("served", F.lit(False))
-    roots = None
-    turn = 0
-    while True:
+        _open(_with_roots(members, roots).withColumn("served", F.lit(False))).distinct(), "buckets")
+    grown, turn = live, 0
+    while not grown.isEmpty() and turn != turns:
         some = min(2 ** turn, MAX_CENTRES)
-        # centres: each of ``some`` sub-buckets names one member that has not served yet
+        # centres: each of ``some`` parts of a bucket names one member that has not served yet
         part = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(some))
         named = (
             grown.filter("not served").withColumn("part", part)
             .groupBy("bucket", "part").agg(F.min(_order(turn)).alias("m"))
-            .select("bucket", F.col("m").bitwiseXOR(F.xxhash64(F.lit(turn))).alias("centre"))
+            .select("bucket", F.col("m").bitwiseXOR(F.xxhash64(F.lit(turn))).alias("item"), F.lit(True).alias("now"))
         )
-        centres = named.join(
-            grown.select("bucket", F.col("item").alias("centre"), F.col("root").alias("c_root"),
-                         *[F.col(x).alias(f"c_{x}") for x in extra]), ["bucket", "centre"])
-        pairs = grown.join(centres, "bucket").filter("root <> c_root")
+        marked = stored(
+            grown.join(named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "centres")
+        centres = marked.filter("now").select(
+            "bucket", F.col("item").alias("centre"), F.col("root").alias("c_root"), *[F.col(x).alias(f"c_{x}") for x in extra])
+        pairs = marked.join(centres, "bucket").filter("root <> c_root")
         if may_link is not None:
             pairs = pairs.filter(may_link("", "c_"))
         pairs = pairs.select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b"))
         links = stored(verify(pairs.distinct(), live), "verified")
-        if links.isEmpty():
-            moved = None
-        else:  # join the groups that the new links connect
-            at = links if roots is None else (
-                links.join(roots.select(F.col("item").alias("a"), F.col("root").alias("ra")), "a", "left")
-                .join(roots.select(F.col("item").alias("b"), F.col("root").alias("rb")), "b", "left")
-                .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-            moved = connected(at)
-            if roots is None:
-                roots = moved.select(F.col("node").alias("item"), "root")
-            else:
-                old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left")
-                new = moved.join(roots.select(F.col("item").alias("node")), "node", "left_anti")
-                roots = old.select("item", F.coalesce("r2", "root").alias("root")).unionByName(
-                    new.select(F.col("node").alias("item"), "root"))
-            roots = stored(roots, "roots")
-        # who has served, and which buckets still hold different groups and someone to serve
-        done = named.select("bucket", F.col("centre").alias("item"), F.lit(True).alias("now"))
-        after = grown.join(done, ["bucket", "item"], "left").withColumn(
-            "served", F.col("served") | F.coalesce("now", F.lit(False))).drop("now")
-        if moved is not None:
-            after = after.drop("root").join(roots, "item", "left").withColumn(
-                "root", F.coalesce("root", "item"))
-        open_ = after.groupBy("bucket").agg(
-            F.min("root").alias("lo"), F.max("root").alias("hi"),
-            F.sum(F.when(~F.col("served"), 1).otherwise(0)).alias("left_"))
-        grown = stored(
-            after.join(open_.filter("lo < hi and left_ > 1").select("bucket"), "bucket")
-            .select("bucket", "item", *extra, "root", "served"), "open")
-        if grown.isEmpty():
-            break
+        if not links.isEmpty():
+            roots = _merged(roots, links)
+            marked = _with_roots(marked.drop("root"), roots)
+        grown = stored(_open(marked.withColumn("served", F.col("served") | F.col("now")).select(live.columns)), "open")
         turn += 1
     if roots is None:
-        return members.select("item", F.col("item").alias("root")).limit(0)
-    return roots
+        roots = live.select("item", "root").limit(0)
+    return roots, grown

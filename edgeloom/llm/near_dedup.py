@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm import text as tx
 from edgeloom.llm.linking import connected, groups
 from edgeloom.llm.storage import stored
 
+STAR_TURNS = 2  # rounds of stars in the buckets of bands; what they leave open goes by rare shingles
 ROWS, BANDS = 5, 25  # a pair at similarity 0.85 shares no band once in two million, at 0.8 once in 20,000
 
 
@@ -105,13 +106,41 @@ def _similar(percent: int):
     return check
 
 
+def _rare_buckets(sets: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """``bucket, item, n``: a bucket for each of an item's rarest shingles, as many as make sure of every link.
+
+    In one order of all shingles, two sets whose similarity is enough share
+    one of the first ``n - ceil(percent n / 100) + 1`` of each. With rare
+    shingles first, what edits have made comes first, so these buckets are
+    small where those of whole families are large.
+    """
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                members = np.frombuffer(batch.column(1)[k].as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(members), batch.column(0)[k].as_py())), pa.array(np.full(len(members), len(members))),
+                     pa.array(members)], names=["item", "n", "bucket"])
+
+    each = sets.join(items, "item", "left_semi").select("item", "members").mapInArrow(
+        tokens, "item bigint, n bigint, bucket bigint")
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("item", "n").orderBy("df", "bucket"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    return each.join(counts, "bucket").withColumn("place", place).filter(F.col("place") <= first).filter("df > 1").select(
+        "bucket", "item", "n")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if the Jaccard similarity of their sets of
     ``words``-word shingles (A-Z lower-cased) is at least ``percent`` / 100.
     Equal sets are one item from the start. Buckets of a banded one-permutation
-    MinHash only nominate pairs; each is confirmed on the full sets.
+    MinHash only nominate pairs, in stars; each is confirmed on the full sets.
+    Documents of buckets that two rounds of stars do not settle (families in
+    which many share a band and few are similar) are compared by the rare
+    shingles that similar sets must share, so no link between them is lost.
 
     Null or empty text: an empty set, linked with nothing. Fewer words than a
     shingle: the whole sequence is the only shingle. Rows that share a doc_id
@@ -143,7 +172,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     def sizes(p: str, q: str):
         return 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
 
-    roots = groups(buckets, verify, sizes, ("n",))
+    roots, unsettled = groups(buckets, verify, sizes, ("n",), turns=STAR_TURNS)
+    if not unsettled.isEmpty():
+        rest = _rare_buckets(ready[0], unsettled.select("item").distinct(), percent)
+        roots, _ = groups(rest, verify, sizes, ("n",), roots=roots)
     # equal sets follow their representative; rows that share an id join what each of them joins
     reps = named.select("doc_id", "set_id").distinct().join(classes.select("set_id", "item"), "set_id").select(
         F.col("doc_id").alias("a"), F.col("item").alias("b"))

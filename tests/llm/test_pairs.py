@@ -76,6 +76,23 @@ def test_an_id_with_two_texts_joins_both(spark):
     assert got == {(5, 5), (7, 5), (9, 5), (3, 3)}
 
 
+def test_a_family_of_edited_copies(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(50):
+            text = list(base)
+            for k in rng.integers(0, 120, rng.integers(0, 16)):
+                text[k] = f"e{rng.integers(1e9)}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for words, percent in ((3, 85), (5, 80)):
+        got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs, words, percent).collect())
+        assert got == brute(rows, words, percent)
+        assert 3 < len({r[2] for r in got}) < 140
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     x = np.unique(rng.integers(0, 2**64, 12, dtype=np.uint64))
@@ -90,9 +107,11 @@ def test_signature_estimates_similarity():
 def test_groups_find_every_link_of_a_bucket(spark):
     # a chain in one bucket: each item is linked to its neighbours only
     members = spark.createDataFrame([(1, k * 10) for k in range(40)] + [(2, 5), (2, 390)], "bucket long, item long")
-    got = groups(members, lambda pairs, live: pairs.filter("b - a = 10"))
+    got, left = groups(members, lambda pairs, live: pairs.filter("b - a = 10"))
+    assert left.isEmpty()
     assert {tuple(r) for r in got.collect()} == {(k * 10, 0) for k in range(1, 40)}
-    none = groups(members, lambda pairs, live: pairs.filter("a > b"))
+    none, left = groups(members, lambda pairs, live: pairs.filter("a > b"))
+    assert left.isEmpty()
     assert none.count() == 0
 
 
@@ -125,8 +144,11 @@ def test_targets_share_the_total(spark, sizes):
 def test_mix_is_exact_and_repeats(spark):
     rows = [(k, None if k % 13 == 0 else " ".join(["w"] * (k % 9)), f"s{k % 4}" if k % 7 else None) for k in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    docs = docs.selectExpr("*", "1 as taken", "2 as words", "'x' as name")
+    cols = ["doc_id", "source", "size", "source_size", "target", "taken"]
     one = mix(docs, rows_per_slice=20)
-    a, b = sorted(map(tuple, one.collect()), key=str), sorted(map(tuple, mix(docs.repartition(2)).collect()), key=str)
+    assert one.columns == ["doc_id", "text", "source", "words", "name", "size", "source_size", "target", "taken"]
+    a, b = (sorted(map(tuple, x.select(cols).collect()), key=str) for x in (one, mix(docs.repartition(2))))
     assert a == b and len(a) == 900
     taken, target = {}, {}
     for _, source, size, _, goal, got in a:
