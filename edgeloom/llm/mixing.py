@@ -55,7 +55,7 @@ def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for every row of ``docs`` (doc_id, text, source).
+    """Every row of ``docs`` (doc_id, text, source, any others) and ``size, source_size, target, taken``.
 
     ``size`` is the number of words. Every source is put in the order of a
     hash of doc_id, a random order that a rerun repeats. The mix takes whole
@@ -63,48 +63,44 @@ def mix(
     that order up to exactly the words that are left (the last of them in
     part). Targets are cut down to whole words.
 
-    The order is cut into slices by the hash, which is uniform, so slices of
-    one source are alike whatever its share of the rows; sums of slices are
-    accumulated, then the documents of each slice.
+    The order is cut into slices of the hash, which is uniform, so a slice of
+    a source has about ``rows_per_slice`` rows at most, whatever the source's
+    share. Sums of slices are accumulated, then the documents of each slice.
 
     Null text: size 0, taken 0. A null source is a source. Null doc_ids and
-    repeated rows are ordered by size. No rows give no rows.
+    repeated rows are ordered by size. Columns of ``docs`` with the new names
+    are replaced. No rows give no rows.
     """
-    sized = stored(docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        n_words(F.col("text")).alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key")), "sizes")
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
-    targets = source_targets(per.select("source", "source_size"), weights, max_epochs)
-    plan = targets.join(
-        per.select(F.col("source").alias("s2"), "docs"), F.col("source").eqNullSafe(F.col("s2"))
-    ).select(
-        F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("sid"),
-        "source_size", "target", F.ceil(F.col("docs") / rows_per_slice).cast("bigint").alias("slices"),
-    )
-    keyed = sized.withColumn(
-        "sid", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")))
-    cut = keyed.join(plan, "sid").withColumn(
-        "slice", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * F.col("slices") / F.lit(2.0 ** 32)).cast("bigint"))
-    before = running(
-        cut.groupBy("sid", "slice").agg(F.sum("size").alias("words")), "slice", {"before": ("words", "sum")}, ["sid"],
-        rows=sized.count() // rows_per_slice,
-    ).withColumn("before", F.col("before") - F.col("words"))
-    inside = Window.partitionBy("sid", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    new = ("size", "source_size", "target", "taken")
+    own = [c for c in docs.columns if c not in new]
+    source = F.col("source").cast("string")
+    slices = docs.count() // rows_per_slice + 1
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    cut = docs.select(
+        *own, n_words(F.col("text")).alias("size"),
+        F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("_sid"), key.alias("_key"),
+        F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * F.lit(slices) / F.lit(2.0 ** 32)).cast("bigint").alias("_slice"))
+    sums = stored(cut.groupBy("_sid", "_slice").agg(F.sum("size").alias("words")), "slices")
+    per = sums.groupBy("_sid").agg(F.sum("words").alias("source_size")).select(
+        F.when(~F.col("_sid.none"), F.col("_sid.name")).alias("source"), "source_size")
+    plan = source_targets(per, weights, max_epochs).select(
+        F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("_sid"),
+        "source_size", "target")
     words = F.floor("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    return (
-        cut.withColumn("upto", F.sum("size").over(inside))
-        .join(before.select("sid", "slice", "before"), ["sid", "slice"])
-        .withColumn("left_", words - epochs * F.col("source_size") - (F.col("before") + F.col("upto") - F.col("size")))
-        .select(
-            "doc_id", "source", "size", "source_size", "target",
-            (epochs * F.col("size") + F.greatest(F.lit(0).cast("bigint"), F.least("size", "left_"))).alias("taken"))
-    )
+    before = running(sums, "_slice", {"upto": ("words", "sum")}, ["_sid"], rows=slices).join(plan, "_sid").select(
+        "_sid", "_slice", "source_size", "target", epochs.alias("_epochs"),
+        (words - epochs * F.col("source_size") - (F.col("upto") - F.col("words"))).alias("_rest"))
+    inside = Window.partitionBy("_sid", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    extra = F.col("_rest") - (F.col("_upto") - F.col("size"))
+    return cut.withColumn("_upto", F.sum("size").over(inside)).join(before, ["_sid", "_slice"]).select(
+        *own, "size", "source_size", "target",
+        (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), extra))).alias("taken"))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP5_SQL = r"""
