@@ -8,10 +8,13 @@ from edgeloom.llm import stages
 from edgeloom.llm.storage import stored, table
 
 STAGES = [
+    ("quality", stages.drop_low_quality),
+    ("line_dedup", stages.drop_repeated_lines),
     ("near_dedup", stages.keep_one_of_each_group),
-    ("mix_sources", stages.mix_sources),
+    ("decontamination", stages.drop_benchmark_copies),
+    ("mixing", stages.mix_sources),
 ]
-ORACLE_SQL = None
+ORACLE_SQL = None  # a learned model, edit distances and alignments: tests hold every stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from edgeloom.llm.archives import OP9_SQL, op9_page_archive
+from edgeloom.llm.language import op3_language
+from edgeloom.llm.leaks import op8_benchmark_leaks
+from edgeloom.llm.lines import op7_line_dedup
 from edgeloom.llm.mixing import OP5_SQL, op5_mix_sources
 from edgeloom.llm.near_dedup import near_duplicates
+from edgeloom.llm.neighbours import op10_neighbours
+from edgeloom.llm.pages import op4_page_text
+from edgeloom.llm.quality import op2_quality
 from edgeloom.llm.storage import table
+from edgeloom.llm.suffixes import op6_repeated_strings
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
-QUERIES = {"op1_near_duplicates": op1_near_duplicates, "op5_mix_sources": op5_mix_sources}
-ORACLES = {"op5_mix_sources": OP5_SQL}
+QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_quality": op2_quality,
+    "op3_language": op3_language,
+    "op4_page_text": op4_page_text,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_repeated_strings": op6_repeated_strings,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
+    "op9_page_archive": op9_page_archive,
+    "op10_neighbours": op10_neighbours,
+}
+ORACLES = {"op5_mix_sources": OP5_SQL, "op9_page_archive": OP9_SQL}

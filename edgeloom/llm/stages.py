@@ -9,15 +9,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgeloom.llm.leaks import without_leaks
+from edgeloom.llm.lines import dedup_lines
 from edgeloom.llm.mixing import mix
 from edgeloom.llm.near_dedup import near_duplicates
+from edgeloom.llm.quality import accept
+from edgeloom.llm.storage import table
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return accept(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal and nearly equal lines the first in the corpus stays; every document stays, if need be empty.
+
+    ``n_chars``, where there is one, follows the text.
+    """
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id.
 
-    Rows with a null doc_id or without words are in no group and stay. Rows
-    that repeat the doc_id and text of a kept one stay once.
+    Rows with a null doc_id or without words are in no group and stay. Of rows
+    that share a doc_id, being one node, one stays.
     """
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -25,7 +46,15 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return named.unionByName(left.filter("doc_id is null"))
 
 
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each document that it takes, with the words taken and the whole copies."""
-    taken = mix(docs).filter("taken > 0").dropDuplicates(["doc_id"])
-    return docs.join(taken.select("doc_id", "size", "target", "taken"), "doc_id")
+    """The mix: every document that it takes, with ``size, source_size, target`` and the words ``taken``.
+
+    ``taken`` counts repeats: 5 of a document of 2 words are two copies and
+    one word. Columns of these names that ``docs`` has are replaced.
+    """
+    return mix(docs).filter("taken > 0")
