@@ -284,7 +284,7 @@ class SklearnGLasso(_PrecisionEstimator):
         top = float(off.max())
         grid = list(np.logspace(math.log10(1e-2 * top), math.log10(top), self.n_alphas))[::-1]
         score: dict[float, float] = {}
-        max_iter = max(self.max_iter, 200)
+        max_iter = self.max_iter
         for _ in range(self.n_refinements):
             todo = [a for a in grid if a not in score]
             tasks = [(int(f), float(a)) for f in folds for a in todo]
@@ -317,7 +317,7 @@ class SklearnGLasso(_PrecisionEstimator):
             self.alpha_ = alphas[best]
             grid = _refined(alphas, best, last_finite, self.n_alphas)
         self.cv_scores_ = score
-        self.precision_matrix = glasso(cov, self.alpha_, max_iter=max_iter)[0]
+        self.precision_matrix = _converged(glasso(cov, self.alpha_, max_iter=max_iter))
         return self
 
     def keyed_values(self, keyed: DataFrame, p: int) -> DataFrame:
@@ -325,6 +325,13 @@ class SklearnGLasso(_PrecisionEstimator):
         return _keyed_glasso(keyed, p, self.alpha_, 0)
 
 
+def _converged(solved: tuple[np.ndarray, np.ndarray, bool]) -> np.ndarray:
+    """The precision matrix of a solve; a warning if it stopped before it was done."""
+    if not solved[2]:
+        warnings.warn("the graphical lasso did not converge", stacklevel=3)
+    return solved[0]
+
+
 class GGLassoEstimator(_PrecisionEstimator):
     """Graphical lasso at a fixed penalty on the sample covariance."""
 
@@ -334,7 +341,7 @@ class GGLassoEstimator(_PrecisionEstimator):
     def fit(self, samples: DataFrame) -> "GGLassoEstimator":
         self._spark = samples.sparkSession
         stats = collect_stats(samples)
-        self.precision_matrix = glasso(stats.covariance(ddof=1), self.lambda1)[0]
+        self.precision_matrix = _converged(glasso(stats.covariance(ddof=1), self.lambda1))
         return self
 
     def keyed_values(self, keyed: DataFrame, p: int) -> DataFrame:
@@ -421,6 +428,9 @@ class PIGLassoEstimator:
         mask = None if prior is None else penalty_mask(prior, p, self.prior_weight)
         sel = self.selections(samples, n, p, mask).persist()
         self.selections_ = sel
+        failed = sel.filter("ok = 0").count()
+        if failed:
+            warnings.warn(f"{failed} of {self.Q * self.n_lambda} subsample solves did not converge and are left out", stacklevel=2)
         freq = selection_frequency(sel)
         self.stability_ = stability_scores(freq, pair_grid(spark, p))
         self.pi_thr_adaptive_ = adaptive_threshold(freq, p, self.n_lambda, self.v_target)

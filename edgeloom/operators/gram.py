@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,7 @@ from edgeloom.operators.sampling import Grouped
 _CELLS_PER_BLOCK = 65_536
 _MAX_HELD_CELLS = 32_000_000  # 256 MB of doubles per task before partial blocks are flushed
 _FAN_IN = 64
-_TREE_LEVELS = 2  # with the last merge: up to 64**3 scan tasks
+_TREE_LEVELS = 6  # more than any scan needs; sizes of joins may be overstated without bound
 
 _BLOCK_SCHEMA = (
     "key INT, chunk INT, src INT, n BIGINT, mean ARRAY<DOUBLE>, m2 ARRAY<DOUBLE>"
@@ -104,6 +105,9 @@ def _fold(p: int, groups_of):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
+            widths = pc.list_value_length(batch.column("x"))
+            if pc.any(pc.not_equal(widths, p)).as_py() or batch.column("x").null_count:
+                raise ValueError(f"a sample does not have {p} values")
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
             groups = groups_of(batch)
             for key, idx in groups:
@@ -143,13 +147,21 @@ def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def scan_tasks(df: DataFrame) -> int:
+    """About how many tasks read ``df``: its size as the optimizer knows it, in scan splits, or the cores if there are more."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // split))
+
+
 def stat_blocks(samples: DataFrame | Grouped, p: int, keyed: bool = False) -> DataFrame:
     """Merged blocks ``key, chunk, n, mean, m2``.
 
     Groups come from a ``keys ARRAY<INT>`` column (``keyed=True``) or from the
-    rule of a ``Grouped`` table; a row may belong to several. On a cluster the
-    merge is a tree, so that one merge group reads a bounded number of blocks
-    however many scan tasks ran.
+    rule of a ``Grouped`` table; a row may belong to several. The merge is a
+    tree as deep as the number of scan tasks asks for, so that one merge group
+    reads ``_FAN_IN`` blocks at most however many tasks ran.
     """
     x = F.col("x").cast("array<double>").alias("x")
     if isinstance(samples, Grouped):
@@ -163,8 +175,10 @@ def stat_blocks(samples: DataFrame | Grouped, p: int, keyed: bool = False) -> Da
         cols = [x]
         groups_of = lambda b: [(0, None)]
     partial = samples.select(*cols).mapInArrow(_fold(p, groups_of), _BLOCK_SCHEMA)
-    cores = samples.sparkSession.sparkContext.defaultParallelism
-    for _ in range(0 if cores <= _FAN_IN else _TREE_LEVELS):
+    tasks, levels = scan_tasks(samples), 0
+    while tasks > _FAN_IN ** (levels + 1) and levels < _TREE_LEVELS:
+        levels += 1
+    for _ in range(levels):
         partial = (
             partial.withColumn("_b", F.floor(F.col("src") / _FAN_IN))
             .groupBy("key", "chunk", "_b")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import rank_hash
 from edgeloom.operators.matrix import pair_grid, symmetrise
+from edgeloom.operators.metrics import exact_percentiles
 from edgeloom.session import checkpointed
 
 
@@ -58,7 +59,7 @@ def hub_node(edges: DataFrame, p: int) -> DataFrame:
 
 def above_quantile(scores: DataFrame, quantile: float, value: str = "score") -> DataFrame:
     """Rows at or above a (linearly interpolated) quantile of their score."""
-    cut = scores.agg(F.percentile(value, F.lit(float(quantile)))).scalar()
+    cut = exact_percentiles(scores.withColumn("_k", F.lit(0)), ["_k"], value, {"q": quantile}).agg(F.max("q")).scalar()
     return scores.filter(F.col(value) >= cut)
 
 

@@ -34,7 +34,7 @@ def running(
     order: str,
     columns: dict[str, tuple[str, str]],
     part: list[str] | None = None,
-    rows: int = 0,
+    rows: int | None = None,
     descending: bool = False,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
@@ -42,10 +42,11 @@ def running(
 
     ``columns`` maps a new column to ``(source column, 'sum'|'min'|'max')``.
     ``df`` must hold one row per ``part + order`` (pre-aggregate ties first).
-    ``rows`` is an upper bound on the row count; above ``rows_per_slice`` the
-    sliced form is used.
+    ``rows`` is an upper bound on the row count of the whole table, counted if
+    it is not given; above ``rows_per_slice`` the sliced form is used.
     """
     part = part or []
+    rows = df.count() if rows is None else rows
     sort = F.col(order).desc() if descending else F.col(order).asc()
     slices = max(1, math.ceil(rows / rows_per_slice))
     if slices == 1:
@@ -98,9 +99,9 @@ def lookup(
     """Join ``left`` to its per-value table ``right`` without a hot partition.
 
     ``right`` has one row per key and ``weight``, the number of left rows with
-    that key. Keys heavier than ``rows / HOT_SHARE`` number fewer than
-    ``HOT_SHARE``, so that part of the table is broadcast; the rest joins by
-    shuffle, where no key is heavy.
+    that key; ``rows`` is the number of all left rows. Keys heavier than
+    ``rows / HOT_SHARE`` number fewer than ``HOT_SHARE``, so that part of the
+    table is broadcast; the rest joins by shuffle, where no key is heavy.
     """
     keep = right.drop(weight)
     if rows <= rows_per_slice:
@@ -135,10 +136,11 @@ def average_rank(
             F.rank().over(group) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0),
         )
     counts = df.groupBy(*part, value).agg(F.count(F.lit(1)).alias("_c"))
+    distinct, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("_c"), F.lit(0))).first()
     cumulative = running(
-        counts, value, {"_cum": ("_c", "sum")}, part, rows, rows_per_slice=rows_per_slice
+        counts, value, {"_cum": ("_c", "sum")}, part, distinct, rows_per_slice=rows_per_slice
     )
     ranks = cumulative.select(
         *part, value, "_c", (F.col("_cum") - (F.col("_c") - 1) / F.lit(2.0)).alias(out)
     )
-    return lookup(df, ranks, [*part, value], "_c", rows, rows_per_slice)
+    return lookup(df, ranks, [*part, value], "_c", total, rows_per_slice)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions.normal import norm_ppf
 from edgeloom.operators.gram import Stats, collect_stats, correlation_edges, matrix_edges
-from edgeloom.operators.matrix import check_dense, to_long, to_wide, width
+from edgeloom.operators.matrix import MAX_DENSE_P, check_dense, to_long, to_wide, validate, width
 from edgeloom.operators.prefix import ROWS_PER_SLICE, average_rank
 from edgeloom.session import spread
 
@@ -26,12 +26,34 @@ def column_stats(samples: DataFrame) -> DataFrame:
     )
 
 
+def _standardise_wide(samples: DataFrame) -> DataFrame:
+    """Means and deviations of single columns: ``2 p`` numbers reach the driver, no ``p x p`` matrix is built."""
+    rows = column_stats(samples).orderBy("var_id").toPandas()
+    mean, std = rows["mean"].to_numpy(float), rows["std"].to_numpy(float)
+    shared = samples.sparkSession.sparkContext.broadcast((mean, np.where(std > 0, std, 1.0)))
+    at, wide = samples.columns.index("x"), len(mean)
+
+    def scale(batches):
+        centre, spread = shared.value
+        for batch in batches:
+            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, wide)
+            scaled = ((x - centre) / spread).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(scaled) + 1, wide, dtype=np.int32)), pa.array(scaled))
+            yield pa.RecordBatch.from_arrays([lists if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return validate(samples.withColumn("x", F.col("x").cast("array<double>")), wide).mapInArrow(
+        scale, samples.withColumn("x", F.col("x").cast("array<double>")).schema)
+
+
 def standardise(samples: DataFrame, stats: Stats | None = None) -> DataFrame:
     """Zero mean and unit (population) variance; constant columns become zero.
 
     The per-column constants are ``2 p`` literals, so the transform is a
-    projection without a shuffle.
+    projection without a shuffle. Beyond ``MAX_DENSE_P`` columns they are
+    measured per column and broadcast instead.
     """
+    if stats is None and width(samples) > MAX_DENSE_P:
+        return _standardise_wide(samples)
     stats = stats or collect_stats(samples)
     scale = np.sqrt(np.diag(stats.m2) / stats.n)
     scale = np.where(scale > 0, scale, 1.0)

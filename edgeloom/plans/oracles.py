@@ -2,7 +2,7 @@
 
 Where it matters the SQL takes another route than the Spark job: the Lasso is
 solved by accelerated proximal gradient instead of coordinate descent, the
-normal tail by Simpson's rule, diffusion by a Taylor-type series, shortest-path
+normal tail by Simpson's rule and a continued fraction, diffusion by a Taylor-type series, shortest-path
 betweenness by walk counts, and ranking curves by pair counts.
 """
 
@@ -70,10 +70,13 @@ def ppf(u: str, columns: str, source: str) -> str:
 
 
 def two_sided(z: str) -> str:
-    """``P(|N| >= |z|)`` by Simpson's rule on [0, |z|]."""
-    return (f"CASE WHEN abs({z})>8 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1-2*abs({z})/6000.0::DOUBLE*list_sum(list_transform(range(0,2001), "
-            f"lambda s: (CASE WHEN s=0 OR s=2000 THEN 1 WHEN s%2=1 THEN 4 ELSE 2 END)"
-            f"*exp(-0.5::DOUBLE*pow(abs({z})*s/2000.0::DOUBLE,2))/sqrt(2*pi())))) END")
+    """``P(|N| >= |z|)``: Simpson's rule on [0, |z|] near the centre, a continued fraction in the tail."""
+    centre = (f"1-2*abs({z})/2400.0::DOUBLE*list_sum(list_transform(range(0,801), "
+              f"lambda s: (CASE WHEN s=0 OR s=800 THEN 1 WHEN s%2=1 THEN 4 ELSE 2 END)"
+              f"*exp(-0.5::DOUBLE*pow(abs({z})*s/800.0::DOUBLE,2))/sqrt(2*pi())))")
+    tail = (f"2*exp(-0.5::DOUBLE*pow({z},2))/sqrt(2*pi())/list_reduce(list_transform(range(120,0,-1), lambda k: k::DOUBLE), "
+            f"lambda a, k: abs({z})+k/a, abs({z})::DOUBLE)")
+    return f"CASE WHEN abs({z})>2.5 THEN {tail} ELSE {centre} END"
 
 
 def bh(source: str, p: str, alpha: float | None = 0.05, harmonic: bool = False) -> str:
@@ -88,14 +91,14 @@ gr AS (SELECT i, list(CASE WHEN i=j THEN 1.0::DOUBLE ELSE c END ORDER BY j) AS r
 gm AS (SELECT list(r ORDER BY i) AS m FROM gr),
 par AS (SELECT n, sqrt(2*ln(CASE WHEN {P}/sqrt(n)>1 THEN {P}/sqrt(n) ELSE {P} END)/n) AS lam,
   (SELECT 1/max(list_sum(list_transform(r, lambda x: abs(x)))) FROM gr) AS eta FROM nn),
-it(k,i,b,w) AS (SELECT 0, i, list_transform(range({P}), lambda x: 0.0::DOUBLE), list_transform(range({P}), lambda x: 0.0::DOUBLE) FROM gr
+it(k,i,b,w,d) AS (SELECT 0, i, list_transform(range({P}), lambda x: 0.0::DOUBLE), list_transform(range({P}), lambda x: 0.0::DOUBLE), 1.0::DOUBLE FROM gr
  UNION ALL
- SELECT k+1, i, nb, list_transform(range({P}), lambda j: nb[j+1] + (k%100)::DOUBLE/((k%100)+3)*(nb[j+1]-b[j+1])) FROM (
-  SELECT k, i, b, list_transform(range({P}), lambda j: CASE WHEN j=i THEN 0.0::DOUBLE ELSE
-    sign(w[j+1]+eta*(m[i+1][j+1]-list_inner_product(m[j+1],w)))
-    *greatest(abs(w[j+1]+eta*(m[i+1][j+1]-list_inner_product(m[j+1],w)))-eta*lam,0.0::DOUBLE) END) AS nb
-  FROM it, gm, par WHERE k<1500)),
-bt AS (SELECT i, b FROM it WHERE k=1500),
+ SELECT k+1, i, nb, list_transform(range({P}), lambda j: nb[j+1] + (k%100)::DOUBLE/((k%100)+3)*(nb[j+1]-b[j+1])),
+  list_max(list_transform(range({P}), lambda j: abs(nb[j+1]-b[j+1]))) FROM (
+  SELECT k, i, b, list_transform(range({P}), lambda j: CASE WHEN j=i THEN 0.0::DOUBLE ELSE sign(u[j+1])*greatest(abs(u[j+1])-eta*lam,0.0::DOUBLE) END) AS nb FROM (
+   SELECT k, i, b, eta, lam, list_transform(range({P}), lambda j: w[j+1]+eta*(m[i+1][j+1]-list_inner_product(m[j+1],w))) AS u
+   FROM it, gm, par WHERE k<1500 AND (k<60 OR d>1e-14)))),
+bt AS (SELECT i, b FROM it QUALIFY row_number() OVER (PARTITION BY i ORDER BY k DESC)=1),
 bl AS (SELECT i, j::INT AS j, b[j+1] AS beta FROM bt, range({P}) t(j)),
 nd AS (SELECT i, 1-2*list_inner_product(b,m[i+1])+list_sum(list_transform(range({P}), lambda j: b[j+1]*list_inner_product(m[j+1],b))) AS tau2,
   len(list_filter(b, lambda x: abs(x)>1e-9))::INT AS nnz FROM bt, gm),
@@ -165,7 +168,7 @@ MCC = DIV("tp::DOUBLE*tn-fp::DOUBLE*fn", "sqrt((tp+fp)::DOUBLE*(tp+fn)*(tn+fp)*(
 RES = """rs AS (SELECT o_orderpriority AS method, o_orderstatus AS topology, (o_custkey%5)::INT AS seed_offset,
   'c'||(o_custkey%3) AS config, o_orderkey AS rep, o_totalprice/600000.0::DOUBLE AS mcc,
   (o_orderkey%997)/997.0::DOUBLE AS aupr, (o_custkey%101)/10.0::DOUBLE AS wall_seconds FROM orders)"""
-GOLD = f"""go AS (SELECT 'd'||(l_partkey%70) AS tf, 'd'||(l_suppkey%66) AS tg, (l_returnflag<>'N')::INT AS label FROM lineitem WHERE l_linenumber=1),
+GOLD = f"""go AS (SELECT 'd'||(l_partkey%70) AS tf, 'd'||(l_suppkey%66) AS tg, (l_returnflag<>'N')::INT AS label FROM lineitem),
 vr AS (SELECT range::INT AS var_id, 'd'||range AS var_name FROM range({P})),
 gp AS (SELECT least(a.var_id,b.var_id) AS i, greatest(a.var_id,b.var_id) AS j FROM go JOIN vr a ON tf=a.var_name JOIN vr b ON tg=b.var_name WHERE label=1)"""
 TERMS = f"""tm AS (SELECT 'mod'||k||'_'||(v%k) AS term_id, 'd'||v AS gene FROM range((SELECT max(len(embedding)) FROM embeddings)) t(v), range(2,9) u(k))"""
@@ -175,7 +178,7 @@ TESTED = CG + f""",
 tz AS (SELECT i, j, round(atanh(c)*sqrt(n-3),9) AS z FROM cg, nn),
 tp AS (SELECT i, j, {two_sided('z')} AS p FROM tz),
 sgo AS (SELECT *, row_number() OVER (ORDER BY p) AS rn, count(*) OVER () AS m FROM tp),
-sg AS (SELECT i, j, p FROM tp WHERE p>1e-7 AND p<=(SELECT max(p) FROM sgo WHERE p*m/rn<=0.05)),
+sg AS (SELECT i, j, p FROM tp WHERE p<=(SELECT max(p) FROM sgo WHERE p*m/rn<=0.05)),
 sb2 AS (SELECT i AS u, p FROM sg UNION ALL SELECT j, p FROM sg),
 nodes AS (SELECT range::INT AS node FROM range({P}))"""
 
@@ -255,9 +258,9 @@ pr AS (SELECT a.label AS key, a.v AS i, b.v AS j, round(abs(corr(a.y,b.y)),9) AS
     "wall_percentiles": q(RES, "SELECT method, " + ", ".join(r(f"quantile_cont(wall_seconds,{v}::DOUBLE)", 6, n) for v, n in ((.25, "p25"), (.5, "median"), (.75, "p75"))) + " FROM rs GROUP BY 1"),
     "radar_normalised": q(RES + ", a AS (SELECT method, avg(mcc) AS m, avg(aupr) AS u FROM rs GROUP BY 1)", f"SELECT method, {r('m/max(m) OVER ()',8,'mcc')}, {r('u/max(u) OVER ()',8,'aupr')} FROM a"),
     "diffusion_scatter": q(RES, f"""SELECT method, config, topology, {r('d',8,'diffusion_spearman_norm')}, {r('s',8,'mcc')} FROM
- (SELECT method, config, topology, avg(aupr) AS d FROM rs WHERE seed_offset<3 GROUP BY 1,2,3) JOIN (SELECT method, config, topology, avg(mcc) AS s FROM rs WHERE seed_offset>=2 GROUP BY 1,2,3) USING (method, config, topology)"""),
+ (SELECT method, config, topology, avg(aupr) AS d FROM rs GROUP BY 1,2,3) JOIN (SELECT method, config, topology, avg(mcc) AS s FROM rs GROUP BY 1,2,3) USING (method, config, topology)"""),
     "normalised_scores": q(RES, f"SELECT rep, {r('(mcc-aupr)/(1-aupr)',8,'score')} FROM rs"),
-    "summary_rebuild": q(RES + ", nw AS (SELECT * FROM rs WHERE rep%2=1 AND seed_offset<2)", f"""SELECT 'synthetic' AS benchmark, method, config, seed_offset, rep, {r('mcc',8,'mcc')}, NULL::INT AS extra FROM rs e WHERE rep%2=0
+    "summary_rebuild": q(RES + ", nw AS (SELECT * FROM rs WHERE rep%2=1)", f"""SELECT 'synthetic' AS benchmark, method, config, seed_offset, rep, {r('mcc',8,'mcc')}, NULL::INT AS extra FROM rs e WHERE rep%2=0
   AND NOT EXISTS (SELECT 1 FROM nw WHERE nw.method=e.method AND nw.config=e.config AND nw.seed_offset=e.seed_offset)
  UNION ALL SELECT 'synthetic', method, config, seed_offset, rep, {r('mcc',8,'mcc')}, 1 FROM nw"""),
     "missing_tasks": q(RES, "SELECT DISTINCT method, topology, config, seed_offset FROM rs EXCEPT SELECT method, topology, config, seed_offset FROM rs WHERE mcc>0.8"),
@@ -302,7 +305,10 @@ tg AS (SELECT k::INT AS step, CASE WHEN k=0 THEN hi WHEN k=19 THEN lo ELSE pow(1
 tg AS (SELECT k::INT AS step, CASE WHEN k=0 THEN hi WHEN k=19 THEN lo ELSE pow(10, log10(hi)+(log10(lo)-log10(hi))/19*k) END AS t FROM mx, range(20) s(k))""",
         "SELECT step, u AS node, count(*) AS degree FROM tg JOIN bo ON w>=t GROUP BY 1,2"),
     "random_graph": q(graph() + "," + GRID, f"SELECT i, j FROM gd ORDER BY {pair_key(3)}, i, j LIMIT (SELECT count(*) FROM g)"),
-    "edge_ranking": q(graph(), f"SELECT i, j, {r('w',8,'w')} FROM gw ORDER BY gw.w DESC, i, j LIMIT 25"),
+    "expression_csv": """SELECT var_name, (2*count(*))::BIGINT AS samples, (2*count(*))::BIGINT AS n, (2*sum(value::DECIMAL(18,2)))::DOUBLE AS total,
+ min(value) AS low, max(value) AS high FROM (SELECT unnest(['l_quantity','l_extendedprice','l_discount','l_tax']) AS var_name,
+ unnest([l_quantity::DOUBLE, l_extendedprice::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE]) AS value FROM lineitem) GROUP BY var_name""",
+    "edge_ranking": q(graph(), f"SELECT i, j, {r('w',8,'w')} FROM gw ORDER BY gw.w DESC, i, j"),
     "diffusion_signal": q(graph() + ", b1 AS (SELECT u, v, 1.0::DOUBLE AS w FROM bo)," + heat("b1", "h") + "," + heat_signal("h", T_GRID),
         f"SELECT node, t_idx, {r('s',8,'s')} FROM h_s", True),
     "correlation_pvalues": q(TESTED, f"SELECT i, j, {r('p',8,'p_value')} FROM tp"),
@@ -376,7 +382,7 @@ cu AS (SELECT *, greatest(d, least(1-d, r/(n+1))) AS u FROM cl),""" + ppf("u", "
         "SELECT i, j, theta FROM cg, ch WHERE abs(c)>theta"),
     "cascade_removals": q(graph() + """, tr AS (SELECT i, j, a.w+b.w AS s FROM gw JOIN bo a ON a.u=10 AND a.v=i JOIN bo b ON b.u=10 AND b.v=j)""",
         """SELECT 0 AS phase, (row_number() OVER (ORDER BY w, i, j)-1)::INT AS pos, i, j FROM gw WHERE i=10 OR j=10
- UNION ALL SELECT 1, (rn-1)::INT, i, j FROM (SELECT *, row_number() OVER (ORDER BY s DESC, i, j) AS rn FROM tr) WHERE rn<=5"""),
+ UNION ALL SELECT 1, (rn-1)::INT, i, j FROM (SELECT *, row_number() OVER (ORDER BY s DESC, i, j) AS rn FROM tr) WHERE rn<=30"""),
     "cascade_schedule": q(graph() + f""", sz AS (SELECT (SELECT count(*) FROM gw) AS tot, (SELECT count(*) FROM bo WHERE u=10) AS h,
   (SELECT least(30,count(*)) FROM gw JOIN bo a ON a.u=10 AND a.v=i JOIN bo b ON b.u=10 AND b.v=j) AS s),
 fr AS (SELECT f::INT AS frame, greatest(0,least(1,(f-{_P1})/{_P2 - _P1}.0::DOUBLE)) AS t1, greatest(0,least(1,(f-{_P2})/{_P3 - _P2}.0::DOUBLE)) AS t2 FROM range({_NF}) x(f)),

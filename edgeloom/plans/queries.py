@@ -6,6 +6,8 @@ so that results compare across engines that sum in another order.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from edgeloom.operators.gram import correlation_edges, covariance_edges, gram_ro
 from edgeloom.operators.matrix import pair_grid, to_long, transpose
 from edgeloom.operators.prefix import average_rank
 from edgeloom.plans import inputs
+from edgeloom.session import ensure_checkpoint_dir
 from edgeloom.sources import readers, sinks
 
 P = 64
@@ -389,8 +392,7 @@ def diffusion_scatter(spark, sf):
     r = _results(spark, sf)
     keys = ["method", "config", "topology"]
     out = metrics.diffusion_vs_recovery(
-        r.filter("seed_offset < 3").withColumnRenamed("aupr", "diffusion_spearman_norm"),
-        r.filter("seed_offset >= 2"), "diffusion_spearman_norm", "mcc", keys)
+        r.withColumnRenamed("aupr", "diffusion_spearman_norm"), r, "diffusion_spearman_norm", "mcc", keys)
     return out.select(*keys, rnd("diffusion_spearman_norm", 8), rnd("mcc", 8))
 
 
@@ -402,7 +404,7 @@ def normalised_scores(spark, sf):
 def summary_rebuild(spark, sf):
     r = _results(spark, sf).withColumn("benchmark", F.lit("synthetic"))
     existing = r.filter("rep % 2 = 0")
-    new = r.filter("rep % 2 = 1 and seed_offset < 2").withColumn("extra", F.lit(1))
+    new = r.filter("rep % 2 = 1").withColumn("extra", F.lit(1))
     out = sinks.rebuild_summary(existing, new)
     return out.select("benchmark", "method", "config", "seed_offset", "rep", rnd("mcc", 8), "extra")
 
@@ -425,7 +427,7 @@ def task_grid(spark, sf):
 
 def _gold(spark, sf):
     li = inputs.table(spark, sf, "lineitem")
-    return li.filter("l_linenumber = 1").select(
+    return li.select(
         F.concat(F.lit("d"), F.col("l_partkey") % 70).alias("TF"),
         F.concat(F.lit("d"), F.col("l_suppkey") % 66).alias("target"),
         (F.col("l_returnflag") != "N").cast("int").alias("label"))
@@ -530,7 +532,7 @@ def cascade_schedule(spark, sf):
 
 
 def cascade_removals(spark, sf):
-    return graph.cascade_removals(_weighted(spark, sf), 10, 5)
+    return graph.cascade_removals(_weighted(spark, sf), 10, 30)
 
 
 def cascade_degrees(spark, sf):
@@ -541,9 +543,22 @@ def random_graph(spark, sf):
     return graph.erdos_renyi_matching(inputs.threshold_graph(spark, sf), P, 3)
 
 
+def expression_csv(spark, sf):
+    """The line measures written as CSV, every row twice, and read back as samples."""
+    li = inputs.table(spark, sf, "lineitem").select(
+        F.concat(F.lit("s"), "l_orderkey").alias("label"), *[F.col(c).cast("double") for c in inputs.LINE_MEASURES])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/expression-{uuid.uuid4().hex}"
+    li.unionByName(li).write.option("header", True).csv(path)
+    samples, variables = readers.read_expression_csv(spark, path)
+    long = samples.select("row_id", F.posexplode("x").alias("var_id", "value")).join(variables, "var_id")
+    return long.groupBy("var_name").agg(
+        F.countDistinct("row_id").alias("samples"), F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"),
+        F.min("value").alias("low"), F.max("value").alias("high"))
+
+
 def edge_ranking(spark, sf):
     """Strongest edges first."""
-    return _weighted(spark, sf).orderBy(F.desc("w"), "i", "j").limit(25).select("i", "j", rnd("w", 8))
+    return _weighted(spark, sf).orderBy(F.desc("w"), "i", "j").select("i", "j", rnd("w", 8))
 
 
 # --- diffusion -------------------------------------------------------------
@@ -598,7 +613,7 @@ def _tested_graph(spark, sf):
 
 def _significant(spark, sf):
     tested = inference.fdr_control(_tested_graph(spark, sf), 0.05, "BH", P * (P - 1) // 2)
-    return tested.filter("is_edge = 1 and p_value > 1e-7").select("i", "j", "p_value")
+    return tested.filter("is_edge = 1").select("i", "j", "p_value")
 
 
 def correlation_pvalues(spark, sf):
@@ -687,7 +702,7 @@ QUERIES = {
         symmetrize_gold, gold_coverage, degree, network_summary, hub_nodes, degree_tiers, components, laplacian,
         laplacian_normalised, betweenness, eigenvector_centrality, communities_modularity,
         communities_label_propagation, modularity_score, community_sets, triangle_closing_edges, edge_filtration,
-        filtration_degrees, cascade_schedule, cascade_removals, cascade_degrees, random_graph, edge_ranking,
+        filtration_degrees, cascade_schedule, cascade_removals, cascade_degrees, random_graph, edge_ranking, expression_csv,
         diffusion_signal, diffusion_metrics, knockout_impact, knockout_metrics, diffusion_task,
         correlation_pvalues, correlation_fdr, correlation_fdr_sliced, ranked_min_p, ranked_degree, ranked_fisher,
         ora_hypergeom, gsea_es, gsea_prerank, enrich_hubs,

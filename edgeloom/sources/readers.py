@@ -46,6 +46,14 @@ def _typed_csv(spark: SparkSession, path: str, sep: str, names: list[str], types
     return df.toDF(*[f"c{k}" for k in range(len(names))])
 
 
+def _row_ids(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``row_id``: a hash of the row and of its number among equal rows, so equal samples stay apart."""
+    text = F.xxhash64(*columns)
+    number = F.row_number().over(Window.partitionBy(text).orderBy(*columns))
+    return df.withColumn("_nr", number).withColumn(
+        "row_id", F.xxhash64(*columns, "_nr").bitwiseAND(F.lit(2**62 - 1))).drop("_nr")
+
+
 def variables_table(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(names)), "var_id INT, var_name STRING")
 
@@ -53,14 +61,13 @@ def variables_table(spark: SparkSession, names: list[str]) -> DataFrame:
 def read_expression_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """``(samples, variables)`` from a CSV whose first column labels the samples.
 
-    ``row_id`` is a hash of the label and the row's text, unique for distinct
-    rows; it never depends on file order.
+    ``row_id`` is a hash of the label, the row's values and its number among
+    rows that are equal in all of them; it never depends on file order.
     """
     names = header(spark, path, sep)
     df = _typed_csv(spark, path, sep, names, ["string"] + ["double"] * (len(names) - 1))
     values = [f"c{k}" for k in range(1, len(names))]
-    ident = F.xxhash64("c0", *values).bitwiseAND(F.lit(2**62 - 1))
-    samples = from_columns(df.withColumn("row_id", ident), values, "row_id")
+    samples = from_columns(_row_ids(df, ["c0", *values]), values, "row_id")
     return validate(samples, len(values)), variables_table(spark, names[1:])
 
 
@@ -145,7 +152,10 @@ def load_dream5(spark: SparkSession, data_dir: str, network: int = 1) -> tuple[D
         df = _typed_csv(spark, expr, "\t", names, ["string"] + ["double"] * (len(names) - 1))
         genes = [r[0] for r in df.select("c0").orderBy(F.monotonically_increasing_id()).collect()]
         variables = variables_table(spark, genes)
-        long = df.join(variables, df["c0"] == variables["var_name"]).select(
+        # a gene's rows are told apart by their order, so a repeated name is two variables
+        nth = df.withColumn("_nr", F.row_number().over(Window.partitionBy("c0").orderBy(F.monotonically_increasing_id())))
+        known = variables.withColumn("_nr", F.row_number().over(Window.partitionBy("var_name").orderBy("var_id")))
+        long = nth.join(known, (nth["c0"].eqNullSafe(known["var_name"])) & (nth["_nr"] == known["_nr"])).select(
             "var_id", F.posexplode(F.array(*[f"c{k}" for k in range(1, len(names))])).alias("row", "value"))
         entries = F.array_sort(F.collect_list(F.struct("var_id", "value")))
         samples = long.groupBy(F.col("row").cast("bigint").alias("row_id")).agg(entries.alias("e")).select(
@@ -153,8 +163,7 @@ def load_dream5(spark: SparkSession, data_dir: str, network: int = 1) -> tuple[D
     else:
         df = _typed_csv(spark, expr, "\t", names, ["double"] * len(names))
         cols = [f"c{k}" for k in range(len(names))]
-        samples = from_columns(
-            df.withColumn("row_id", F.xxhash64(*cols).bitwiseAND(F.lit(2**62 - 1))), cols, "row_id")
+        samples = from_columns(_row_ids(df, cols), cols, "row_id")
         variables = variables_table(spark, names)
     sep = "," if gold_path.endswith(".csv") else "\t"
     raw = spark.read.csv(gold_path, sep=sep, header=True)

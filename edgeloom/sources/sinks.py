@@ -71,6 +71,11 @@ def append_missing(results: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return new
 
 
+def append_csv(rows: DataFrame, path: str) -> None:
+    """Append to a table of CSV files. Every file has the header, so a reader of the folder sees it as one."""
+    rows.write.mode("append").option("header", True).csv(path)
+
+
 def missing_tasks(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks without a stored result (keys compared null-safely)."""
     have = done.select(*[F.col(k).alias(f"_d_{k}") for k in keys]).distinct()

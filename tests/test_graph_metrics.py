@@ -171,3 +171,10 @@ def test_runner_keeps_failures_as_rows(spark):
     assert rows["a"].error is None and rows["a"].aupr > 0.5 and rows["a"].wall_seconds >= 0
     assert "no" in rows["b"].error and rows["b"].aupr is None
     assert tasks.task_grid(spark, topology=["a", "b"], rep=[1, 2, 3]).count() == 6
+
+
+def test_assess_takes_truth_in_any_order(spark):
+    pairs = spark.createDataFrame([(0, 1, 1, 0.9), (0, 2, 0, 0.1), (1, 2, 1, 0.8)], "i int, j int, is_edge int, score double")
+    truth = spark.createDataFrame([(1, 0), (0, 1), (2, 1)], "i int, j int")
+    row = metrics.assess(pairs, truth, 3).first()
+    assert (row.tp, row.fp, row.tn, row.fn) == (2, 0, 1, 0)

@@ -122,3 +122,29 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["enrich", "--adj", str(tmp_path / "a.npy"), "--genes", str(tmp_path / "g.txt"),
                      "--terms", str(tmp_path / "terms"), "--out", str(tmp_path / "e")]) == 0
     assert "T" in set(pd.read_csv(part("e"))["term_id"])
+
+
+def test_equal_samples_stay_apart(spark, tmp_path):
+    f = tmp_path / "x.csv"
+    f.write_text("id,A,B\ns,1,2\ns,1,2\nt,3,4\ns,1,2\n")
+    samples, _ = readers.read_expression_csv(spark, str(f))
+    assert samples.count() == samples.select("row_id").distinct().count() == 4
+    (tmp_path / "net1_expression_data.tsv").write_text("A\tB\n1\t2\n1\t2\n")
+    (tmp_path / "in_silico_gold_standard.csv").write_text("from,to,weight\nA,B,1\n")
+    samples, _, _ = readers.load_dream5(spark, str(tmp_path))
+    assert samples.select("row_id").distinct().count() == 2
+
+
+def test_repeated_gene_names_are_two_variables(spark, tmp_path):
+    (tmp_path / "net1_expression_data.tsv").write_text("gene\te1\te2\nG\t1\t4\nH\t2\t5\nG\t3\t6\n")
+    (tmp_path / "in_silico_gold_standard.csv").write_text("from,to,weight\nG,H,1\n")
+    samples, variables, _ = readers.load_dream5(spark, str(tmp_path))
+    assert [r.x for r in samples.orderBy("row_id").collect()] == [[1, 2, 3], [4, 5, 6]]
+    assert variables.count() == 3
+
+
+def test_append_csv_keeps_one_header(spark, tmp_path):
+    for k in range(3):
+        sinks.append_csv(spark.createDataFrame([(k, "v")], "k int, name string"), str(tmp_path / "out"))
+    got = spark.read.csv(str(tmp_path / "out"), header=True)
+    assert got.columns == ["k", "name"] and sorted(r.k for r in got.collect()) == ["0", "1", "2"]

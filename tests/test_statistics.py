@@ -139,3 +139,29 @@ def test_shapes_round_trip_and_validation(spark, wide):
     edges = spark.createDataFrame([(0, 2, 5.0)], "i INT, j INT, v DOUBLE")
     m = np.array([r.x for r in edges_to_square_rows(edges, "v", 3, 1.0).orderBy("i").collect()])
     assert np.array_equal(m, [[1, 0, 5], [0, 1, 0], [5, 0, 1]])
+
+
+def test_wide_tables_are_standardised_without_a_square_matrix(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(3, 2, (6, 4100))
+    x[:, 7] = 1.0
+    rows = [(k, [float(v) for v in r], "x") for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_id BIGINT, x ARRAY<DOUBLE>, tag STRING")
+    got = pp.standardise(df).orderBy("row_id").collect()
+    sd = np.where(x.std(0) > 0, x.std(0), 1.0)
+    assert np.allclose(np.array([r.x for r in got]), (x - x.mean(0)) / sd) and got[0].tag == "x"
+
+
+def test_samples_of_another_width_are_refused(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0]), (3, [1.0, 2.0, 3.0])], "row_id BIGINT, x ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="does not have 2 values"):
+        collect_stats(df)
+
+
+def test_ranks_of_many_groups_use_slices_of_the_whole_table(spark):
+    rows = [(v, k, float(k % 7)) for v in range(6) for k in range(50)]
+    df = spark.createDataFrame(rows, "var_id int, row_id long, value double")
+    got = average_rank(df, "value", ["var_id"], 50, rows_per_slice=10).collect()
+    one = [r[2] for r in rows[:50]]
+    want = [sum(y < x for y in one) + (sum(y == x for y in one) + 1) / 2 for x in one]
+    assert {(r.var_id, r.row_id): r["rank"] for r in got} == {(v, k): want[k] for v, k, _ in rows}
