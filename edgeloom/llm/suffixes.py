@@ -13,9 +13,11 @@ its work in proportion to what repeats, not to the corpus:
   repeated throughout.
 * What is left are different contexts around equal anchors. They are cut into
   blocks that are aligned to the anchor, so equal windows meet the same block
-  borders, and the blocks are the letters of the suffix order. Neighbours in
-  it are compared on the prefixes that decide all windows between two borders
-  at once; only where these disagree are single windows compared.
+  borders, and the blocks are the letters of the suffix order. Contexts in
+  which nothing long enough occurs twice are left out of it. Neighbours in the
+  order are compared on the prefixes that decide all windows between two
+  borders at once; where these disagree, shorter pieces and then single windows
+  are compared.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ from edgeloom.llm.storage import stored, table
 from edgeloom.operators.prefix import running
 
 LENGTH = 400
-BLOCK = 50  # divides LENGTH; the longest prefix compared, LENGTH + BLOCK, is 9 letters: two recursions
-GRAM = 32
-SLICE_ROWS = 20_000
+BLOCK = 100  # divides LENGTH; the longest prefix compared, LENGTH + BLOCK, is 5 letters: two recursions
+GRAM = 96
+PIECES = (10, 1)  # windows in a row that are compared together where blocks do not settle them; they divide BLOCK
+SLICE_ROWS = 100_000
 _END = -1  # comes before every letter
 
 # --- the suffix order of strings of letters ---
@@ -126,21 +129,26 @@ def _lowest(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n - width + 1], ahead[width - 1:n])
 
 
-def anchors(data: np.ndarray, prefix: tx.Prefix, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """``anchor, low, high, key``: runs of windows that share an anchor, first to last window start."""
-    n = len(data)
+def anchors(prefix: tx.Prefix, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """``text, anchor, low, high, key`` of the texts in one buffer: runs of windows that share an anchor, first to last window start."""
+    ends = offsets[1:]
+    n = int(offsets[-1])
     if n < length:
-        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     start = np.arange(n - gram + 1)
     h = prefix.of(start, start + gram)
-    # 40 bits of hash decide, then the place, counted so that it fits whatever the length; the leftmost wins a tie
+    # 40 bits of hash decide, then the place, of which the remainder is enough; the leftmost wins a tie
     width = length - gram + 1
     low = _lowest((h >> np.uint64(24) << np.uint64(24)) | (start % 2 ** 24).astype(np.uint64), width)
-    window = np.arange(len(low))
-    at = (low & np.uint64(2 ** 24 - 1)).astype(np.int64)
-    at += (window - at + 2 ** 24 - 1) // 2 ** 24 * 2 ** 24  # back from the remainder: the place is in the window
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], first, np.r_[first[1:] - 1, len(at) - 1], h[at[first]]
+    owner = np.repeat(np.arange(len(ends)), np.diff(offsets))[:len(low)]
+    window = np.flatnonzero(np.arange(len(low)) + length <= ends[owner])  # inside one text
+    at = (low[window] & np.uint64(2 ** 24 - 1)).astype(np.int64)
+    at += (window - at + 2 ** 24 - 1) // 2 ** 24 * 2 ** 24
+    if not len(at):
+        return anchors(prefix, np.zeros(2, dtype=np.int64))
+    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (owner[window][1:] != owner[window][:-1])])
+    last = np.r_[first[1:] - 1, len(at) - 1]
+    return owner[window[first]], at[first], window[first], window[last], h[at[first]]
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -153,35 +161,20 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
-_RUN = "k1 bigint, k2 bigint, anchor bigint, d1 bigint, d2 bigint, low bigint, n int, off int"
+_RUN = "k1 bigint, k2 bigint, anchor bigint, digest bigint, low bigint, n int, off int"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         k1, k2 = np.array(batch.column(0)), np.array(batch.column(1))
-        parts, held = [], 0
-        for row, data in _texts(batch, 2):
-            one = tx.Prefix(data)
-            at, low, high, key = anchors(data, one)
-            if not len(at):
-                continue
-            two = tx.Prefix(data, 1)
-            shape = tx.mix((at - low).astype(np.uint64))
-            parts.append((np.full(len(at), k1[row]), np.full(len(at), k2[row]), key, one.of(low, high + LENGTH) ^ shape,
-                          two.of(low, high + LENGTH) ^ shape, low, high - low + 1, at - low))
-            held += len(at)
-            if held > 50_000:
-                yield _run_batch(parts)
-                parts, held = [], 0
-        if parts:
-            yield _run_batch(parts)
-
-
-def _run_batch(parts: list[tuple]) -> pa.RecordBatch:
-    c = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c[0]), pa.array(c[1]), _signed(c[2]), _signed(c[3]), _signed(c[4]), pa.array(c[5]),
-         pa.array(c[6].astype(np.int32)), pa.array(c[7].astype(np.int32))], names=[x.split()[0] for x in _RUN.split(", ")])
+        for row, data, offsets in tx.slices(batch.column(2)):
+            p = tx.Prefix(data)
+            text, at, low, high, key = anchors(p, offsets)
+            digest = p.of(low, high + LENGTH) ^ tx.mix((at - low).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k1[row + text]), pa.array(k2[row + text]), _signed(key), _signed(digest), pa.array(low - offsets[text]),
+                 pa.array((high - low + 1).astype(np.int32)), pa.array((at - low).astype(np.int32))],
+                names=[x.split()[0] for x in _RUN.split(", ")])
 
 
 _CONTEXT = "seq bigint, n int, off int, body binary"
@@ -190,87 +183,125 @@ _CONTEXT = "seq bigint, n int, off int, body binary"
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bodies of the wanted contexts of each text."""
     for batch in batches:
+        out = []
         for row, data in _texts(batch, 0):
-            out = [(w["seq"], w["n"], w["off"], data[w["low"]:w["low"] + w["n"] + LENGTH - 1].tobytes()) for w in batch.column(1)[row].as_py()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                names=["seq", "n", "off", "body"])
+            for w in batch.column(1)[row].as_py():
+                out.append((w["seq"], w["n"], w["off"], data[w["low"]:w["low"] + w["n"] + LENGTH - 1].tobytes()))
+            if len(out) > 2000:
+                yield _context_batch(out)
+                out = []
+        if out:
+            yield _context_batch(out)
 
 
-def _borders(n: int, off: int, size: int) -> np.ndarray:
-    """Block borders of a context, counted from its first byte: aligned to the anchor, and whole blocks follow."""
-    return np.arange(off % BLOCK, size - BLOCK + 1, BLOCK)
+def _context_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
+                                      names=["seq", "n", "off", "body"])
 
 
-def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``seq, pos, letter`` of the blocks of each context, and digests of the prefixes that are compared."""
-    for batch in batches:
-        parts = []
-        for seq, n, off, body in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-            data = np.frombuffer(body, np.uint8)
-            p, at = tx.Prefix(data), _borders(n, off, len(data))
-            columns = [np.full(len(at), seq), np.arange(len(at)), (p.of(at, at + BLOCK) >> np.uint64(1)).astype(np.int64)]
-            for size in (LENGTH - BLOCK, LENGTH, LENGTH + BLOCK):
-                fits = at + size <= len(data)
-                d = p.of(at, np.where(fits, at + size, at)).view(np.int64)
-                columns += [d, fits]
-            parts.append(columns)
-        if parts:
-            c = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[0]), pa.array(c[1].astype(np.int32)), pa.array(c[2]),
-                 *[pa.array(c[k], mask=~c[k + 1]) for k in (3, 5, 7)]], names=["seq", "pos", "letter", "core", "exact", "whole"])
+class _Bodies:
+    """The bodies of a batch of contexts in one buffer, a slice at a time: first row, prefix hashes, begin and size of each."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column
 
+    def __iter__(self):
+        for row, data, offsets in tx.slices(self.column):
+            yield row, tx.Prefix(data), offsets[:-1], np.diff(offsets)
 
-def _open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the single windows of stretches that the blocks leave open."""
+
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``seq, pos, letter`` of the blocks of each context, and digests of the prefixes that are compared."""
     for batch in batches:
-        parts = []
-        for seq, n, off, body, open_ in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
-            data = np.frombuffer(body, np.uint8)
-            one, two = tx.Prefix(data), tx.Prefix(data, 1)
-            first = off % BLOCK
-            for pos in open_:  # the windows strictly between border pos and the next; -1: before the first border
-                lo = 0 if pos < 0 else first + pos * BLOCK + 1
-                at = np.arange(lo, min(first + (pos + 1) * BLOCK, n))
-                parts.append((np.full(len(at), seq), at, one.of(at, at + LENGTH), two.of(at, at + LENGTH)))
-        if parts:
-            c = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1].astype(np.int32)), _signed(c[2]), _signed(c[3])],
-                                             names=["seq", "at", "w1", "w2"])
+        seq, off = np.array(batch.column(0)), np.array(batch.column(2))
+        for row, p, begin, size in _Bodies(batch.column(3)):
+            first = off[row:row + len(size)] % BLOCK
+            count = np.maximum(size - first, 0) // BLOCK
+            own = np.repeat(np.arange(len(size)), count)
+            pos = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            at, room = begin[own] + first[own] + pos * BLOCK, begin[own] + size[own]
+            columns = [pa.array(seq[row + own]), pa.array(pos.astype(np.int32)), pa.array((p.of(at, at + BLOCK) >> np.uint64(1)).astype(np.int64))]
+            for length in (LENGTH - BLOCK, LENGTH, LENGTH + BLOCK):
+                fits = at + length <= room
+                columns.append(pa.array(p.of(at, np.where(fits, at + length, at)).view(np.int64), mask=~fits))
+            yield pa.RecordBatch.from_arrays(columns, names=["seq", "pos", "letter", "core", "exact", "whole"])
+
+
+def _pieces(size: int):
+    """``seq, begin, end, core, whole`` of stretches of windows cut into pieces of ``size``.
+
+    Pieces lie on a grid aligned to the anchor. ``core`` is a digest of the
+    bytes that all windows of a whole piece share, ``whole`` of those that any
+    of them covers (null where the stretch has a part of the piece only).
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seq, off, open_ = np.array(batch.column(0)), np.array(batch.column(1)), batch.column(3).to_pylist()
+            for row, p, begin, sizes in _Bodies(batch.column(2)):
+                parts = [
+                    (k, lo, max(lo, r["begin"]), min(lo + size, r["end"]))
+                    for k in range(len(sizes)) for r in open_[row + k]
+                    for lo in range(r["begin"] - (r["begin"] - int(off[row + k])) % size, r["end"], size)]
+                if not parts:
+                    continue
+                own, grid, lo, hi = np.array(parts).T
+                at, full = begin[own] + grid, (lo == grid) & (hi == grid + size)
+                whole = p.of(np.where(full, at, 0), np.where(full, at + size - 1 + LENGTH, 0))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seq[row + own]), pa.array(lo), pa.array(hi), _signed(p.of(at + size - 1, at + LENGTH)),
+                     pa.array(whole.view(np.int64), mask=~full)], names=["seq", "begin", "end", "core", "whole"])
+    return run
+
+
+def _settle(contexts: DataFrame, open_: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``seq, begin, end`` of pieces found elsewhere as a whole, and of pieces that stay open (with those they may match)."""
+    each = open_.groupBy("seq").agg(F.collect_set(F.struct("begin", "end")).alias("open"))
+    pieces = stored(contexts.join(each, "seq").select("seq", "off", "body", "open").mapInArrow(
+        _pieces(size), "seq bigint, begin bigint, end bigint, core bigint, whole bigint"), "pieces")
+    place = F.struct("seq", "begin", "end")
+    wholes = pieces.filter("whole is not null").groupBy("core", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at"))
+    found = pieces.join(wholes.filter("c > 1").select("core", "whole"), ["core", "whole"]).select("seq", "begin", "end")
+    if size == 1:
+        return found, pieces.select("seq", "begin", "end").limit(0)
+    # of equal wholes one stands for all; a core that nothing else has settles its piece
+    texts = stored(wholes.select("core", "c", "at").unionByName(
+        pieces.filter("whole is null").select("core", F.lit(1).cast("bigint").alias("c"), place.alias("at"))), "wholes")
+    cores = texts.groupBy("core").agg(F.count(F.lit(1)).alias("texts"), F.min("c").alias("least")).filter("texts > 1 and least = 1")
+    return found, texts.join(cores.select("core"), "core").select("at.*")
 
 
 def _found_in_contexts(contexts: DataFrame) -> DataFrame:
     """``seq, begin, end``: window starts of each context (from its first byte, end excluded) that occur in another context."""
-    letters = stored(contexts.mapInArrow(_letters, "seq bigint, pos int, letter bigint, core bigint, exact bigint, whole bigint"), "letters")
+    cut = stored(contexts.mapInArrow(_letters, "seq bigint, pos int, letter bigint, core bigint, exact bigint, whole bigint"), "blocks")
+    # contexts none of whose cores occurs in another one have no window that does
+    cores = cut.filter("core is not null").groupBy("core").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).filter("lo < hi")
+    hopeful = cut.join(cores.select("core"), "core", "left_semi").select("seq").distinct()
+    letters = stored(cut.join(hopeful, "seq", "left_semi"), "letters")
     order = suffix_order(letters.select("seq", "pos", "letter"), 2)
     rows = letters.drop("letter").join(order, ["seq", "pos"])
     flags = stored(with_neighbours(rows, ["core", "exact", "whole"], letters.count() // SLICE_ROWS + 1), "flags")
-    # a stretch lies between two borders; what comes before the first border is stretch -1
+    shapes = contexts.select("seq", "n", (F.col("off") % BLOCK).alias("first"))
+    # a stretch goes from one border up to the next; what comes before the first border is stretch -1
     after = flags.select("seq", (F.col("pos") - 1).alias("pos"), F.col("core").alias("next_core"), F.col("same_core").alias("next_same"))
-    stretches = (
-        after.join(flags.select("seq", "pos", "whole", "same_whole"), ["seq", "pos"], "left")
-        .join(contexts.select("seq", "n", "off"), "seq")
-        .withColumn("begin", F.when(F.col("pos") < 0, 0).otherwise(F.col("off") % BLOCK + F.col("pos") * BLOCK + 1))
-        .withColumn("end", F.least("n", F.col("off") % BLOCK + (F.col("pos") + 1) * BLOCK))
-        .filter("begin < end and next_same").withColumn("whole_found", F.coalesce("same_whole", F.lit(False)))
-    )
-    stretches = stored(stretches, "stretches")
-    # single windows are needed where some stretch with this core is not settled as a whole; equal wholes are measured once
-    unsettled = stretches.filter("not whole_found").select("next_core").distinct()
+    stretches = stored(
+        after.filter("next_same").join(flags.select("seq", "pos", "whole", "same_whole"), ["seq", "pos"], "left").join(shapes, "seq")
+        .select("seq", "next_core", "whole", F.coalesce("same_whole", F.lit(False)).alias("found"),
+                F.when(F.col("pos") < 0, 0).otherwise(F.col("first") + F.col("pos") * BLOCK).cast("bigint").alias("begin"),
+                F.least("n", F.col("first") + (F.col("pos") + 1) * BLOCK).cast("bigint").alias("end"))
+        .filter("begin < end"), "stretches")
+    # where some stretch with this core is not settled as a whole, windows are looked at; equal wholes are measured once
+    unsettled = stretches.filter("not found").select("next_core").distinct()
     asked = stretches.join(unsettled, "next_core")
-    once = asked.filter("whole_found").groupBy("next_core", "whole").agg(F.min(F.struct("seq", "pos")).alias("at")).select("at.*")
-    asked = asked.filter("not whole_found").select("seq", "pos").unionByName(once).groupBy("seq").agg(F.collect_list("pos").alias("open"))
-    windows = stored(
-        contexts.join(asked, "seq").select("seq", "n", "off", "body", "open")
-        .mapInArrow(_open_windows, "seq bigint, at int, w1 bigint, w2 bigint"), "windows")
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("w1", "w2")
-    single = windows.join(twice, ["w1", "w2"]).select("seq", F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))
-    border = flags.filter("same_exact").join(contexts.select("seq", "n", "off"), "seq").withColumn(
-        "begin", F.col("off") % BLOCK + F.col("pos") * BLOCK).filter("begin < n").select("seq", "begin", (F.col("begin") + 1).alias("end"))
-    whole = stretches.filter("whole_found").select("seq", "begin", "end")
-    cast = [F.col("seq"), F.col("begin").cast("bigint"), F.col("end").cast("bigint")]
-    return single.select(*cast).unionByName(border.select(*cast)).unionByName(whole.select(*cast))
+    once = asked.filter("found").groupBy("next_core", "whole").agg(F.min(F.struct("seq", "begin", "end")).alias("at")).select("at.*")
+    open_ = stored(asked.filter("not found").select("seq", "begin", "end").unionByName(once), "open")
+    border = flags.filter("same_exact").join(shapes, "seq").withColumn("begin", (F.col("first") + F.col("pos") * BLOCK).cast("bigint")).filter(
+        "begin < n").select("seq", "begin", (F.col("begin") + 1).alias("end"))
+    found = border.unionByName(stretches.filter("found").select("seq", "begin", "end"))
+    for size in PIECES:
+        whole, rest = _settle(contexts, open_, size)
+        found, open_ = found.unionByName(whole), stored(rest, "open")
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +339,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     runs = stored(named.select("k1", "k2", "text").mapInArrow(_runs, _RUN), "runs")
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     shared = stored(runs.join(often, "anchor"), "shared")
-    body = ["anchor", "d1", "d2"]
+    body = ["anchor", "digest", "n", "off"]
     texts = stored(shared.groupBy(*body).agg(F.count(F.lit(1)).alias("copies")), "distinct")
     several = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     mixed = stored(texts.join(several, "anchor").withColumn("seq", F.monotonically_increasing_id()), "mixed")
