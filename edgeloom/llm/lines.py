@@ -40,6 +40,19 @@ def probes(line: Column, threshold: int = THRESHOLD) -> list[Column]:
     return keys
 
 
+def bigram_parity(line: Column) -> Column:
+    """For each of 64 bits, whether an odd number of the line's pairs of neighbouring characters hash to it.
+
+    An edit takes away two such pairs at most and adds two, so lines within a
+    distance of ``k`` differ in ``4 k`` bits at most.
+    """
+    def fold(chars: Column) -> Column:
+        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(F.get(chars, k), F.get(chars, k + 1)), F.lit(64)))
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 2), F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+
+    return _let(F.split(line, ""), fold)
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -124,31 +137,35 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
     """
     names = [f"p{k}" for k in range(len(probes(F.lit(""), threshold)))]
     keyed = _lines(docs, min_chars).select(
-        "doc_id", "line_no", *_key(), F.char_length("line").alias("n"),
+        "doc_id", "line_no", *_key(),
         *[p.alias(name) for p, name in zip(probes(F.col("line"), threshold), names, strict=True)])
     # equal lines are one item: they meet by 128 bits of hash, combined before the shuffle
     distinct = stored(
-        keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"),
-                                      *[F.max(x).alias(x) for x in names])
+        keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), *[F.max(x).alias(x) for x in names])
         .withColumn("item", F.monotonically_increasing_id()), "lines")
-    members = distinct.select("item", "n", F.explode(F.array(*names)).alias("bucket"))
+    members = distinct.select("item", F.explode(F.array(*names)).alias("bucket"))
     texts: list[DataFrame] = []
 
-    def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        if not texts:
-            wanted = distinct.join(live.select("item").distinct(), "item", "left_semi").select("h1", "h2", "item")
-            texts.append(stored(
-                _lines(docs, min_chars).select("line", *_key()).join(wanted, ["h1", "h2"])
-                .groupBy("item").agg(F.min("line").alias("line")), "texts"))
+    def traits(items: DataFrame) -> DataFrame:
+        wanted = distinct.join(items, "item", "left_semi").select("h1", "h2", "item")
+        texts.append(stored(
+            _lines(docs, min_chars).select("line", *_key()).join(wanted, ["h1", "h2"])
+            .groupBy("item").agg(F.min("line").alias("line")), "texts"))
+        return texts[0].select("item", F.char_length("line").alias("n"), bigram_parity(F.col("line")).alias("parity"))
+
+    def may_link(p: str, q: str) -> Column:
+        apart = F.bit_count(F.col(f"{p}parity").bitwiseXOR(F.col(f"{q}parity")))
+        return (F.abs(F.col(f"{p}n") - F.col(f"{q}n")) <= threshold) & (apart <= 4 * threshold)
+
+    def verify(pairs: DataFrame) -> DataFrame:
         t = texts[0]
         return (
-            pairs.join(t.select(F.col("item").alias("a"), F.col("line").alias("x")), "a")
+            stored(pairs, "pairs").join(t.select(F.col("item").alias("a"), F.col("line").alias("x")), "a")
             .join(t.select(F.col("item").alias("b"), F.col("line").alias("y")), "b")
             .filter(edit_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
         )
 
-    roots, _ = groups(members, verify, lambda p, q: F.abs(F.col(f"{p}n") - F.col(f"{q}n")) <= threshold, ("n",))
+    roots, _ = groups(members, verify, traits, may_link)
     joined = distinct.select("h1", "h2", "item", "copies").join(roots, "item", "left")
     heads = roots.select("root").distinct().select(F.col("root").alias("item"), F.col("root").alias("head"))
     classed = joined.join(heads, "item", "left").withColumn("line_class", F.coalesce("root", "head")).filter(

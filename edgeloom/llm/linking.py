@@ -3,7 +3,7 @@
 Items that share a bucket may be similar. A bucket is compared in stars: a
 few members are centres, and every other member is compared with each of
 them. Members already known to belong together need no comparison. A bucket
-takes part in further rounds, with twice as many centres each time, until all
+takes part in further rounds, with 32 times as many centres each time, until all
 its members belong together or every pair of different groups has had one end
 as a centre. So no link that the buckets allow is lost, and the pairs made in
 a round are a small multiple of the bucket rows.
@@ -16,9 +16,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.llm.storage import stored
+from edgeloom.llm.storage import discard, stored
 
-MAX_CENTRES = 64  # of a bucket and round; a bucket with more members takes more rounds
+MAX_CENTRES = 1024  # of a bucket and round; a bucket with more members takes more rounds
+
+
+def _state(edges: DataFrame) -> tuple:
+    """A fingerprint of an edge set, to see when it no longer changes."""
+    return tuple(edges.agg(
+        F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -29,7 +35,7 @@ def connected(links: DataFrame) -> DataFrame:
     edges = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .filter("u <> v").distinct(), "links")
-    before = None
+    before = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -42,10 +48,9 @@ def connected(links: DataFrame) -> DataFrame:
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         )
-        edges = stored(small, "stars")
-        state = tuple(edges.agg(
-            F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        last, edges = edges, stored(small, "stars")
+        discard(last)
+        state = _state(edges)
         if state == before or state[0] == 0:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         before = state
@@ -89,28 +94,32 @@ def _open(rows: DataFrame) -> DataFrame:
 
 def groups(
     members: DataFrame,
-    verify: Callable[[DataFrame, DataFrame], DataFrame],
-    may_link: Callable[[str, str], Column] | None = None,
-    extra: tuple[str, ...] = (),
+    verify: Callable[[DataFrame], DataFrame],
+    traits: Callable[[DataFrame], DataFrame],
+    may_link: Callable[[str, str], Column],
     roots: DataFrame | None = None,
     turns: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``item, root``: the smallest item reached through links, for every item that reaches a smaller one.
 
-    ``members``: ``bucket, item`` (bigint), and the columns ``extra`` of the item.
-    ``verify`` gets ``a, b`` (a < b, distinct) and the rows of all buckets of two
-    or more items; it returns the pairs that are linked.
-    ``may_link`` is a condition on the extra columns of both (given the prefixes
-    of the two names) without which a pair cannot be linked.
+    ``members``: ``bucket, item`` (bigint). ``traits`` gets the items (distinct) that
+    share a bucket and adds what ``may_link`` needs of each.
+    ``verify`` gets ``a, b`` (a < b, distinct) and returns the pairs that are linked.
+    ``may_link`` is a condition on the traits of both (given the prefixes of the
+    two names) without which a pair cannot be linked; it is part of the join of
+    a bucket with its centres, so pairs that fail it are never made.
     ``roots`` are groups that are known before. After ``turns`` rounds (all that
     are needed, by default) the rows of buckets that are not settled are
     returned too; they are empty if all are.
     """
-    live = stored(
-        _open(_with_roots(members, roots).withColumn("served", F.lit(False))).distinct(), "buckets")
-    grown, turn = live, 0
+    shared = stored(_open(_with_roots(members, roots).withColumn("served", F.lit(False))).distinct(), "buckets")
+    known = traits(shared.select("item").distinct())
+    extra = [c for c in known.columns if c != "item"]
+    columns = ["bucket", "item", "root", "served", *extra]
+    grown, turn = stored(shared.join(known, "item").select(columns), "members"), 0
+    discard(shared)
     while not grown.isEmpty() and turn != turns:
-        some = min(2 ** turn, MAX_CENTRES)
+        some = min(32 ** turn, MAX_CENTRES)
         # centres: each of ``some`` parts of a bucket names one member that has not served yet
         part = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(some))
         named = (
@@ -122,16 +131,15 @@ def groups(
             grown.join(named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "centres")
         centres = marked.filter("now").select(
             "bucket", F.col("item").alias("centre"), F.col("root").alias("c_root"), *[F.col(x).alias(f"c_{x}") for x in extra])
-        pairs = marked.join(centres, "bucket").filter("root <> c_root")
-        if may_link is not None:
-            pairs = pairs.filter(may_link("", "c_"))
-        pairs = pairs.select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b"))
-        links = stored(verify(pairs.distinct(), live), "verified")
+        pairs = marked.join(centres, "bucket").filter("root <> c_root").filter(may_link("", "c_")).select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b"))
+        links = stored(verify(pairs.distinct()), "verified")
+        after = marked
         if not links.isEmpty():
             roots = _merged(roots, links)
-            marked = _with_roots(marked.drop("root"), roots)
-        grown = stored(_open(marked.withColumn("served", F.col("served") | F.col("now")).select(live.columns)), "open")
+            after = _with_roots(marked.drop("root"), roots)
+        last, grown = grown, stored(_open(after.withColumn("served", F.col("served") | F.col("now")).select(columns)), "open")
+        discard(last, marked, links)
         turn += 1
     if roots is None:
-        roots = live.select("item", "root").limit(0)
+        roots = grown.select("item", "root").limit(0)
     return roots, grown

@@ -14,7 +14,8 @@ from edgeloom.llm import text as tx
 from edgeloom.llm.linking import connected, groups
 from edgeloom.llm.storage import stored
 
-STAR_TURNS = 2  # rounds of stars in the buckets of bands; what they leave open goes by rare shingles
+STAR_TURNS = 3  # rounds of stars in the buckets of bands; what they leave open goes by rare shingles
+PARITY_WORDS = 8  # of 64 bits
 ROWS, BANDS = 5, 25  # a pair at similarity 0.85 shares no band once in two million, at 0.8 once in 20,000
 
 
@@ -62,8 +63,17 @@ def _sets(words: int, batches: Iterator[pa.RecordBatch], out: callable) -> Itera
             yield out(ids.slice(row, len(sets)), sets)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tx.mix(hashes) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
-    """``doc_id, n, set_id, buckets`` of every document: set size, digest of the set, one bucket a band."""
+    """``doc_id, n, set_id, buckets, parity`` of every document.
+
+    Set size, digest of the set, one bucket a band, and for each of some bits
+    whether an odd number of members hash to it.
+    """
     def emit(ids, sets):
         keys = []
         for s in sets:
@@ -78,11 +88,11 @@ def sketches(docs: DataFrame, words: int, rows: int, bands: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([
             ids, pa.array([len(s) for s in sets], pa.int64()),
             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-            pa.array(keys, pa.list_(pa.int64())),
-        ], names=["doc_id", "n", "set_id", "buckets"])
+            pa.array(keys, pa.list_(pa.int64())), pa.array([_parity(s) for s in sets], pa.list_(pa.int64())),
+        ], names=["doc_id", "n", "set_id", "buckets", "parity"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
-        lambda it: _sets(words, it, emit), "doc_id bigint, n bigint, set_id binary, buckets array<bigint>")
+        lambda it: _sets(words, it, emit), "doc_id bigint, n bigint, set_id binary, buckets array<bigint>, parity array<bigint>")
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -107,7 +117,7 @@ def _similar(percent: int):
 
 
 def _rare_buckets(sets: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """``bucket, item, n``: a bucket for each of an item's rarest shingles, as many as make sure of every link.
+    """``bucket, item``: a bucket for each of an item's rarest shingles, as many as make sure of every link.
 
     In one order of all shingles, two sets whose similarity is enough share
     one of the first ``n - ceil(percent n / 100) + 1`` of each. With rare
@@ -128,7 +138,7 @@ def _rare_buckets(sets: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("item", "n").orderBy("df", "bucket"))
     first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     return each.join(counts, "bucket").withColumn("place", place).filter(F.col("place") <= first).filter("df > 1").select(
-        "bucket", "item", "n")
+        "bucket", "item")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -138,7 +148,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     ``words``-word shingles (A-Z lower-cased) is at least ``percent`` / 100.
     Equal sets are one item from the start. Buckets of a banded one-permutation
     MinHash only nominate pairs, in stars; each is confirmed on the full sets.
-    Documents of buckets that two rounds of stars do not settle (families in
+    Documents of buckets that three rounds of stars do not settle (families in
     which many share a band and few are similar) are compared by the rare
     shingles that similar sets must share, so no link between them is lost.
 
@@ -151,31 +161,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     named = seen.filter("doc_id is not null and n > 0")
     classes = stored(
         named.groupBy("set_id").agg(F.min("doc_id").alias("item"), F.first("n").alias("n"),
-                                    F.first("buckets").alias("buckets")), "classes")
-    buckets = classes.select("item", "n", F.explode("buckets").alias("bucket"))
+                                    F.first("buckets").alias("buckets"), F.first("parity").alias("parity")), "classes")
+    buckets = classes.select("item", F.explode("buckets").alias("bucket"))
     ready: list[DataFrame] = []
 
-    def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
+    def traits(items: DataFrame) -> DataFrame:
         if not ready:  # full sets of the documents that share any bucket with another one
-            wanted = live.select("item").distinct()
             texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-                wanted.withColumnRenamed("item", "doc_id"), "doc_id", "left_semi")
+                items.withColumnRenamed("item", "doc_id"), "doc_id", "left_semi")
             ready.append(stored(_full_sets(texts, words), "sets"))
+        return items.join(classes.select("item", "n", "parity"), "item")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         sets = ready[0]
         found = (
-            pairs.join(sets.select(F.col("item").alias("a"), F.col("members").alias("x")), "a")
+            stored(pairs, "pairs").join(sets.select(F.col("item").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("item").alias("b"), F.col("members").alias("y")), "b")
         )
         return found.select("a", "b", "x", "y").mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
 
-    def sizes(p: str, q: str):
-        return 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
+    def may_link(p: str, q: str):
+        sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
+        # bits of odd count that differ are no more than the members that only one of the sets has
+        apart = sum((F.bit_count(F.col(f"{p}parity")[k].bitwiseXOR(F.col(f"{q}parity")[k])) for k in range(PARITY_WORDS)), F.lit(0))
+        return sizes & ((100 - percent) * (F.col(f"{p}n") + F.col(f"{q}n")) >= (100 + percent) * apart)
 
-    roots, unsettled = groups(buckets, verify, sizes, ("n",), turns=STAR_TURNS)
+    roots, unsettled = groups(buckets, verify, traits, may_link, turns=STAR_TURNS)
     if not unsettled.isEmpty():
         rest = _rare_buckets(ready[0], unsettled.select("item").distinct(), percent)
-        roots, _ = groups(rest, verify, sizes, ("n",), roots=roots)
+        roots, _ = groups(rest, verify, traits, may_link, roots=roots)
     # equal sets follow their representative; rows that share an id join what each of them joins
     reps = named.select("doc_id", "set_id").distinct().join(classes.select("set_id", "item"), "set_id").select(
         F.col("doc_id").alias("a"), F.col("item").alias("b"))

@@ -22,8 +22,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
     It cuts the lineage into storage that outlives executors. The files are
-    scratch data; they stay until the folder is emptied.
+    scratch data; what ``discard`` does not take stays until the folder is
+    emptied.
     """
     path = shared_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that nothing refers to any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

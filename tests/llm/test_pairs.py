@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom.llm import near_dedup, queries
 from edgeloom.llm.linking import connected, groups
@@ -76,7 +77,9 @@ def test_an_id_with_two_texts_joins_both(spark):
     assert got == {(5, 5), (7, 5), (9, 5), (3, 3)}
 
 
-def test_a_family_of_edited_copies(spark):
+@pytest.mark.parametrize("turns", [3, 1])
+def test_a_family_of_edited_copies(spark, monkeypatch, turns):
+    monkeypatch.setattr(near_dedup, "STAR_TURNS", turns)
     rng = np.random.default_rng(8)
     rows = []
     for family in range(3):
@@ -107,10 +110,11 @@ def test_signature_estimates_similarity():
 def test_groups_find_every_link_of_a_bucket(spark):
     # a chain in one bucket: each item is linked to its neighbours only
     members = spark.createDataFrame([(1, k * 10) for k in range(40)] + [(2, 5), (2, 390)], "bucket long, item long")
-    got, left = groups(members, lambda pairs, live: pairs.filter("b - a = 10"))
+    traits, always = lambda items: items, lambda p, q: F.lit(True)
+    got, left = groups(members, lambda pairs: pairs.filter("b - a = 10"), traits, always)
     assert left.isEmpty()
     assert {tuple(r) for r in got.collect()} == {(k * 10, 0) for k in range(1, 40)}
-    none, left = groups(members, lambda pairs, live: pairs.filter("a > b"))
+    none, left = groups(members, lambda pairs: pairs.filter("a > b"), traits, always)
     assert left.isEmpty()
     assert none.count() == 0
 
