@@ -308,7 +308,7 @@ tg AS (SELECT k::INT AS step, CASE WHEN k=0 THEN hi WHEN k=19 THEN lo ELSE pow(1
     "expression_csv": """SELECT var_name, (2*count(*))::BIGINT AS samples, (2*count(*))::BIGINT AS n, (2*sum(value::DECIMAL(18,2)))::DOUBLE AS total,
  min(value) AS low, max(value) AS high FROM (SELECT unnest(['l_quantity','l_extendedprice','l_discount','l_tax']) AS var_name,
  unnest([l_quantity::DOUBLE, l_extendedprice::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE]) AS value FROM lineitem) GROUP BY var_name""",
-    "edge_ranking": q(graph(), f"SELECT i, j, {r('w',8,'w')} FROM gw ORDER BY gw.w DESC, i, j"),
+    "edge_ranking": q(graph(), f"SELECT i, j, {r('w',9,'w')} FROM gw ORDER BY gw.w DESC, i, j"),
     "diffusion_signal": q(graph() + ", b1 AS (SELECT u, v, 1.0::DOUBLE AS w FROM bo)," + heat("b1", "h") + "," + heat_signal("h", T_GRID),
         f"SELECT node, t_idx, {r('s',8,'s')} FROM h_s", True),
     "correlation_pvalues": q(TESTED, f"SELECT i, j, {r('p',8,'p_value')} FROM tp"),

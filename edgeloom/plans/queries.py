@@ -558,7 +558,7 @@ def expression_csv(spark, sf):
 
 def edge_ranking(spark, sf):
     """Strongest edges first."""
-    return _weighted(spark, sf).orderBy(F.desc("w"), "i", "j").select("i", "j", rnd("w", 8))
+    return _weighted(spark, sf).orderBy(F.desc("w"), "i", "j").select("i", "j", rnd("w", 9))
 
 
 # --- diffusion -------------------------------------------------------------
