@@ -11,6 +11,7 @@ from edgeloom.llm.linking import groups
 from edgeloom.llm.storage import stored, table
 
 THRESHOLD = 2  # edits between linked lines
+PARITY_WORDS = 4  # of 64 bits
 MIN_CHARS = 20  # shorter lines are never touched: a few edits make another line of them
 
 
@@ -41,14 +42,19 @@ def probes(line: Column, threshold: int = THRESHOLD) -> list[Column]:
 
 
 def bigram_parity(line: Column) -> Column:
-    """For each of 64 bits, whether an odd number of the line's pairs of neighbouring characters hash to it.
+    """For each of ``64 * PARITY_WORDS`` bits, whether an odd number of the line's pairs of neighbouring characters hash to it.
 
     An edit takes away two such pairs at most and adds two, so lines within a
     distance of ``k`` differ in ``4 k`` bits at most.
     """
     def fold(chars: Column) -> Column:
-        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.hash(F.get(chars, k), F.get(chars, k + 1)), F.lit(64)))
-        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 2), F.lit(0).cast("bigint"), lambda acc, k: acc.bitwiseXOR(bit(k)))
+        def flip(acc: Column, h: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), h % 64)
+            return F.transform(acc, lambda word, k: F.when(k == F.floor(h / 64), word.bitwiseXOR(bit)).otherwise(word))
+
+        bucket = lambda k: F.pmod(F.hash(F.get(chars, k), F.get(chars, k + 1)), F.lit(64 * PARITY_WORDS))
+        zero = F.array(*[F.lit(0).cast("bigint")] * PARITY_WORDS)
+        return F.aggregate(F.sequence(F.lit(0), F.size(chars) - 2), zero, lambda acc, k: _let(bucket(k), lambda h: flip(acc, h)))
 
     return _let(F.split(line, ""), fold)
 
@@ -154,7 +160,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         return texts[0].select("item", F.char_length("line").alias("n"), bigram_parity(F.col("line")).alias("parity"))
 
     def may_link(p: str, q: str) -> Column:
-        apart = F.bit_count(F.col(f"{p}parity").bitwiseXOR(F.col(f"{q}parity")))
+        apart = sum((F.bit_count(F.col(f"{p}parity")[k].bitwiseXOR(F.col(f"{q}parity")[k])) for k in range(PARITY_WORDS)), F.lit(0))
         return (F.abs(F.col(f"{p}n") - F.col(f"{q}n")) <= threshold) & (apart <= 4 * threshold)
 
     def verify(pairs: DataFrame) -> DataFrame:

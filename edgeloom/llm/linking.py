@@ -92,6 +92,14 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(state.filter("lo < hi and unserved > 1").select("bucket"), "bucket")
 
 
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """Rows of one bucket of all that have the same items: the others would only repeat its pairs."""
+    item = F.col("item")
+    kinds = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n_"), F.bit_xor(F.xxhash64(item)).alias("x_"), F.bit_xor(F.xxhash64(item, F.lit(1))).alias("y_"))
+    return rows.join(kinds.groupBy("n_", "x_", "y_").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket", "left_semi")
+
+
 def groups(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
@@ -113,6 +121,9 @@ def groups(
     returned too; they are empty if all are.
     """
     shared = stored(_open(_with_roots(members, roots).withColumn("served", F.lit(False))).distinct(), "buckets")
+    once = stored(_one_of_each(shared), "buckets")
+    discard(shared)
+    shared = once
     known = traits(shared.select("item").distinct())
     extra = [c for c in known.columns if c != "item"]
     columns = ["bucket", "item", "root", "served", *extra]

@@ -79,8 +79,8 @@ def mix(
     cut = docs.select(
         *own, n_words(F.col("text")).alias("size"),
         F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("_sid"), key.alias("_key"),
-        F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * F.lit(slices) / F.lit(2.0 ** 32)).cast("bigint").alias("_slice"))
-    sums = stored(cut.groupBy("_sid", "_slice").agg(F.sum("size").alias("words")), "slices")
+        F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * F.lit(slices) / F.lit(2.0 ** 32)).cast("bigint").alias("_piece"))
+    sums = stored(cut.groupBy("_sid", "_piece").agg(F.sum("size").alias("words")), "slices")
     per = sums.groupBy("_sid").agg(F.sum("words").alias("source_size")).select(
         F.when(~F.col("_sid.none"), F.col("_sid.name")).alias("source"), "source_size")
     plan = source_targets(per, weights, max_epochs).select(
@@ -88,12 +88,12 @@ def mix(
         "source_size", "target")
     words = F.floor("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    before = running(sums, "_slice", {"upto": ("words", "sum")}, ["_sid"], rows=slices).join(plan, "_sid").select(
-        "_sid", "_slice", "source_size", "target", epochs.alias("_epochs"),
+    before = running(sums, "_piece", {"upto": ("words", "sum")}, ["_sid"], rows=sums.count()).join(plan, "_sid").select(
+        "_sid", "_piece", "source_size", "target", epochs.alias("_epochs"),
         (words - epochs * F.col("source_size") - (F.col("upto") - F.col("words"))).alias("_rest"))
-    inside = Window.partitionBy("_sid", "_slice").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_sid", "_piece").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     extra = F.col("_rest") - (F.col("_upto") - F.col("size"))
-    return cut.withColumn("_upto", F.sum("size").over(inside)).join(before, ["_sid", "_slice"]).select(
+    return cut.withColumn("_upto", F.sum("size").over(inside)).join(before, ["_sid", "_piece"]).select(
         *own, "size", "source_size", "target",
         (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), extra))).alias("taken"))
 

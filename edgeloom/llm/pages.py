@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.storage import table
+from edgeloom.llm.storage import stored, table
 
 PAGES_PER_SLICE = 64  # pages that learn a wrapper together; larger hosts are cut into slices
 EVIDENCE = 5  # different pages that must agree before a text counts as template
@@ -327,8 +327,11 @@ def main_text(pages: DataFrame, per_slice: int = PAGES_PER_SLICE) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     named = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"), host.alias("host"))
-    counts = named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / per_slice).cast("bigint").alias("slices"))
+    # as a written table its size is known to the planner, which then need not move pages to join it
+    counts = stored(named.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / per_slice).cast("bigint").alias("slices")), "hosts")
     cut = named.join(counts, "host").withColumn("slice", F.pmod(F.xxhash64("page_id"), F.col("slices"))).drop("slices")
+    # a join by host may leave rows dealt out by host alone, which would do for the groups but not for a large host
+    cut = cut.repartition("host", "slice")
     return cut.groupBy("host", "slice").applyInArrow(_slice, "page_id bigint, url string, text string, n_chars bigint")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm import text as tx
-from edgeloom.llm.storage import stored, table
+from edgeloom.llm.storage import discard, stored, table
 from edgeloom.operators.prefix import running
 
 LENGTH = 400
@@ -281,6 +281,7 @@ def _found_in_contexts(contexts: DataFrame) -> DataFrame:
     order = suffix_order(letters.select("seq", "pos", "letter"), 2)
     rows = letters.drop("letter").join(order, ["seq", "pos"])
     flags = stored(with_neighbours(rows, ["core", "exact", "whole"], letters.count() // SLICE_ROWS + 1), "flags")
+    discard(cut, letters)
     shapes = contexts.select("seq", "n", (F.col("off") % BLOCK).alias("first"))
     # a stretch goes from one border up to the next; what comes before the first border is stretch -1
     after = flags.select("seq", (F.col("pos") - 1).alias("pos"), F.col("core").alias("next_core"), F.col("same_core").alias("next_same"))
@@ -339,6 +340,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     runs = stored(named.select("k1", "k2", "text").mapInArrow(_runs, _RUN), "runs")
     often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
     shared = stored(runs.join(often, "anchor"), "shared")
+    discard(runs)
     body = ["anchor", "digest", "n", "off"]
     texts = stored(shared.groupBy(*body).agg(F.count(F.lit(1)).alias("copies")), "distinct")
     several = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")

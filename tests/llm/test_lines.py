@@ -92,3 +92,17 @@ def test_no_rows_and_no_copies(spark):
     docs = spark.createDataFrame([(1, "an entirely different line of text"), (2, "and one that shares nothing at all")], "doc_id long, text string")
     assert {(r.doc_id, r.n_removed) for r in ln.dedup_lines(docs).collect()} == {(1, 0), (2, 0)}
     assert ln.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_bigram_parity_bounds_the_distance(spark):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(200):
+        a = "".join(rng.choice("abcdefgé") for _ in range(rng.randint(20, 90)))
+        pairs.append((a, edited(rng, a, rng.randint(0, 3))))
+    got = spark.createDataFrame(pairs, "x string, y string").select(
+        "x", "y", ln.bigram_parity(F.col("x")).alias("p"), ln.bigram_parity(F.col("y")).alias("q")).collect()
+    for r in got:
+        apart = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(r.p, r.q, strict=True))
+        assert apart <= 4 * levenshtein(r.x, r.y)
+    assert len({tuple(r.p) for r in got}) == len({r.x for r in got})
