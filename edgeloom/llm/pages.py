@@ -76,10 +76,11 @@ def _role(tag: str, attrs: str) -> tuple[str, int]:
 
 
 class Node:
-    __slots__ = ("tag", "label", "bad", "kids", "parent", "slot", "inline")
+    __slots__ = ("tag", "label", "bad", "kind", "kids", "parent", "slot", "inline")
 
     def __init__(self, tag, label, bad, parent, inline=False):
         self.tag, self.label, self.bad, self.kids, self.parent, self.slot, self.inline = tag, label, bad, [], parent, None, inline
+        self.kind = (label, bad)  # only nodes of one kind may share a slot: hidden and shown ones may have the same label
         if parent is not None:
             parent.kids.append(self)
 
@@ -160,10 +161,10 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 class Slot:
     """A node of the wrapper: what stands at one place of a host's pages."""
 
-    __slots__ = ("label", "tag", "bad", "kids", "texts", "pages", "chars", "parent", "inside")
+    __slots__ = ("label", "tag", "bad", "kind", "kids", "texts", "pages", "chars", "parent", "inside")
 
     def __init__(self, node: Node, parent: Slot | None):
-        self.label, self.tag, self.bad, self.kids, self.parent = node.label, node.tag, node.bad, [], parent
+        self.label, self.tag, self.bad, self.kind, self.kids, self.parent = node.label, node.tag, node.bad, node.kind, [], parent
         self.texts, self.pages, self.chars = None, 0, 0
         self.inside = node.tag in _MAIN or node.label == "main" or (parent is not None and parent.inside)
 
@@ -172,10 +173,10 @@ class Slot:
 
 
 def _runs(node: Node) -> list[list[Node]]:
-    """Children with neighbours of the same label taken together: a repeated field is one slot."""
+    """Children with neighbours of the same kind taken together: a repeated field is one slot."""
     out: list[list[Node]] = []
     for kid in node.kids:
-        if out and out[-1][0].label == kid.label:
+        if out and out[-1][0].kind == kid.kind:
             out[-1].append(kid)
         else:
             out.append([kid])
@@ -183,16 +184,16 @@ def _runs(node: Node) -> list[list[Node]]:
 
 
 def _shape(nodes: list[Node]) -> tuple:
-    """Labels of a (repeated) node and what is below, and the nodes behind each, as a nested pair."""
+    """Kinds of a (repeated) node and what is below, and the nodes behind each, as a nested pair."""
     groups: list[list[Node]] = []
     for node in nodes:
         for run in _runs(node):
-            if groups and groups[-1][0].label == run[0].label:
+            if groups and groups[-1][0].kind == run[0].kind:
                 groups[-1] = groups[-1] + run
             else:
                 groups.append(run)
     kids = [_shape(g) for g in groups]
-    return (nodes[0].label, tuple(k[0] for k in kids)), (nodes, [k[1] for k in kids])
+    return (nodes[0].kind, tuple(k[0] for k in kids)), (nodes, [k[1] for k in kids])
 
 
 def matching(a: tuple, kids: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
@@ -202,7 +203,7 @@ def matching(a: tuple, kids: list[Slot]) -> tuple[int, list[tuple[int, int]]]:
     gain = [[0] * cols for _ in range(rows)]
     for x in range(rows):
         for y in range(cols):
-            if a[1][x][0] == kids[y].label:
+            if a[1][x][0] == kids[y].kind:
                 gain[x][y] = 1 + matching(a[1][x], kids[y].kids)[0]
             best[x + 1][y + 1] = max(best[x][y + 1], best[x + 1][y], best[x][y] + gain[x][y])
     pairs, x, y = [], rows, cols

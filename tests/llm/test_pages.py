@@ -65,3 +65,17 @@ def test_broken_and_odd_pages(spark):
 
 def test_deep_pages_end():
     assert pg.extract(["<div>" * 300 + "deep" + "</div>" * 300])[0] == "deep"
+
+
+def test_hidden_and_shown_siblings_stay_apart():
+    signs = ["role=navigation", "hidden", "aria-hidden=true", "style='display: none'"]
+    for tag in ("div", "p"):
+        for sign in signs:
+            gone, kept = f"<{tag} {sign}>menu {{0}}</{tag}>", f"<{tag}>article {{0}}</{tag}>"
+            for body in (gone + kept, kept + gone, gone + kept + gone, gone + kept + kept):
+                want = ["\n".join([f"article {k}"] * body.count("article")) for k in range(8)]
+                for top in ("{}", "<article>{}</article>"):
+                    assert pg.extract([top.replace("{}", body).replace("{0}", str(k)) for k in range(8)]) == want
+            # the role of the first page of a host decides nothing about the others
+            both = [gone.replace("{0}", "0"), kept.replace("{0}", "1")]
+            assert pg.extract(both) == ["", "article 1"] and pg.extract(both[::-1]) == ["article 1", ""]
