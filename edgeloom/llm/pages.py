@@ -20,7 +20,6 @@ from edgeloom.llm.storage import stored, table
 
 PAGES_PER_SLICE = 64  # pages that learn a wrapper together; larger hosts are cut into slices
 EVIDENCE = 5  # different pages that must agree before a text counts as template
-MAIN_SHARE = 0.6  # of the varying text: the content lies in the deepest node that holds as much
 
 # Element names of HTML by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -161,11 +160,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
 class Slot:
     """A node of the wrapper: what stands at one place of a host's pages."""
 
-    __slots__ = ("label", "tag", "bad", "kind", "kids", "texts", "pages", "chars", "parent", "inside")
+    __slots__ = ("label", "tag", "bad", "kind", "kids", "texts", "pages", "parent", "inside")
 
     def __init__(self, node: Node, parent: Slot | None):
         self.label, self.tag, self.bad, self.kind, self.kids, self.parent = node.label, node.tag, node.bad, node.kind, [], parent
-        self.texts, self.pages, self.chars = None, 0, 0
+        self.texts, self.pages = None, 0
         self.inside = node.tag in _MAIN or node.label == "main" or (parent is not None and parent.inside)
 
     def never(self) -> bool:
@@ -267,7 +266,6 @@ def extract(pages: list[str | None]) -> list[str]:
         seen.add(key)
         for slot, texts in by_slot.items():
             slot.pages += 1
-            slot.chars += sum(map(len, texts))
             if slot.texts is None:
                 slot.texts = {tuple(texts)}
             elif len(slot.texts) < 2:
@@ -290,21 +288,9 @@ def _content(root: Slot) -> set[Slot]:
 
     usable = {s for s in below(root) if not s.never() and not template(s)}
     marked = [s for s in below(root) if s.inside and s in usable]
-    if any(s.chars for s in marked):
+    if any(s.texts for s in marked):
         return set(marked)
-    mass = {}
-
-    def weigh(slot: Slot) -> int:
-        mass[slot] = (slot.chars if slot in usable else 0) + sum(weigh(k) for k in slot.kids)
-        return mass[slot]
-
-    total, top = weigh(root), root
-    while total:
-        deeper = [k for k in top.kids if mass[k] >= MAIN_SHARE * total and k.tag not in ("p", "li", "td", "pre")]
-        if not deeper:
-            break
-        top = deeper[0]
-    return {s for s in below(top) if s in usable}
+    return usable  # nothing tells the article from other text that is neither template nor ruled out by its role
 
 
 def _slice(part: pa.Table) -> pa.Table:
@@ -322,7 +308,8 @@ def main_text(pages: DataFrame, per_slice: int = PAGES_PER_SLICE) -> DataFrame:
     cut into slices of about ``per_slice`` by a hash of page_id; each slice
     learns its own wrapper, so no host is one task. A text is template only
     if ``EVIDENCE`` different pages agree; a page without company is judged
-    by the roles of its tags alone. Null or empty html gives an empty text;
+    by the roles of its tags alone. Where no element is marked as the article,
+    all text is kept that is neither template nor never content. Null or empty html gives an empty text;
     null urls form a host of their own; repeated rows are extracted alike.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))

@@ -79,3 +79,16 @@ def test_hidden_and_shown_siblings_stay_apart():
             # the role of the first page of a host decides nothing about the others
             both = [gone.replace("{0}", "0"), kept.replace("{0}", "1")]
             assert pg.extract(both) == ["", "article 1"] and pg.extract(both[::-1]) == ["article 1", ""]
+
+
+def test_without_article_no_varying_text_is_dropped():
+    long, short = "A long part of text number {k}, other on each page of this host. " * 13, "A short part of text number {k}, other on each page of this host. " * 7
+    bodies = {
+        f"<h1>Title {{k}}</h1><div class=body><p>{long}</p></div>": ["Title {k}", long],
+        f"<div class=lead><p>{long}</p></div><div class=rest><p>{short}</p></div>": [long, short],
+        f"<div class=a><h2>Head {{k}}</h2><div class=b><p>{short}</p><div class=c>{long}</div></div></div>": ["Head {k}", short, long],
+    }
+    for body, want in bodies.items():
+        page = f"<html><body><div id=top>The Daily Site</div><div id=wrap>{body}</div><div class=ads>Buy {{k}}</div><div class=end>Contact us</div></body></html>"
+        got = pg.extract([page.replace("{k}", str(k)) for k in range(8)])
+        assert got == ["\n".join(x.strip() for x in want).replace("{k}", str(k)) for k in range(8)]
