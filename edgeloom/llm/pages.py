@@ -270,12 +270,20 @@ def extract(pages: list[str | None]) -> list[str]:
                 slot.texts = {tuple(texts)}
             elif len(slot.texts) < 2:
                 slot.texts.add(tuple(texts))
-    chosen = _content(root) if root is not None else set()
-    return ["\n".join(text for node, text in blocks if node.slot in chosen) for blocks in parsed]
+    marked, usable = _content(root) if root is not None else (set(), set())
+    out = []
+    for blocks in parsed:  # pages of a host may differ in layout: each decides for itself whether it has a marked article
+        article = [text for node, text in blocks if node.slot in marked]
+        out.append("\n".join(article or [text for node, text in blocks if node.slot in usable]))
+    return out
+
 
+def _content(root: Slot) -> tuple[set[Slot], set[Slot]]:
+    """The slots of a wrapper that lie in a marked article, and all that are neither template nor never content.
 
-def _content(root: Slot) -> set[Slot]:
-    """The slots of a wrapper that hold the article."""
+    The latter hold the content of pages without text in a marked article:
+    nothing tells it from other text there.
+    """
     def below(slot: Slot):
         yield slot
         for kid in slot.kids:
@@ -287,10 +295,7 @@ def _content(root: Slot) -> set[Slot]:
         return constant and not (plain and slot.inside)  # plain parts of a marked article belong to it
 
     usable = {s for s in below(root) if not s.never() and not template(s)}
-    marked = [s for s in below(root) if s.inside and s in usable]
-    if any(s.texts for s in marked):
-        return set(marked)
-    return usable  # nothing tells the article from other text that is neither template nor ruled out by its role
+    return {s for s in usable if s.inside}, usable
 
 
 def _slice(part: pa.Table) -> pa.Table:
@@ -308,8 +313,8 @@ def main_text(pages: DataFrame, per_slice: int = PAGES_PER_SLICE) -> DataFrame:
     cut into slices of about ``per_slice`` by a hash of page_id; each slice
     learns its own wrapper, so no host is one task. A text is template only
     if ``EVIDENCE`` different pages agree; a page without company is judged
-    by the roles of its tags alone. Where no element is marked as the article,
-    all text is kept that is neither template nor never content. Null or empty html gives an empty text;
+    by the roles of its tags alone. On a page without text in an element marked
+    as the article, all text is kept that is neither template nor never content. Null or empty html gives an empty text;
     null urls form a host of their own; repeated rows are extracted alike.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))

@@ -92,3 +92,14 @@ def test_without_article_no_varying_text_is_dropped():
         page = f"<html><body><div id=top>The Daily Site</div><div id=wrap>{body}</div><div class=ads>Buy {{k}}</div><div class=end>Contact us</div></body></html>"
         got = pg.extract([page.replace("{k}", str(k)) for k in range(8)])
         assert got == ["\n".join(x.strip() for x in want).replace("{k}", str(k)) for k in range(8)]
+
+
+def test_layouts_of_a_host_are_judged_apart():
+    marked = {k: page(k, f"Title {k}", [f"Paragraph of {k}"], main="main" if k % 2 else "article") for k in range(6)}
+    other = {k: f"<body><div class=top>The Daily Site</div><h1>Head {k}</h1><div class=story><p>Story {k}</p></div><nav>Menu {k}</nav></body>" for k in range(6, 18)}
+    want = [f"Title {k}\nParagraph of {k}" for k in marked] + [f"Head {k}\nStory {k}" for k in other]
+    both = [*marked.values(), *other.values()]
+    assert pg.extract(both) == want and pg.extract(both[::-1]) == want[::-1]
+    # a single page of the other layout, and a page of which only the marking differs
+    assert pg.extract([*marked.values(), other[6]])[-1] == "The Daily Site\nHead 6\nStory 6"
+    assert pg.extract([f"<{t}><p>the same words</p></{t}>" for t in ("article", "div")]) == ["the same words"] * 2
