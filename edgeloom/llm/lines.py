@@ -12,7 +12,7 @@ from edgeloom.llm.storage import stored, table
 
 THRESHOLD = 2  # edits between linked lines
 PARITY_WORDS = 4  # of 64 bits
-MIN_CHARS = 20  # shorter lines are never touched: a few edits make another line of them
+MIN_CHARS = 20  # shorter lines have equal copies only: a few edits make another line of them
 
 
 def probes(line: Column, threshold: int = THRESHOLD) -> list[Column]:
@@ -134,28 +134,31 @@ def _key() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")]
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id, line_no, line_class, copies, first`` of every line that has an equal or a near copy.
 
-    Lines are near copies if their edit distance is at most ``threshold``;
+    Lines of at least ``min_chars`` characters take part. Two lines of at least
+    ``near_chars`` are near copies if their edit distance is at most ``threshold``;
     classes are what chains of near copies connect. ``first`` marks the one
     line of a class with the smallest (doc_id, line_no).
     """
+    near_chars = max(min_chars, near_chars)
     names = [f"p{k}" for k in range(len(probes(F.lit(""), threshold)))]
     keyed = _lines(docs, min_chars).select(
-        "doc_id", "line_no", *_key(),
+        "doc_id", "line_no", *_key(), (F.char_length("line") >= near_chars).alias("near"),
         *[p.alias(name) for p, name in zip(probes(F.col("line"), threshold), names, strict=True)])
     # equal lines are one item: they meet by 128 bits of hash, combined before the shuffle
     distinct = stored(
-        keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), *[F.max(x).alias(x) for x in names])
+        keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.max("near").alias("near"), *[F.max(x).alias(x) for x in names])
+        .select("h1", "h2", "copies", "near", *[F.when(F.col("near"), F.col(x)).alias(x) for x in names])
         .withColumn("item", F.monotonically_increasing_id()), "lines")
-    members = distinct.select("item", F.explode(F.array(*names)).alias("bucket"))
+    members = distinct.filter("near").select("item", F.explode(F.array(*names)).alias("bucket"))
     texts: list[DataFrame] = []
 
     def traits(items: DataFrame) -> DataFrame:
         wanted = distinct.join(items, "item", "left_semi").select("h1", "h2", "item")
         texts.append(stored(
-            _lines(docs, min_chars).select("line", *_key()).join(wanted, ["h1", "h2"])
+            _lines(docs, near_chars).select("line", *_key()).join(wanted, ["h1", "h2"])
             .groupBy("item").agg(F.min("line").alias("line")), "texts"))
         return texts[0].select("item", F.char_length("line").alias("n"), bigram_parity(F.col("line")).alias("parity"))
 
@@ -183,13 +186,14 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
         "first", F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).drop("at")
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1, near_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines taken out, and ``n_lines``, ``n_removed``.
 
     Of every class of equal or near-equal lines (see ``line_classes``) the
     line of the smallest (doc_id, line_no) stays, all others go, in the same
     document too. Lines are parts between line feeds; lines below
-    ``min_chars`` characters always stay.
+    ``min_chars`` characters (by default, empty ones) always stay, those below
+    ``near_chars`` go only for an equal one.
 
     Null text stays null (0 lines); an empty text is one empty line. Rows with
     a null doc_id keep all their lines and lend none. Rows that share a doc_id
@@ -197,7 +201,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     Other columns pass through.
     """
     named = docs.filter("doc_id is not null").select("doc_id", "text")
-    drops = line_classes(named, threshold, min_chars).filter("not first").groupBy(F.col("doc_id").alias("_id")).agg(
+    drops = line_classes(named, threshold, min_chars, near_chars).filter("not first").groupBy(F.col("doc_id").alias("_id")).agg(
         F.collect_set("line_no").alias("_drops"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, k: ~F.array_contains("_drops", k))

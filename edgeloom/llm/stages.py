@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.leaks import without_leaks
-from edgeloom.llm.lines import dedup_lines
+from edgeloom.llm.lines import MIN_CHARS, dedup_lines
 from edgeloom.llm.mixing import mix
 from edgeloom.llm.near_dedup import near_duplicates
 from edgeloom.llm.quality import accept
@@ -25,9 +25,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal and nearly equal lines the first in the corpus stays; every document stays, if need be empty.
 
-    ``n_chars``, where there is one, follows the text.
+    ``n_chars``, where there is one, follows the text. Unlike in
+    ``op7_line_dedup``, lines below ``MIN_CHARS`` characters stay.
     """
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, min_chars=MIN_CHARS)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))

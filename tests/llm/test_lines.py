@@ -106,3 +106,11 @@ def test_bigram_parity_bounds_the_distance(spark):
         apart = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(r.p, r.q, strict=True))
         assert apart <= 4 * levenshtein(r.x, r.y)
     assert len({tuple(r.p) for r in got}) == len({r.x for r in got})
+
+
+def test_equal_lines_of_any_length_meet(spark):
+    long = "a line that is long enough for near copies"
+    rows = [(1, "x\nAnd ornd.\n\n" + long), (2, "And ornd.\nAnd ornd!\n\nx\ny"), (3, "And ornd.\n" + long[:-1]), (None, "x"), (4, "x\n\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in ln.dedup_lines(docs).collect()}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("And ornd!\n\ny", 5, 2), 3: ("", 2, 2), None: ("x", 1, 0), 4: ("\n", 3, 1)}
