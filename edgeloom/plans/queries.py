@@ -26,6 +26,7 @@ from edgeloom.sources import readers, sinks
 
 P = 64
 T_GRID = [float(t) for t in np.linspace(0.01, 1.0, 5)]
+TIMES = [float(t) for t in np.linspace(1e-4, 3.0, 80)]
 
 
 def rnd(name: str, digits: int = 6, expr=None):
@@ -206,9 +207,7 @@ def line_network(spark, sf):
 def grouped_fits(spark, sf):
     """One network per embedding label from a single pass (fewer samples than variables)."""
     fits = inference.keyed_precision(inputs.labelled_chain(spark, sf), P)
-    return fits.filter(F.abs("z") > 0).groupBy("key").agg(
-        F.count(F.lit(1)).alias("nonzero"), F.max(F.abs("z")).alias("max_abs_z")
-    ).select("key", "nonzero", rnd("max_abs_z", 4))
+    return fits.select("key", "i", "j", rnd("omega", 5), rnd("variance", 7), rnd("z", 4))
 
 
 def ensemble_ci(spark, sf):
@@ -255,7 +254,7 @@ def stars_select(spark, sf):
 
 def stars_desparsified(spark, sf):
     adj, theta = stars.stars_select(
-        inputs.chain_matrix(spark, sf), estimators.DesparifiedGGM(), direction="smallest", n_subsamples=10)
+        inputs.chain_matrix(spark, sf), estimators.DesparifiedGGM(), direction="smallest")
     return adj.filter("is_edge = 1").select("i", "j", rnd("value", 6), F.lit(theta).alias("theta"))
 
 
@@ -304,7 +303,7 @@ def ggl_edges(spark, sf):
 
 def _pig(spark, sf, **options):
     z = _scaled_chain(spark, sf)
-    est = estimators.PIGLassoEstimator(Q=20, n_lambda=8, **options)
+    est = estimators.PIGLassoEstimator(**options)
     return est.fit(z, priors.corr_prior(z, P))
 
 
@@ -592,12 +591,12 @@ def knockout_impact(spark, sf):
 
 def knockout_metrics(spark, sf):
     g = inputs.threshold_graph(spark, sf).select("i", "j")
-    return diffusion.evaluate_knockouts(g, _chain_graph(spark), P, _delta(spark, sf), T_GRID)
+    return diffusion.evaluate_knockouts(g, _chain_graph(spark), P, _delta(spark, sf), TIMES)
 
 
 def diffusion_task(spark, sf):
     g = inputs.threshold_graph(spark, sf).select("i", "j")
-    return diffusion.diffusion_task(g, _chain_graph(spark), P, "fiedler", [0.25, 0.5, 1.0], seed=11)
+    return diffusion.diffusion_task(g, _chain_graph(spark), P, "fiedler", TIMES, seed=11)
 
 
 # --- enrichment ------------------------------------------------------------
@@ -677,7 +676,7 @@ def _strengths(spark, sf):
 
 
 def gsea_prerank(spark, sf):
-    r = enrichment.prerank(_strengths(spark, sf), _terms(spark, sf), permutations=200)
+    r = enrichment.prerank(_strengths(spark, sf), _terms(spark, sf))
     return r.select("term_id", rnd("ES"), rnd("NES", 4), "p_value", rnd("adjusted_p_value", 4), "lead_genes")
 
 

@@ -1,5 +1,6 @@
 """Every registered SQL twin against its query, on the smallest tables."""
 
+import inspect
 import math
 import os
 
@@ -51,3 +52,36 @@ def test_queries_without_sql_return_rows(spark, name):
 
 def test_entry(spark):
     assert entry_module.entry(spark).count() >= 63
+
+
+def test_queries_without_sql_do_the_full_work(spark, monkeypatch):
+    from edgeloom.operators import diffusion, enrichment, estimators, stars
+    from edgeloom.plans import queries
+
+    class Called(Exception):
+        pass
+
+    def arguments(module, name, query):
+        whole = inspect.signature(getattr(module, name))
+
+        def note(*args, **options):
+            bound = whole.bind(*args, **options)
+            bound.apply_defaults()
+            raise Called(bound.arguments)
+
+        with monkeypatch.context() as m, pytest.raises(Called) as caught:
+            m.setattr(module, name, note)
+            QUERIES[query](spark, SF)
+        return caught.value.args[0]
+
+    for query in ("stability_selection", "adaptive_threshold"):
+        est = arguments(estimators.PIGLassoEstimator, "fit", query)["self"]
+        assert (est.Q, est.n_lambda) == (50, 20)
+    assert arguments(stars, "stars_select", "stars_desparsified")["n_subsamples"] == 20
+    assert arguments(enrichment, "prerank", "gsea_prerank")["permutations"] == 1000
+    for name, query in (("evaluate_knockouts", "knockout_metrics"), ("diffusion_task", "diffusion_task")):
+        times = arguments(diffusion, name, query)["t_grid"]
+        assert len(times) == 80 and (times[0], times[-1]) == (1e-4, 3.0)
+    rows = QUERIES["grouped_fits"](spark, SF)
+    labels = spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().count()
+    assert rows.count() == labels * queries.P * (queries.P - 1) // 2 and {"key", "i", "j", "z"} <= set(rows.columns)
