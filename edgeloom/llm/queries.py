@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm.archives import OP9_SQL, op9_page_archive
+from edgeloom.llm.interactions import OP12_SQL, op12_filter_audit
 from edgeloom.llm.language import op3_language
 from edgeloom.llm.leaks import op8_benchmark_leaks
 from edgeloom.llm.lines import op7_line_dedup
 from edgeloom.llm.mixing import OP5_SQL, op5_mix_sources
 from edgeloom.llm.near_dedup import near_duplicates
 from edgeloom.llm.neighbours import op10_neighbours
+from edgeloom.llm.packing import op11_packed_sequences
 from edgeloom.llm.pages import op4_page_text
 from edgeloom.llm.quality import op2_quality
 from edgeloom.llm.storage import table
 from edgeloom.llm.suffixes import op6_repeated_strings
+from edgeloom.llm.variants import op13_spelling_variants
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,5 +51,8 @@ QUERIES = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_page_archive": op9_page_archive,
     "op10_neighbours": op10_neighbours,
+    "op11_packed_sequences": op11_packed_sequences,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op1_near_duplicates": OP1_SQL, "op5_mix_sources": OP5_SQL, "op9_page_archive": OP9_SQL}
+ORACLES = {"op1_near_duplicates": OP1_SQL, "op5_mix_sources": OP5_SQL, "op9_page_archive": OP9_SQL, "op12_filter_audit": OP12_SQL}
