@@ -13,6 +13,7 @@ from edgeloom.session import checkpointed
 
 CENTRALITIES = ("degree", "betweenness", "eigenvector")
 MAX_BROADCAST_EDGES = 5_000_000  # 40 MB of int32 pairs
+SOURCE_ROWS = 500_000_000  # rows (source, node) of the searches by joins that run together
 
 
 def _edge_arrays(edges: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -82,59 +83,85 @@ def _all_nodes(spark, p: int, scores: DataFrame, value) -> DataFrame:
 
 
 def _betweenness_by_joins(edges: DataFrame, p: int, pairs: int) -> DataFrame:
+    """Searches of ``SOURCE_ROWS / p`` sources at a time, each level a join.
+
+    A level is a table of its own; a search needs the last two of them (what is
+    next to a level is in it, before it or behind it) and the way back one at a
+    time, so what is held is a row for each source of the batch and node.
+    """
     spark = edges.sparkSession
     links = checkpointed(symmetrise(edges.select("i", "j"), []))
-    seen = checkpointed(nodes_table(spark, p).select(
-        F.col("node").alias("src"), "node", F.lit(0).alias("dist"), F.lit(1.0).alias("sigma")))
-    front, depth, levels = seen, 0, [seen]
+    total, batch = None, max(1, SOURCE_ROWS // p)
+    for lo in range(0, p, batch):
+        found = _search_back(links, _search(spark, links, lo, min(lo + batch, p)))
+        if found is None:
+            continue
+        both = found if total is None else total.unionByName(found).groupBy("node").agg(F.sum("dep").alias("dep"))
+        total = checkpointed(both)
+    if total is None:
+        total = spark.createDataFrame([], "node INT, dep DOUBLE")
+    return _all_nodes(spark, p, total, F.col("dep") / float(pairs))
+
+
+def _search(spark, links: DataFrame, lo: int, hi: int) -> list[DataFrame]:
+    """Breadth-first levels ``src, node, sigma`` (shortest paths) of the sources ``lo .. hi - 1``."""
+    start = spark.range(lo, hi).select(
+        F.col("id").cast("int").alias("src"), F.col("id").cast("int").alias("node"), F.lit(1.0).alias("sigma"))
+    levels = [checkpointed(start)]
     while True:
-        step = (
-            front.join(links, "node").groupBy("src", F.col("nbr").alias("node"))
-            .agg(F.sum("sigma").alias("sigma"))
-        )
-        depth += 1
-        front = checkpointed(step.join(seen, ["src", "node"], "left_anti").select(
-            "src", "node", F.lit(depth).alias("dist"), "sigma"))
-        if front.isEmpty():
-            break
-        levels.append(front)
-        seen = checkpointed(seen.unionByName(front))
-    dep = None
+        step = levels[-1].join(links, "node").groupBy("src", F.col("nbr").alias("node")).agg(F.sum("sigma").alias("sigma"))
+        for before in levels[-2:]:
+            step = step.join(before.select("src", "node"), ["src", "node"], "left_anti")
+        step = checkpointed(step.select("src", "node", "sigma"))
+        if step.isEmpty():
+            return levels
+        levels.append(step)
+
+
+def _search_back(links: DataFrame, levels: list[DataFrame]) -> DataFrame | None:
+    """``node, dep``: dependencies of all sources on each node, gathered from the farthest level to the nearest."""
+    dep, total = None, None
     for lower, upper in zip(reversed(levels[1:]), reversed(levels[:-1])):
         below = lower.withColumn("dep", F.lit(0.0)) if dep is None else lower.join(
             dep, ["src", "node"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0)))
-        flow = below.select("src", F.col("node").alias("nbr"), (
-            (1.0 + F.col("dep")) / F.col("sigma")).alias("f")).join(
+        flow = below.select("src", F.col("node").alias("nbr"), ((1.0 + F.col("dep")) / F.col("sigma")).alias("f")).join(
             links, "nbr").join(upper, ["src", "node"])
-        now = flow.groupBy("src", "node").agg(F.sum(F.col("f") * F.col("sigma")).alias("dep"))
-        dep = checkpointed(now if dep is None else now.unionByName(
-            dep.join(now, ["src", "node"], "left_anti")))
-    total = spark.createDataFrame([], "node INT, dep DOUBLE") if dep is None else dep.filter(
-        "src <> node").groupBy("node").agg(F.sum("dep").alias("dep"))
-    return _all_nodes(spark, p, total, F.col("dep") / float(pairs))
+        dep = checkpointed(flow.groupBy("src", "node").agg(F.sum(F.col("f") * F.col("sigma")).alias("dep")))
+        level = dep.filter("src <> node").groupBy("node").agg(F.sum("dep").alias("dep"))
+        total = level if total is None else total.unionByName(level)
+    return None if total is None else total.groupBy("node").agg(F.sum("dep").alias("dep"))
 
 
 def eigenvector(edges: DataFrame, p: int, max_iter: int = 1000, tol: float = 1e-6) -> DataFrame:
     """Eigenvector centrality by power iteration; degree if it does not converge.
 
     The edge list of a graph within the broadcast limit is iterated in one
-    task; beyond it every iteration is a join and an aggregation.
+    task on an executor; beyond it every iteration is a join and an aggregation.
     """
     spark = edges.sparkSession
     arrays = _edge_arrays(edges)
     if arrays is None:
         return _eigenvector_by_joins(edges, p, max_iter, tol)
     i, j = arrays
-    a, b = np.concatenate([i, j]), np.concatenate([j, i])
-    x = np.full(p, 1.0 / p)
-    for _ in range(max_iter):
-        y = x + np.bincount(a, weights=x[b], minlength=p)
-        y /= np.linalg.norm(y) or 1.0
-        if np.abs(y - x).sum() < p * tol:
-            return spark.createDataFrame(
-                pd.DataFrame({"node": np.arange(p, dtype=np.int32), "score": y}))
-        x = y
-    return degree(edges, p).select("node", F.col("degree").cast("double").alias("score"))
+    shared = spark.sparkContext.broadcast((np.concatenate([i, j]), np.concatenate([j, i])))
+
+    def iterate(batches):
+        a, b = shared.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x, close = np.full(p, 1.0 / p), False
+            for _ in range(max_iter):
+                y = x + np.bincount(a, weights=x[b], minlength=p)
+                y /= np.linalg.norm(y) or 1.0
+                close = np.abs(y - x).sum() < p * tol
+                if close:
+                    break
+                x = y
+            score = y if close else np.bincount(a, minlength=p).astype(float)
+            yield pd.DataFrame({"node": np.arange(p, dtype=np.int32), "score": score})
+
+    return spark.range(0, 1, 1, 1).mapInPandas(iterate, "node INT, score DOUBLE")
 
 
 def _eigenvector_by_joins(edges: DataFrame, p: int, max_iter: int, tol: float) -> DataFrame:

@@ -88,45 +88,61 @@ def greedy_modularity(edges: DataFrame, p: int) -> DataFrame:
 
     Communities of different components never merge and do not affect each
     other's gains, so every component is an independent task. A component too
-    large for a task is merged step by step with joins.
+    large for a task is merged with joins, many merges a round.
     """
     m = float(edges.count())
     return _by_component(edges, p, lambda pdf: _merge_component(pdf, m), lambda big: _merge_by_joins(big, m))
 
 
 def _merge_by_joins(edges: DataFrame, m: float) -> DataFrame:
-    """The same merging for large components, one merge per component and step."""
+    """Greedy merging of large components, many merges a round.
+
+    Each community names the neighbour it gains most by joining. Pairs that
+    name each other merge, lower id stays; of the others, those whose coin (a
+    hash of id and round) says go join what they named if its coin says stay.
+    What joins one community does so in order of gain, as long as its gain
+    stays positive with those before it already there. A fixed share of the
+    communities that can still gain merge in a round, so the rounds grow with
+    the logarithm of their number.
+    """
     unit = 1.0 / (2.0 * m)
-    links = checkpointed(edges.select(
-        "component", F.col("i").alias("u"), F.col("j").alias("v"), F.lit(unit).alias("w")))
-    ends = edges.select("component", F.explode(F.array("i", "j")).alias("u"))
-    share = checkpointed(ends.groupBy("component", "u").agg((F.count(F.lit(1)) * unit).alias("a")))
-    member = share.select("component", F.col("u").alias("node"), F.col("u").alias("community"))
+    links = checkpointed(edges.select(F.col("i").alias("u"), F.col("j").alias("v"), F.lit(unit).alias("w")))
+    ends = edges.select(F.explode(F.array("i", "j")).alias("u"))
+    share = checkpointed(ends.groupBy("u").agg((F.count(F.lit(1)) * unit).alias("a")))
+    member = share.select(F.col("u").alias("node"), F.col("u").alias("community"))
+    turn = 0
     while True:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
         gain = (
-            links.join(share, ["component", "u"])
-            .join(share.select("component", F.col("u").alias("v"), F.col("a").alias("b")), ["component", "v"])
-            .select("component", F.struct(
-                (2.0 * (F.col("w") - F.col("a") * F.col("b"))).alias("g"),
-                (-F.col("u")).alias("nu"), (-F.col("v")).alias("nv")).alias("s"))
+            both.join(share, "u").join(share.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
+            .withColumn("g", 2.0 * (F.col("w") - F.col("a") * F.col("b"))).filter("g > 1e-15")
         )
-        pick = checkpointed(
-            gain.groupBy("component").agg(F.max("s").alias("s")).filter(F.col("s.g") > 1e-15)
-            .select("component", (-F.col("s.nu")).alias("keep"), (-F.col("s.nv")).alias("gone")))
-        if pick.isEmpty():
+        best = checkpointed(gain.groupBy("u").agg(F.max(F.struct("g", (-F.col("v")).alias("nv"), "w", "a")).alias("s")).select(
+            "u", (-F.col("s.nv")).alias("v"), "s.g", "s.w", "s.a"))
+        if best.isEmpty():
             return member.select("node", "community")
+        back = best.select(F.col("u").alias("v"), F.col("v").alias("vv"))
+        stays = lambda c: F.xxhash64(F.col(c), F.lit(turn)) % 2 == 0
+        named = best.join(back, "v", "left").withColumn("mutual", F.coalesce(F.col("vv") == F.col("u"), F.lit(False)))
+        # an end of a mutual pair does as the pair does; all others as their coins say
+        pairs = named.filter("mutual").select(F.col("u").alias("v"), F.lit(True).alias("paired"), (F.col("u") < F.col("v")).alias("low"))
+        asked = named.join(pairs, "v", "left").filter(
+            (F.col("mutual") & (F.col("u") > F.col("v")))
+            | (~F.col("mutual") & F.when(F.col("paired"), F.col("low")).otherwise(stays("v") & ~stays("u"))))
+        there = Window.partitionBy("v").orderBy(F.desc("g"), "u").rowsBetween(Window.unboundedPreceding, -1)
+        crowd = F.coalesce(F.sum("a").over(there), F.lit(0.0))
+        pick = checkpointed(asked.withColumn("left", F.col("g") - 2.0 * F.col("a") * crowd).filter("left > 0").select(
+            F.col("u").alias("gone"), F.col("v").alias("keep")))
 
         def renamed(df: DataFrame, col: str) -> DataFrame:
-            return df.join(pick, "component", "left").withColumn(
-                col, F.when(F.col(col) == F.col("gone"), F.col("keep")).otherwise(F.col(col))
-            ).drop("keep", "gone")
+            return df.join(pick, F.col(col) == F.col("gone"), "left").withColumn(
+                col, F.coalesce("keep", col)).drop("keep", "gone")
 
         moved = renamed(renamed(links, "u"), "v").filter("u <> v")
-        links = checkpointed(moved.groupBy(
-            "component", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-        ).agg(F.sum("w").alias("w")))
-        share = checkpointed(renamed(share, "u").groupBy("component", "u").agg(F.sum("a").alias("a")))
+        links = checkpointed(moved.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("w").alias("w")))
+        share = checkpointed(renamed(share, "u").groupBy("u").agg(F.sum("a").alias("a")))
         member = checkpointed(renamed(member, "community"))
+        turn += 1
 
 
 def _propagate_component(pdf: pd.DataFrame) -> dict[int, int]:

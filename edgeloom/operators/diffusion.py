@@ -1,14 +1,15 @@
 """Heat diffusion and knock-out analysis on graphs.
 
-A graph enters as an edge table. Graphs up to ``MAX_DENSE_P`` nodes are
-decomposed inside tasks (one per graph, or one per knocked-out node, with the
-broadcast edge arrays size-checked); larger graphs are diffused by repeated
-sparse products as joins.
+A graph enters as an edge table. Small graphs (``DENSE_NODES``, or
+``MAX_DENSE_P`` for one signal a graph) are decomposed inside tasks. Larger
+ones are never made a matrix: their edges are broadcast behind a check of
+their number, and tasks apply a Chebyshev series of the heat kernel to some
+times, or to some knocked-out nodes at once. Graphs whose edges are too many to
+broadcast are diffused by the same series with products as joins.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 
 import numpy as np
@@ -21,8 +22,13 @@ from edgeloom.operators.matrix import MAX_DENSE_P, check_dense
 from edgeloom.operators.metrics import NAN, normalised_score, top_k_recall
 from edgeloom.operators.preprocess import dense_from_edges
 from edgeloom.operators.prefix import average_rank
+from edgeloom.operators.sparse import (
+    MAX_CELLS, MAX_EDGES, Laplacian, chebyshev_weights, edge_arrays, fiedler_vector, heat_series,
+)
 from edgeloom.session import checkpointed, spread
 
+DENSE_NODES = 256  # up to here a decomposition is as cheap as a series
+
 
 def dense_laplacian(a: np.ndarray, normalised: bool = False) -> np.ndarray:
     d = a.sum(axis=1)
@@ -50,7 +56,11 @@ def make_delta(edges: DataFrame, p: int, mode: str, seed: int = 0) -> np.ndarray
         out = np.zeros(p)
         out[hub_node(edges, p).first()["node"]] = 1.0
         return out
-    if mode == "fiedler":
+    if mode == "fiedler" and p > DENSE_NODES:
+        if components(edges, p).agg(F.countDistinct("component")).first()[0] == 1:
+            return _sparse_fiedler(edges, p)
+        warnings.warn("the graph is disconnected: using a random start signal", stacklevel=2)
+    elif mode == "fiedler":
         lam, v = np.linalg.eigh(dense_laplacian(dense_adjacency(edges, p)))
         if int((lam < 1e-10).sum()) == 1:
             return v[:, 1] / np.linalg.norm(v[:, 1])
@@ -61,11 +71,52 @@ def make_delta(edges: DataFrame, p: int, mode: str, seed: int = 0) -> np.ndarray
     return out / np.linalg.norm(out)
 
 
+def _sparse_fiedler(edges: DataFrame, p: int) -> np.ndarray:
+    """The Fiedler vector in one task; with products as Spark jobs where the edges are too many for it."""
+    spark = edges.sparkSession
+    arrays = edge_arrays(edges)
+    if arrays is None:
+        return fiedler_vector(distributed_product(edges, p), p)
+    shared = spark.sparkContext.broadcast(arrays)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                lap = Laplacian(p, *shared.value)
+                yield pd.DataFrame({"v": [fiedler_vector(lambda x: lap @ x, p)]})
+
+    return np.asarray(spark.range(1).mapInPandas(run, "v ARRAY<DOUBLE>").first()["v"])  # p doubles
+
+
+def distributed_product(edges: DataFrame, p: int):
+    """``x -> L x`` as a job over the edge table; the vector (p doubles) is broadcast and comes back."""
+    spark = edges.sparkSession
+    ends = edges.select("i", "j")
+
+    def product(x: np.ndarray) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(x)
+
+        def partial(batches):
+            v = shared.value
+            for pdf in batches:
+                i, j = pdf["i"].to_numpy(int), pdf["j"].to_numpy(int)
+                moved = v[i] - v[j]
+                yield pd.DataFrame({"node": np.concatenate([i, j]), "y": np.concatenate([moved, -moved])})
+
+        sums = ends.mapInPandas(partial, "node INT, y DOUBLE").groupBy("node").agg(F.sum("y").alias("y")).toArrow()
+        out = np.zeros(p)
+        out[sums.column("node").to_numpy()] = sums.column("y").to_numpy()
+        shared.destroy()
+        return out
+
+    return product
+
+
 def diffuse(graphs: DataFrame, p: int, delta: np.ndarray, t_grid, normalised: bool = False) -> DataFrame:
     """``graph, node, t_idx, t, s`` for edges keyed by ``graph``; one task per graph."""
     times = np.asarray(t_grid, dtype=float)
     if p > MAX_DENSE_P:
-        return _diffuse_by_series(graphs, p, delta, times, normalised)
+        return _diffuse_sparse(graphs, p, delta, times, normalised)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a = np.zeros((p, p))
@@ -81,53 +132,62 @@ def diffuse(graphs: DataFrame, p: int, delta: np.ndarray, t_grid, normalised: bo
     )
 
 
-def _poisson(k: int, mu: float) -> float:
-    if mu == 0:
-        return 1.0 if k == 0 else 0.0
-    log = k * math.log(mu) - mu - math.lgamma(k + 1)
-    return math.exp(log) if log > -700 else 0.0
+def _diffuse_sparse(graphs: DataFrame, p: int, delta: np.ndarray, times: np.ndarray, normalised: bool) -> DataFrame:
+    """One task for some times of a graph, on its broadcast edges; by joins where they are too many."""
+    spark = graphs.sparkSession
+    some, out = max(1, MAX_CELLS // p), None
+    for name in [r["graph"] for r in graphs.select("graph").distinct().collect()]:  # a few graphs
+        edges = graphs.filter(F.col("graph") == name).select("i", "j")
+        arrays = edge_arrays(edges)
+        if arrays is None:
+            rows = _diffuse_by_joins(edges, p, delta, times, normalised)
+        else:
+            shared = spark.sparkContext.broadcast((arrays, delta))
+
+            def run(batches, shared=shared):
+                for pdf in batches:
+                    for lo in pdf["id"].to_numpy(int):
+                        own, start = shared.value
+                        lap = Laplacian(p, *own, normalised)
+                        part = times[lo:lo + some]
+                        for k, s in enumerate(heat_series(lambda x: lap @ x, lap.top, start, part)):
+                            yield pd.DataFrame({"node": np.arange(p), "t_idx": lo + k, "t": part[k], "s": s})
+
+            cuts = -(-len(times) // some)
+            rows = spark.range(0, len(times), some, cuts).mapInPandas(run, "node INT, t_idx INT, t DOUBLE, s DOUBLE")
+        rows = rows.select(F.lit(name).alias("graph"), "node", "t_idx", "t", "s")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def _diffuse_by_series(graphs: DataFrame, p: int, delta: np.ndarray, times: np.ndarray,
-                       normalised: bool) -> DataFrame:
-    """Uniformisation: ``exp(-tL) d = sum_k Poisson(k; ct) (I - L/c)^k d``.
+def _diffuse_by_joins(edges: DataFrame, p: int, delta: np.ndarray, times: np.ndarray, normalised: bool) -> DataFrame:
+    """The Chebyshev series with each product a join: ``T_k = 2 (2 L / c - 1) T_(k-1) - T_(k-2)``.
 
-    The powers do not depend on t, so one sparse product per term serves the
-    whole time grid; the sums for all times travel with the node.
+    The terms do not depend on t, so one product a term serves the whole time
+    grid; the sums for all times travel with the node. There are about
+    ``sqrt(c t)`` terms.
     """
-    spark = graphs.sparkSession
-    names = [r["graph"] for r in graphs.select("graph").distinct().collect()]
+    spark = edges.sparkSession
+    lap = checkpointed(laplacian(edges, p, normalised))
+    c = 2.0 if normalised else 2.0 * max(degree(edges, p).agg(F.max("degree")).first()[0], 1)
+    w = chebyshev_weights(times, c)
+    weights = lambda k: F.array(*[F.lit(float(x)) for x in w[k]])
+    start = spark.createDataFrame(pd.DataFrame({"node": np.arange(p, dtype=np.int32), "v": delta}))
+    state = start.select("node", F.lit(0.0).alias("u"), "v", F.transform(weights(0), lambda x: x * F.col("v")).alias("s"))
+    for k in range(1, len(w)):
+        product = (
+            lap.join(state.select(F.col("node").alias("j"), "v"), "j").groupBy(F.col("i").alias("node"))
+            .agg(F.sum(F.col("l") * F.col("v")).alias("lv"))
+        )
+        step = F.coalesce("lv", F.lit(0.0)) * (2.0 / c) - F.col("v")
+        new = step if k == 1 else 2.0 * step - F.col("u")
+        moved = state.join(product, "node", "left").select("node", F.col("v").alias("u"), new.alias("v"), "s")
+        # the state is read twice by the next term, so it is stored after each
+        state = checkpointed(moved.select(
+            "node", "u", "v", F.zip_with("s", weights(k), lambda s, x: s + x * F.col("v")).alias("s")))
     t_grid = F.array(*[F.lit(float(t)) for t in times])
-    out = None
-    for name in names:
-        edges = graphs.filter(F.col("graph") == name).select("i", "j")
-        lap = checkpointed(laplacian(edges, p, normalised))
-        c = 2.0 if normalised else 2.0 * degree(edges, p).agg(F.max("degree")).first()[0]
-        top = c * float(times.max())
-        last = int(top)
-        while _poisson(last, top) > 1e-18:
-            last += 1
-
-        def weights(k: int):
-            return F.array(*[F.lit(_poisson(k, c * float(t))) for t in times])
-
-        start = spark.createDataFrame(pd.DataFrame({"node": np.arange(p, dtype=np.int32), "v": delta}))
-        state = start.withColumn("s", F.transform(weights(0), lambda w: w * F.col("v")))
-        for k in range(1, last + 1):
-            product = (
-                lap.join(state.select(F.col("node").alias("j"), "v"), "j").groupBy(F.col("i").alias("node"))
-                .agg(F.sum(F.col("l") * F.col("v")).alias("lv"))
-            )
-            moved = state.join(product, "node", "left").select(
-                "node", (F.col("v") - F.coalesce("lv", F.lit(0.0)) / c).alias("v"), "s")
-            # the state is read twice by the next term, so it is stored after each
-            state = checkpointed(moved.select(
-                "node", "v", F.zip_with("s", weights(k), lambda s, w: s + w * F.col("v")).alias("s")))
-        rows = state.select("node", F.posexplode("s").alias("t_idx", "s")).select(
-            F.lit(name).alias("graph"), "node", "t_idx",
-            F.element_at(t_grid, F.col("t_idx") + 1).alias("t"), "s")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return state.select("node", F.posexplode("s").alias("t_idx", "s")).select(
+        "node", "t_idx", F.element_at(t_grid, F.col("t_idx") + 1).alias("t"), "s")
 
 
 def diffusion_metrics(signals: DataFrame, predicted: str, truth: str, p: int) -> DataFrame:
@@ -159,11 +219,14 @@ def knockout_impacts(edges: DataFrame, p: int, delta: np.ndarray, t_grid,
                      reduction: float = 0.3) -> DataFrame:
     """``node, impact``: largest signal change when a node's edges are weakened.
 
-    Nodes are spread over tasks; each perturbed graph is decomposed where it is
-    scored. The edge arrays are broadcast (size-checked).
+    Nodes are spread over tasks. Small graphs are decomposed for each node;
+    larger ones stay sparse (``_sparse_impacts``). The edge arrays are broadcast
+    (size-checked).
     """
     spark = edges.sparkSession
     times = np.asarray(t_grid, dtype=float)
+    if p > DENSE_NODES:
+        return _sparse_impacts(edges, p, delta, times, reduction)
     base_a = dense_adjacency(edges, p)
     base_s = heat(dense_laplacian(base_a), delta, times)
     shared = spark.sparkContext.broadcast((base_a, base_s, delta, times))
@@ -184,6 +247,55 @@ def knockout_impacts(edges: DataFrame, p: int, delta: np.ndarray, t_grid,
     return spark.range(0, p, 1, tasks).mapInPandas(score, "node INT, impact DOUBLE")
 
 
+def _sparse_impacts(edges: DataFrame, p: int, delta: np.ndarray, times: np.ndarray, reduction: float) -> DataFrame:
+    """Impacts by Chebyshev series: a task carries some nodes' perturbed signals as columns.
+
+    The perturbed Laplacians differ from the common one in the edges of one
+    node each, so a term is one sparse product for all columns and a correction
+    at those edges. Column 0 is the signal without a perturbation.
+    """
+    spark = edges.sparkSession
+    arrays = edge_arrays(edges)
+    if arrays is None:
+        raise ValueError(f"knock-outs need the graph in a task; the limit is {MAX_EDGES} edges")
+    shared = spark.sparkContext.broadcast((*arrays, delta))
+    at_once = max(1, min(len(times), MAX_CELLS // (2 * p)))
+    columns = max(1, MAX_CELLS // (at_once * p) - 1)
+
+    def impacts(lap: Laplacian, nodes: np.ndarray, start: np.ndarray) -> np.ndarray:
+        lo, hi = lap.starts[nodes], lap.starts[nodes + 1]
+        col = np.repeat(np.arange(1, len(nodes) + 1), hi - lo)
+        pos = np.repeat(hi - np.cumsum(hi - lo), hi - lo) + np.arange(len(col))
+        v, u, change = nodes[col - 1], lap.cols[pos], (reduction - 1.0) * lap.w[pos]
+
+        def product(x: np.ndarray) -> np.ndarray:
+            y = lap @ x
+            moved = change * (x[u, col] - x[v, col])
+            np.add.at(y, (u, col), moved)
+            np.subtract.at(y, (v, col), moved)
+            return y
+
+        x, worst = np.repeat(start[:, None], len(nodes) + 1, axis=1), np.zeros(len(nodes))
+        for k in range(0, len(times), at_once):
+            s = heat_series(product, lap.top, x, times[k:k + at_once])
+            far = np.sqrt(((s[:, :, 1:] - s[:, :, :1]) ** 2).sum(axis=1))
+            worst = np.maximum(worst, far.max(axis=0))
+        return worst
+
+    def score(batches):
+        lap = None
+        for pdf in batches:
+            i, j, w, start = shared.value
+            lap = lap or Laplacian(p, i, j, w)
+            nodes = pdf["id"].to_numpy(int)
+            for k in range(0, len(nodes), columns):
+                some = nodes[k:k + columns]
+                yield pd.DataFrame({"node": some.astype(np.int32), "impact": impacts(lap, some, start)})
+
+    tasks = min(p, 4 * spark.sparkContext.defaultParallelism)
+    return spark.range(0, p, 1, tasks).mapInPandas(score, "node INT, impact DOUBLE")
+
+
 def knockout_ranking(impacts: DataFrame) -> DataFrame:
     """Nodes by descending impact (one row per node)."""
     w = Window.orderBy(F.desc("impact"), "node")

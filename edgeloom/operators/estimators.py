@@ -12,15 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators import inference as inf
-from edgeloom.operators.gram import (
-    Stats, assemble, collect_keyed_stats, collect_stats, matrix_edges, merge, stat_blocks,
-)
-from edgeloom.operators.kernels import (
-    gaussian_score, glasso, lasso_nodes, residual_variance,
-)
+from edgeloom.operators.gram import assemble, collect_stats, stat_blocks
+from edgeloom.operators.kernels import glasso, lasso_nodes, residual_variance
 from edgeloom.operators.matrix import MAX_DENSE_P, check_dense, pair_grid, width
 from edgeloom.operators.sampling import with_folds, with_subsets
-from edgeloom.session import spread
+from edgeloom.operators.screened import (
+    covariance_rows, dense_precision, fold_rows, largest_off_diagonal, solve_blocks, solved_edges,
+)
+from edgeloom.session import checkpointed, spread
 
 
 def fan_out(spark, p: int) -> DataFrame:
@@ -200,20 +199,42 @@ class DesparifiedGGM:
 
 
 class _PrecisionEstimator:
-    """Shared surface of estimators whose result is a penalised precision matrix."""
+    """Shared surface of estimators whose result is a penalised precision matrix.
+
+    The result stays where its blocks were solved: ``_solved`` has a row a block.
+    """
 
-    precision_matrix: np.ndarray | None = None
+    _solved: DataFrame | None = None
 
-    def _matrix(self) -> np.ndarray:
-        if self.precision_matrix is None:
+    def _keep(self, solved: DataFrame, p: int) -> None:
+        self.release()
+        self._solved, self._p = solved.persist(), p
+        self._spark = solved.sparkSession
+        stopped = self._solved.filter("not ok").count()
+        if stopped:
+            warnings.warn(f"the graphical lasso did not converge in {stopped} blocks", stacklevel=3)
+
+    def _fitted(self) -> DataFrame:
+        if self._solved is None:
             raise RuntimeError("call fit() first")
-        return self.precision_matrix
+        return self._solved
+
+    def release(self) -> None:
+        """Drop the cached blocks of the last fit (they can be recomputed)."""
+        if self._solved is not None:
+            self._solved.unpersist()
+
+    @property
+    def precision_matrix(self) -> np.ndarray:
+        """The precision matrix on the driver (size checked)."""
+        return dense_precision(self._fitted(), self._p)
 
     @property
     def precision_(self) -> DataFrame:
         """Edge table ``i, j, omega``."""
-        matrix = self._matrix()
-        return matrix_edges(self._spark, matrix, "omega")
+        found = solved_edges(self._fitted()).drop("key")
+        return pair_grid(self._spark, self._p).join(found, ["i", "j"], "left").select(
+            "i", "j", F.coalesce("omega", F.lit(0.0)).alias("omega"))
 
     def get_adjacency(self, threshold: float = 0.0) -> DataFrame:
         """``i, j, omega, is_edge`` with ``|omega| > threshold``."""
@@ -253,8 +274,11 @@ class SklearnGLasso(_PrecisionEstimator):
     """Graphical lasso with the penalty chosen by cross-validation.
 
     Folds are contiguous in ``row_id``. One pass yields the statistics of every
-    fold; the training statistics of a fold are the merge of the others. Each
-    (fold, penalty) fit is one task.
+    fold; the training covariance of a fold is the merge of the others, row by
+    row. The likelihood of held-out samples is a sum over the blocks that each
+    (fold, penalty) falls into, so every block is a task and the driver sees
+    one number for each penalty. Folds that stop before they are done are counted in
+    ``unconverged_`` and named in a warning.
     """
 
     def __init__(self, cv: int = 5, max_iter: int = 200, n_jobs: int = -1,
@@ -263,50 +287,27 @@ class SklearnGLasso(_PrecisionEstimator):
         self.n_alphas, self.n_refinements = n_alphas, n_refinements
 
     def fit(self, samples: DataFrame) -> "SklearnGLasso":
-        spark = self._spark = samples.sparkSession
+        spark = samples.sparkSession
         p = width(samples)
-        check_dense(int(p * math.sqrt(self.cv)) + 1, "cross-validated graphical lasso")
         n = samples.count()
-        folds = collect_keyed_stats(with_folds(samples, n, self.cv), p, self.cv)
-        whole: Stats | None = None
-        for st in folds.values():
-            whole = merge(whole, st)
-        pairs = {}
-        for f, held in folds.items():
-            train: Stats | None = None
-            for g, st in folds.items():
-                if g != f:
-                    train = merge(train, st)
-            pairs[f] = (train.covariance(), held.covariance())
-        shared = spark.sparkContext.broadcast(pairs)
-        cov = whole.covariance()
-        off = np.abs(cov - np.diag(np.diag(cov)))
-        top = float(off.max())
+        rows = checkpointed(fold_rows(with_folds(samples, n, self.cv), p, self.cv))
+        whole = rows.filter("key = -1")
+        top = largest_off_diagonal(whole)
         grid = list(np.logspace(math.log10(1e-2 * top), math.log10(top), self.n_alphas))[::-1]
         score: dict[float, float] = {}
-        max_iter = self.max_iter
+        self.unconverged_ = 0
         for _ in range(self.n_refinements):
             todo = [a for a in grid if a not in score]
-            tasks = [(int(f), float(a)) for f in folds for a in todo]
-
-            def evaluate(batches):
-                table = shared.value
-                for pdf in batches:
-                    out = []
-                    for f, a in zip(pdf["fold"], pdf["alpha"]):
-                        train_cov, test_cov = table[int(f)]
-                        theta = glasso(train_cov, float(a), max_iter=max_iter)[0]
-                        out.append(gaussian_score(test_cov, theta))
-                    yield pdf.assign(score=out)
-
-            scored = (
-                spark.createDataFrame(tasks, "fold INT, alpha DOUBLE")
-                .repartition(len(tasks))
-                .mapInPandas(evaluate, "fold INT, alpha DOUBLE, score DOUBLE")
-                .groupBy("alpha").agg(F.avg("score").alias("score"))
-                .collect()
-            )
-            score.update({r["alpha"]: r["score"] for r in scored})
+            problems = spark.createDataFrame(
+                [(f, float(a)) for f in range(self.cv) for a in todo], "key INT, lam DOUBLE")
+            solved = solve_blocks(rows.filter("key >= 0"), problems, p, max_iter=self.max_iter)
+            each = solved.groupBy("key", "lam").agg(
+                ((F.sum("logdet") - F.sum("fit") - p * math.log(2.0 * math.pi)) / 2.0).alias("score"),
+                F.min("ok").alias("ok"))
+            scored = each.groupBy("lam").agg(
+                F.avg("score").alias("score"), F.sum((~F.col("ok")).cast("int")).alias("open")).collect()  # a row a penalty
+            score.update({r["lam"]: r["score"] for r in scored})
+            self.unconverged_ += sum(r["open"] for r in scored)
             alphas = sorted(score, reverse=True)
             best, last_finite, best_score = 0, 0, -math.inf
             for k, a in enumerate(alphas):
@@ -316,8 +317,11 @@ class SklearnGLasso(_PrecisionEstimator):
                         best_score, best = score[a], k
             self.alpha_ = alphas[best]
             grid = _refined(alphas, best, last_finite, self.n_alphas)
+        if self.unconverged_:
+            warnings.warn(f"{self.unconverged_} fits of folds did not converge", stacklevel=2)
         self.cv_scores_ = score
-        self.precision_matrix = _converged(glasso(cov, self.alpha_, max_iter=max_iter))
+        one = spark.createDataFrame([(-1, float(self.alpha_))], "key INT, lam DOUBLE")
+        self._keep(solve_blocks(whole, one, p, max_iter=self.max_iter), p)
         return self
 
     def keyed_values(self, keyed: DataFrame, p: int) -> DataFrame:
@@ -325,13 +329,6 @@ class SklearnGLasso(_PrecisionEstimator):
         return _keyed_glasso(keyed, p, self.alpha_, 0)
 
 
-def _converged(solved: tuple[np.ndarray, np.ndarray, bool]) -> np.ndarray:
-    """The precision matrix of a solve; a warning if it stopped before it was done."""
-    if not solved[2]:
-        warnings.warn("the graphical lasso did not converge", stacklevel=3)
-    return solved[0]
-
-
 class GGLassoEstimator(_PrecisionEstimator):
     """Graphical lasso at a fixed penalty on the sample covariance."""
 
@@ -339,9 +336,9 @@ class GGLassoEstimator(_PrecisionEstimator):
         self.lambda1 = lambda1
 
     def fit(self, samples: DataFrame) -> "GGLassoEstimator":
-        self._spark = samples.sparkSession
-        stats = collect_stats(samples)
-        self.precision_matrix = _converged(glasso(stats.covariance(ddof=1), self.lambda1))
+        p = width(samples)
+        one = samples.sparkSession.createDataFrame([(0, float(self.lambda1))], "key INT, lam DOUBLE")
+        self._keep(solve_blocks(covariance_rows(samples, p, ddof=1), one, p), p)
         return self
 
     def keyed_values(self, keyed: DataFrame, p: int) -> DataFrame:
@@ -349,17 +346,15 @@ class GGLassoEstimator(_PrecisionEstimator):
 
 
 def _keyed_glasso(keyed: DataFrame, p: int, lam: float, ddof: int) -> DataFrame:
-    check_dense(p, "a graphical lasso per group")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        theta = glasso(assemble(pdf).covariance(ddof), lam)[0]
-        i, j = np.triu_indices(p, k=1)
-        return pd.DataFrame({"key": int(pdf["key"].iloc[0]), "i": i, "j": j,
-                             "value": np.abs(theta[i, j])})
-
-    return spread(stat_blocks(keyed, p, keyed=True), "key").groupBy("key").applyInPandas(
-        fit, "key INT, i INT, j INT, value DOUBLE"
-    )
+    """``key, i, j, value`` of every pair and group; the groups' blocks are solved side by side."""
+    rows = covariance_rows(keyed, p, ddof, keyed=True)
+    solved = solve_blocks(rows, lam, p)
+    found = solved_edges(solved)
+    keys = rows.filter("i = 0").select("key")
+    grid = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(p - 2))).alias("i")).select(
+        "key", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(p - 1))).alias("j"))
+    return grid.join(found, ["key", "i", "j"], "left").select(
+        "key", "i", "j", F.abs(F.coalesce("omega", F.lit(0.0))).alias("value"))
 
 
 class PIGLassoEstimator:

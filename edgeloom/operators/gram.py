@@ -22,7 +22,8 @@ from edgeloom.operators.matrix import check_dense, width
 from edgeloom.operators.sampling import Grouped
 
 _CELLS_PER_BLOCK = 65_536
-_MAX_HELD_CELLS = 32_000_000  # 256 MB of doubles per task before partial blocks are flushed
+_MAX_HELD_CELLS = 32_000_000  # 256 MB of doubles: the most that a task accumulates at once
+_TEMP_CELLS = 2_000_000  # of one product inside a task
 _FAN_IN = 64
 _TREE_LEVELS = 6  # more than any scan needs; sizes of joins may be overstated without bound
 
@@ -78,20 +79,80 @@ def _key_groups(batch: pa.RecordBatch):
     return zip(present, np.split(owner[order], starts[1:]))
 
 
-def _fold(p: int, groups_of):
+@dataclass(frozen=True)
+class Unit:
+    """What one scan accumulates: chunks ``lo .. hi - 1`` of keys ``first .. last - 1`` (all keys if ``last`` is None)."""
+
+    lo: int
+    hi: int
+    first: int = 0
+    last: int | None = None
+
+
+def units(p: int, keys: int | None = 1, limit: int | None = None) -> list[Unit]:
+    """The p x p blocks of ``keys`` groups, cut so that a scan holds ``limit`` cells at most.
+
+    Whole keys go together while they fit; a matrix above the limit is cut into
+    bands of rows. ``keys=None``: their number is not known beforehand, so a
+    band is what a single key may hold, and tasks pass blocks on before a
+    further key would not fit.
+    """
+    limit = _MAX_HELD_CELLS if limit is None else limit
+    step = _chunk_rows(p)
+    chunks = -(-p // step)
+    whole = limit // (p * p)
+    if whole >= 1:
+        if keys is None:
+            return [Unit(0, chunks)]
+        return [Unit(0, chunks, k, min(k + whole, keys)) for k in range(0, keys, whole)]
+    band = max(1, limit // (step * p))
+    ranges = [(lo, min(lo + band, chunks)) for lo in range(0, chunks, band)]
+    if keys is None:
+        return [Unit(lo, hi) for lo, hi in ranges]
+    return [Unit(lo, hi, k, k + 1) for k in range(keys) for lo, hi in ranges]
+
+
+class _Band:
+    """Count, means and some rows of the centred cross products of one key, updated in place."""
+
+    def __init__(self, p: int, lo: int, hi: int):
+        self.n, self.mean, self.lo = 0, np.zeros(p), lo
+        self.m2 = np.zeros((hi - lo, p))
+
+    def add(self, rows: np.ndarray) -> None:
+        k = len(rows)
+        mean = rows.mean(axis=0)
+        c = rows - mean
+        d = mean - self.mean
+        weight = self.n * k / (self.n + k)
+        some = max(1, _TEMP_CELLS // len(self.mean))
+        for at in range(0, len(self.m2), some):  # what BLAS returns is a temporary of bounded size
+            own = slice(self.lo + at, self.lo + min(at + some, len(self.m2)))
+            here = self.m2[at:at + some]
+            here += c[:, own].T @ c
+            if weight:
+                here += np.outer(d[own] * weight, d)
+        self.n += k
+        self.mean += d * (k / self.n)
+
+
+def _fold(p: int, groups_of, unit: Unit, limit: int | None = None):
+    """A task that folds samples into blocks of ``unit``; it never holds more than ``limit`` cells of them."""
     step = _chunk_rows(p)
+    limit = _MAX_HELD_CELLS if limit is None else limit
+    lo, hi = unit.lo * step, min(unit.hi * step, p)
 
-    def blocks(held: dict[int, Stats], src: int):
-        for key, st in held.items():
-            for c, lo in enumerate(range(0, p, step)):
-                rows = st.m2[lo : lo + step]
+    def blocks(held: dict[int, _Band], src: int):
+        for key, band in held.items():
+            for c in range(unit.lo, unit.hi):
+                rows = band.m2[c * step - lo:(c + 1) * step - lo]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "key": pa.array([key], pa.int32()),
                         "chunk": pa.array([c], pa.int32()),
                         "src": pa.array([src], pa.int32()),
-                        "n": pa.array([st.n], pa.int64()),
-                        "mean": pa.array([st.mean], pa.list_(pa.float64())),
+                        "n": pa.array([band.n], pa.int64()),
+                        "mean": pa.array([band.mean], pa.list_(pa.float64())),
                         "m2": pa.array([rows.ravel()], pa.list_(pa.float64())),
                     }
                 )
@@ -101,7 +162,7 @@ def _fold(p: int, groups_of):
 
         ctx = TaskContext.get()
         src = ctx.partitionId() if ctx else 0
-        held: dict[int, Stats] = {}
+        held: dict[int, _Band] = {}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -109,15 +170,14 @@ def _fold(p: int, groups_of):
             if pc.any(pc.not_equal(widths, p)).as_py() or batch.column("x").null_count:
                 raise ValueError(f"a sample does not have {p} values")
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-            groups = groups_of(batch)
-            for key, idx in groups:
-                rows = x if idx is None else x[idx]
-                mean = rows.mean(axis=0)
-                c = rows - mean
-                held[int(key)] = merge(held.get(int(key)), Stats(len(rows), mean, c.T @ c))
-            if len(held) * p * p > _MAX_HELD_CELLS:
-                yield from blocks(held, src)
-                held = {}
+            for key, idx in groups_of(batch):
+                key = int(key)
+                if unit.last is not None and not unit.first <= key < unit.last:
+                    continue
+                if key not in held and held and (len(held) + 1) * (hi - lo) * p > limit:
+                    yield from blocks(held, src)
+                    held = {}
+                held.setdefault(key, _Band(p, lo, hi)).add(x if idx is None else x[idx])
         yield from blocks(held, src)
 
     return run
@@ -162,20 +222,35 @@ def stat_blocks(samples: DataFrame | Grouped, p: int, keyed: bool = False) -> Da
     rule of a ``Grouped`` table; a row may belong to several. The merge is a
     tree as deep as the number of scan tasks asks for, so that one merge group
     reads ``_FAN_IN`` blocks at most however many tasks ran.
+
+    Blocks above ``_MAX_HELD_CELLS`` in all (wide tables, many groups) are cut
+    into units, each accumulated by a scan of its own: the samples are read once
+    a unit and still never shuffled, and a task's memory depends on neither the
+    width nor the number of groups.
     """
     x = F.col("x").cast("array<double>").alias("x")
+    keys: int | None = 1
     if isinstance(samples, Grouped):
         rule, samples = samples.rule, samples.samples
+        keys = rule.n_groups
         cols = [x, F.col("row_id").cast("bigint").alias("row_id")]
         groups_of = lambda b: rule.groups(b.column("row_id").to_numpy(zero_copy_only=False))
     elif keyed:
         cols = [x, F.col("keys").cast("array<int>").alias("keys")]
-        groups_of = _key_groups
+        groups_of, keys = _key_groups, None
     else:
         cols = [x]
         groups_of = lambda b: [(0, None)]
-    partial = samples.select(*cols).mapInArrow(_fold(p, groups_of), _BLOCK_SCHEMA)
-    tasks, levels = scan_tasks(samples), 0
+    scans = [samples.select(*cols).mapInArrow(_fold(p, groups_of, u), _BLOCK_SCHEMA) for u in units(p, keys)]
+    partial = scans[0]
+    for scan in scans[1:]:
+        partial = partial.unionByName(scan)
+    return merge_blocks(partial, scan_tasks(samples))
+
+
+def merge_blocks(partial: DataFrame, tasks: int) -> DataFrame:
+    """One block per key and chunk; ``tasks`` is how many blocks of one there may be, which the tree's depth follows."""
+    levels = 0
     while tasks > _FAN_IN ** (levels + 1) and levels < _TREE_LEVELS:
         levels += 1
     for _ in range(levels):

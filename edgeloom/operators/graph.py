@@ -76,14 +76,13 @@ def degree_tiers(edges: DataFrame, p: int) -> DataFrame:
     return d.withColumn("tier", tier)
 
 
-def components(edges: DataFrame, p: int) -> DataFrame:
-    """``node, component``: the lowest node id each node is connected to.
+def star_roots(edges: DataFrame) -> DataFrame:
+    """``u, c``: the lowest node that each node with an edge to a lower one is connected to.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) until the
     edge set is a set of stars: a logarithmic number of rounds in practice, each a
     group-by and a join. Every round is cut into reliable storage.
     """
-    spark = edges.sparkSession
     links = checkpointed(
         edges.select(F.greatest("i", "j").alias("u"), F.least("i", "j").alias("v"))
         .filter("u <> v").distinct()
@@ -111,8 +110,13 @@ def components(edges: DataFrame, p: int) -> DataFrame:
         if state == before:
             break
         before = state
-    root = links.groupBy("u").agg(F.min("v").alias("c"))
-    return nodes_table(spark, p).join(root, F.col("node") == F.col("u"), "left").select(
+    return links.groupBy("u").agg(F.min("v").alias("c"))
+
+
+def components(edges: DataFrame, p: int) -> DataFrame:
+    """``node, component``: the lowest node id each node is connected to."""
+    root = star_roots(edges)
+    return nodes_table(edges.sparkSession, p).join(root, F.col("node") == F.col("u"), "left").select(
         "node", F.coalesce("c", "node").alias("component")
     )
 

@@ -7,14 +7,14 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.normal import norm_ppf
 from edgeloom.operators.gram import Stats, collect_stats, correlation_edges, matrix_edges
 from edgeloom.operators.matrix import MAX_DENSE_P, check_dense, to_long, to_wide, validate, width
 from edgeloom.operators.prefix import ROWS_PER_SLICE, average_rank
-from edgeloom.session import spread
+from edgeloom.session import checkpointed, spread
 
 
 def column_stats(samples: DataFrame) -> DataFrame:
@@ -194,12 +194,13 @@ def kendall_edges(samples: DataFrame, p: int | None = None, n: int | None = None
 def _kendall_binned(samples: DataFrame, p: int, n: int, rows_per_task: int) -> DataFrame:
     """Kendall tau-b for columns too long for one task.
 
-    Both variables of a pair are cut into value bins; a value frequent enough
-    to fill a bin gets its own. Pairs of rows then fall into three disjoint
-    classes: both bins differ (decided by bin order, from cell counts), same
-    x bin, or same y bin with different x bins. The last two are counted inside
-    one bin, and a single-value bin contributes nothing because all its rows
-    are tied there.
+    One variable of a pair is cut into value bins; a value frequent enough to
+    fill a bin gets its own. The bins are the leaves of a tree of fixed fan-out.
+    Two rows part at one node of it, in different children, where they are
+    compared: a level takes the rows of each node in order of the other variable
+    and counts what came before by child (``_parted``). Rows of one bin are
+    compared there, and in a single-value bin they are all tied. So a task holds
+    a slice of a level or a bin, whatever n is.
     """
     bins = max(2, math.ceil(4 * n / rows_per_task))
     long = to_long(samples)
@@ -257,38 +258,21 @@ def _kendall_binned(samples: DataFrame, p: int, n: int, rows_per_task: int) -> D
         F.element_at("x", F.col("e.i") + 1).alias("x"), F.element_at("x", F.col("e.j") + 1).alias("y"),
         F.element_at("b", F.col("e.i") + 1).alias("bx"), F.element_at("b", F.col("e.j") + 1).alias("by"),
     )
-    # the cells of one pair number at most (2 * bins)^2 whatever n is
-    cells = flat.groupBy("i", "j", "bx", "by").agg(F.count(F.lit(1)).alias("c"))
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.pivot_table(index="bx", columns="by", values="c", fill_value=0).to_numpy(float)
-        up = np.zeros_like(m)
-        up[1:, 1:] = np.cumsum(np.cumsum(m, axis=0), axis=1)[:-1, :-1]
-        down = np.zeros_like(m)
-        down[1:, :-1] = np.cumsum(np.cumsum(m[:, ::-1], axis=0), axis=1)[:-1, :-1][:, ::-1]
-        return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "j": [int(pdf["j"].iloc[0])],
-                             "score": [float((m * up).sum() - (m * down).sum())]})
-
-    def within(axis: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            if axis == "x":
-                conc, disc = _pairs_below(pdf["y"].to_numpy(), pdf["x"].to_numpy())
-            else:
-                conc, disc = _pairs_below(pdf["y"].to_numpy(), pdf["bx"].to_numpy())
-            return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "j": [int(pdf["j"].iloc[0])],
-                                 "score": [float(conc - disc)]})
-
-        return run
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        conc, disc = _pairs_below(pdf["y"].to_numpy(), pdf["x"].to_numpy())
+        return pd.DataFrame({"i": [int(pdf["i"].iloc[0])], "j": [int(pdf["j"].iloc[0])], "score": [float(conc - disc)]})
 
     schema = "i INT, j INT, score DOUBLE"
-    open_x = flat.filter(F.col("bx") % 2 == 0)  # odd bins hold one value: all tied
-    open_y = flat.filter(F.col("by") % 2 == 0)
-    scores = (
-        cells.groupBy("i", "j").applyInPandas(across, schema)
-        .unionByName(open_x.groupBy("i", "j", "bx").applyInPandas(within("x"), schema))
-        .unionByName(open_y.groupBy("i", "j", "by").applyInPandas(within("y"), schema))
-        .groupBy("i", "j").agg(F.sum("score").alias("score"))
-    )
+    leaves, depth = 2 * max(len(e) for e in edges.values()) + 1, 1
+    while _FAN_OUT ** depth < leaves:
+        depth += 1
+    parts = [flat.filter(F.col("bx") % 2 == 0).groupBy("i", "j", "bx").applyInPandas(within, schema)]  # odd bins hold one value
+    for level in range(depth):
+        parts.append(_parted(flat, _FAN_OUT ** (depth - level - 1), n * p * (p - 1) // 2, rows_per_task))
+    scores = parts[0]
+    for part in parts[1:]:
+        scores = scores.unionByName(part)
+    scores = scores.groupBy("i", "j").agg(F.sum("score").alias("score"))
     total = F.lit(n * (n - 1) / 2.0)
     ti = ties.select(F.col("var_id").alias("i"), F.col("t").alias("ti"))
     tj = ties.select(F.col("var_id").alias("j"), F.col("t").alias("tj"))
@@ -298,6 +282,54 @@ def _kendall_binned(samples: DataFrame, p: int, n: int, rows_per_task: int) -> D
     )
 
 
+_FAN_OUT = 32  # children of a node
+
+
+def _parted(flat: DataFrame, width: int, rows: int, rows_per_task: int) -> DataFrame:
+    """``i, j, score``: concordant less discordant pairs of rows that part at one level of the tree over ``bx``.
+
+    ``width`` is the number of bins below a child. Rows that agree in node, child
+    and y travel as one with a count. They are dealt into slices by (node, y);
+    each slice knows how many rows of each child came before it.
+    """
+    child = F.floor(F.col("bx") / width).cast("int")
+    counts = flat.select("i", "j", F.floor(child / _FAN_OUT).cast("int").alias("node"), (child % _FAN_OUT).alias("child"), "y").groupBy(
+        "i", "j", "node", "child", "y").agg(F.count(F.lit(1)).alias("c"))
+    where = ["i", "j", "node"]
+    sliced = checkpointed(counts.repartitionByRange(max(1, -(-rows // rows_per_task)), *where, "y").withColumn(
+        "part", F.spark_partition_id()))
+    totals = sliced.groupBy(*where, "child", "part").agg(F.sum("c").alias("c"))
+    # a child may have rows before a slice and none in it, so every slice of a node has a row for each child
+    slices = totals.select(*where, "part").distinct().withColumn("child", F.explode(F.sequence(F.lit(0), F.lit(_FAN_OUT - 1))))
+    earlier = Window.partitionBy(*where, "child").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.join(totals, [*where, "child", "part"], "left").select(
+        *where, "part", "child", F.sum(F.coalesce("c", F.lit(0))).over(earlier).alias("c")).filter("c > 0")
+
+    def count(here: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        if here.empty:
+            return pd.DataFrame({"i": [], "j": [], "score": []})
+        here = here.sort_values("y")
+        y, own, c = here["y"].to_numpy(), here["child"].to_numpy(int), here["c"].to_numpy(float)
+        seen = np.zeros(_FAN_OUT)
+        np.add.at(seen, past["child"].to_numpy(int), past["c"].to_numpy(float))
+        score, starts = 0.0, np.flatnonzero(np.r_[True, y[1:] != y[:-1]])
+        value = np.cumsum(np.r_[True, y[1:] != y[:-1]]) - 1
+        for lo in range(0, len(starts), 4096):  # some values at once
+            rows_ = slice(starts[lo], starts[lo + 4096] if lo + 4096 < len(starts) else len(y))
+            table = np.zeros((min(4096, len(starts) - lo), _FAN_OUT))
+            np.add.at(table, (value[rows_] - lo, own[rows_]), c[rows_])
+            below = np.cumsum(table, axis=0) - table + seen  # by child, of smaller y
+            upto = np.cumsum(below, axis=1)
+            less, more = upto - below, upto[:, -1:] - upto
+            score += float((table * (less - more)).sum())
+            seen = seen + table.sum(axis=0)
+        return pd.DataFrame({"i": [int(here["i"].iloc[0])], "j": [int(here["j"].iloc[0])], "score": [score]})
+
+    key = [*where, "part"]
+    past = carried.select(*[F.col(k).alias(f"{k}_") for k in key], F.col("child"), "c")
+    return sliced.groupBy(*key).cogroup(past.groupBy(*[f"{k}_" for k in key])).applyInPandas(count, "i INT, j INT, score DOUBLE")
+
+
 # --- SKEPTIC ---------------------------------------------------------------
 
 

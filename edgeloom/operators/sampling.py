@@ -29,6 +29,10 @@ class Subsets:
     salts: tuple[tuple[int, int], ...]
     last: tuple[tuple[int, int], ...]  # (hash, row_id) of the last member
 
+    @property
+    def n_groups(self) -> int:
+        return len(self.salts)
+
     def groups(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for s, ((hi, lo), (h_last, id_last)) in enumerate(zip(self.salts, self.last)):
             h = rank_hash_array(ids, hi, lo)
@@ -43,6 +47,10 @@ class Folds:
 
     edges: tuple[int, ...]
 
+    @property
+    def n_groups(self) -> int:
+        return len(self.edges) + 1
+
     def groups(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         fold = np.searchsorted(np.asarray(self.edges), ids, side="left")
         for f in np.unique(fold):

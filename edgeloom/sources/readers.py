@@ -8,8 +8,10 @@ sampling the data.
 from __future__ import annotations
 
 import fnmatch
+import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,45 @@ def _typed_csv(spark: SparkSession, path: str, sep: str, names: list[str], types
     return df.toDF(*[f"c{k}" for k in range(len(names))])
 
 
-def _row_ids(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with ``row_id``: a hash of the row and of its number among equal rows, so equal samples stay apart."""
-    text = F.xxhash64(*columns)
-    number = F.row_number().over(Window.partitionBy(text).orderBy(*columns))
-    return df.withColumn("_nr", number).withColumn(
-        "row_id", F.xxhash64(*columns, "_nr").bitwiseAND(F.lit(2**62 - 1))).drop("_nr")
+_FILE_BITS = 40  # a file may have 2**40 bytes, a table 2**22 files
+
+
+def _file_key(uri: str) -> str:
+    """A file's address without the ways in which its scheme's slashes may be written."""
+    return re.sub(r"^([A-Za-z][A-Za-z0-9+.-]*):/+", r"\1:/", uri)
+
+
+def _row_ids(df: DataFrame) -> DataFrame:
+    """``df`` with ``row_id``: the file's number and the row's place in it, given where the row is read.
+
+    A row's place is the first byte of its split plus its number in the split.
+    A row has a byte or more, so places of different splits never meet. Nothing
+    moves, and rows that are equal stay apart. Ids depend on the files and their
+    splits, not on the order in which tasks run.
+    """
+    spark, columns = df.sparkSession, df.columns
+    files = sorted({_file_key(f) for f in df.inputFiles()})  # what the listing on the driver holds anyway
+    shared = spark.sparkContext.broadcast({f: k for k, f in enumerate(files)})
+
+    def number(batches):
+        number_of, at, key = shared.value, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            path, start = batch.column(0), np.asarray(batch.column(1))
+            file = path.dictionary_encode() if not isinstance(path, pa.DictionaryArray) else path
+            names = [number_of[_file_key(f)] for f in file.dictionary.to_pylist()]
+            base = (np.asarray(names, np.int64)[np.asarray(file.indices)] << _FILE_BITS) + start
+            cuts = np.flatnonzero(np.r_[True, base[1:] != base[:-1]])
+            place = np.arange(len(base)) - np.repeat(cuts, np.diff(np.append(cuts, len(base))))
+            if base[0] == key:
+                place[: cuts[1] if len(cuts) > 1 else len(base)] += at
+            key, at = base[-1], int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(base + place), *batch.columns[2:]], names=["row_id", *columns])
+
+    placed = df.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), *columns)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return placed.mapInArrow(number, f"row_id BIGINT, {kinds}")
 
 
 def variables_table(spark: SparkSession, names: list[str]) -> DataFrame:
@@ -61,13 +96,13 @@ def variables_table(spark: SparkSession, names: list[str]) -> DataFrame:
 def read_expression_csv(spark: SparkSession, path: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """``(samples, variables)`` from a CSV whose first column labels the samples.
 
-    ``row_id`` is a hash of the label, the row's values and its number among
-    rows that are equal in all of them; it never depends on file order.
+    ``row_id`` is the row's place in its file (see ``_row_ids``): equal rows
+    stay apart and the read moves nothing.
     """
     names = header(spark, path, sep)
     df = _typed_csv(spark, path, sep, names, ["string"] + ["double"] * (len(names) - 1))
     values = [f"c{k}" for k in range(1, len(names))]
-    samples = from_columns(_row_ids(df, ["c0", *values]), values, "row_id")
+    samples = from_columns(_row_ids(df), values, "row_id")
     return validate(samples, len(values)), variables_table(spark, names[1:])
 
 
@@ -163,7 +198,7 @@ def load_dream5(spark: SparkSession, data_dir: str, network: int = 1) -> tuple[D
     else:
         df = _typed_csv(spark, expr, "\t", names, ["double"] * len(names))
         cols = [f"c{k}" for k in range(len(names))]
-        samples = from_columns(_row_ids(df, cols), cols, "row_id")
+        samples = from_columns(_row_ids(df), cols, "row_id")
         variables = variables_table(spark, names)
     sep = "," if gold_path.endswith(".csv") else "\t"
     raw = spark.read.csv(gold_path, sep=sep, header=True)

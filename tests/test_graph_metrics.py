@@ -102,7 +102,7 @@ def test_series_equals_decomposition(make):
     one = g.selectExpr("'a' as graph", "i", "j")
     d = np.array([1.0, 0.0, 0.0])
     a = diffusion.diffuse(one, 3, d, [0.05]).orderBy("node").collect()
-    b = diffusion._diffuse_by_series(one, 3, d, np.array([0.05]), False).orderBy("node").collect()
+    b = diffusion._diffuse_by_joins(g, 3, d, np.array([0.05]), False).orderBy("node").collect()
     assert [r.s for r in a] == pytest.approx([r.s for r in b], abs=1e-12)
 
 
