@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm import text as tx
 from edgeloom.llm.storage import discard, stored, table
-from edgeloom.operators.prefix import running
+from edgeloom.operators.prefix import lookup, running
 
 LENGTH = 400
 BLOCK = 100  # divides LENGTH; the longest prefix compared, LENGTH + BLOCK, is 5 letters: two recursions
@@ -332,32 +332,37 @@ def repeats(docs: DataFrame) -> DataFrame:
     in the same text or another; overlaps count, matches stay inside texts,
     and all are judged on the input. ``kept`` is what is left, in one piece.
     Rows are told apart by doc_id and text, so null and repeated doc_ids are
-    rows like others, and a repeated row repeats all its strings.
+    rows like others, and a repeated row repeats all its strings. No rows give
+    no rows; very long texts are taken whole; other columns are ignored.
     """
     k1 = F.xxhash64("text", F.col("doc_id").cast("bigint")).alias("k1")
     k2 = F.xxhash64(F.lit(1), F.col("doc_id").cast("bigint"), "text").alias("k2")
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", k1, k2)
     runs = stored(named.select("k1", "k2", "text").mapInArrow(_runs, _RUN), "runs")
-    often = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    shared = stored(runs.join(often, "anchor"), "shared")
-    discard(runs)
+    # equal contexts travel as one row with a count, however many texts have them; what a third of all rows
+    # share (fewer than a thousand anchors or contexts can be that heavy) is looked up by broadcast
     body = ["anchor", "digest", "n", "off"]
-    texts = stored(shared.groupBy(*body).agg(F.count(F.lit(1)).alias("copies")), "distinct")
-    several = texts.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
-    mixed = stored(texts.join(several, "anchor").withColumn("seq", F.monotonically_increasing_id()), "mixed")
-    where = (
-        shared.join(mixed.select(*body, "seq"), body).groupBy("seq")
-        .agg(F.min(F.struct("k1", "k2", "low", "n", "off")).alias("at")).select("seq", "at.*")
-    )
-    wanted = where.groupBy("k1", "k2").agg(F.collect_list(F.struct("seq", "low", "n", "off")).alias("wanted"))
+    total = runs.count()
+    kinds = stored(runs.groupBy(*body).agg(
+        F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "low")).alias("at")), "kinds")
+    anchors = kinds.groupBy("anchor").agg(
+        F.sum("copies").alias("rows"), F.count(F.lit(1)).alias("contexts"), F.count(F.lit(1)).alias("weight")).filter("rows > 1")
+    texts = stored(lookup(kinds, anchors, ["anchor"], "weight", kinds.count(), 0), "distinct")
+    shared = stored(lookup(runs, texts.select(*body, F.col("copies").alias("weight")), body, "weight", total, 0), "shared")
+    discard(runs, kinds)
+    mixed = stored(texts.filter("contexts > 1").withColumn("seq", F.monotonically_increasing_id()), "mixed")
+    wanted = mixed.select("at.k1", "at.k2", F.struct("seq", "at.low", "n", "off").alias("w")).groupBy("k1", "k2").agg(
+        F.collect_list("w").alias("wanted"))
     one_each = named.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     contexts = stored(one_each.select("text", "wanted").mapInArrow(_contexts, _CONTEXT), "contexts")
     found = _found_in_contexts(contexts).join(mixed.filter("copies = 1").select("seq", *body), "seq").groupBy(*body).agg(
-        F.collect_list(F.struct("begin", "end")).alias("parts"))
+        F.collect_list(F.struct("begin", "end")).alias("parts"), F.lit(1).cast("bigint").alias("weight"))
     # a context that occurs twice is found from its first to its last window
-    whole = texts.filter("copies > 1").select(*body, F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("parts"))
+    whole = texts.filter("copies > 1").select(
+        *body, F.lit(None).cast("array<struct<begin:bigint,end:bigint>>").alias("parts"), F.col("copies").alias("weight"))
+    answers = stored(found.unionByName(whole), "answers")
     spans = (
-        shared.join(found.unionByName(whole), body)
+        lookup(shared, answers, body, "weight", shared.count(), 0)
         .select("k1", "k2", "low", F.explode(F.coalesce("parts", F.array(
             F.struct(F.lit(0).cast("bigint").alias("begin"), F.col("n").cast("bigint").alias("end"))))).alias("p"))
         .groupBy("k1", "k2").agg(F.collect_set(F.struct((F.col("low") + F.col("p.begin")).alias("begin"), (F.col("low") + F.col("p.end")).alias("end"))).alias("spans"))
@@ -367,4 +372,8 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents")).drop("kept")
+    """``repeats`` of whole ``documents``, with the remaining bytes as ``kept_text``; odd rows as stated there.
+
+    Where a removal ends inside a character, ``kept_text`` shows U+FFFD there; the digest is of the bytes themselves.
+    """
+    return repeats(table(spark, sf_dir, "documents")).withColumn("kept_text", F.col("kept").cast("string")).drop("kept")
