@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from edgeloom.llm.storage import stored, table
 
 PAGES_PER_SLICE = 64  # pages that learn a wrapper together; larger hosts are cut into slices
+MAX_DEPTH = 256  # of nested elements
 EVIDENCE = 5  # different pages that must agree before a text counts as template
 
 # Element names of HTML by their role.
@@ -30,6 +31,7 @@ _INLINE = frozenset(
 _NEVER = frozenset("nav footer aside form button select option fieldset menu dialog head audio video map datalist".split()) | _RAW
 _OUTSIDE = frozenset(["header"])  # no content unless it stands in an article
 _MAIN = frozenset(["article", "main"])
+_PLAIN = frozenset("h2 h3 h4 h5 h6 p".split())  # in an article only a whole class name rules these out
 _CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
                    "th": {"td", "th"}, "option": {"option"}}
 _HOLDS_LIST = frozenset("ul ol dl table tbody thead tfoot select".split())
@@ -50,14 +52,15 @@ _NAME = re.compile(r"[A-Za-z][a-z]*|\d+")
 
 
 @lru_cache(20_000)
-def _role(tag: str, attrs: str) -> tuple[str, int]:
-    """Label of an element, and 2 if it is never content, 1 if only inside an article, 0 otherwise."""
-    words, label, bad = set(), tag, 2 if tag in _NEVER else 1 if tag in _OUTSIDE else 0
+def _role(tag: str, attrs: str) -> tuple[str, int, bool]:
+    """Label of an element; 2 if it is never content, 1 if only inside an article, 0 otherwise; whether a part of a class name alone says so."""
+    words, whole, label, bad = set(), set(), tag, 2 if tag in _NEVER else 1 if tag in _OUTSIDE else 0
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             label += ("." if name == "class" else "#") + re.sub(r"\d+", "", " ".join(sorted(value.split())))
-            words |= {x.lower() for x in _NAME.findall(value)} | set(value.lower().split())
+            whole |= set(value.lower().split())
+            words |= {x.lower() for x in _NAME.findall(value)} | whole
         elif name == "role" and value.lower() in _ROLES:
             bad = 2
         elif name == "role" and value.lower() == "main" and not bad:
@@ -65,20 +68,31 @@ def _role(tag: str, attrs: str) -> tuple[str, int]:
         elif (name == "hidden") or (name == "aria-hidden" and value.lower() == "true") or (
                 name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             bad = 2
+    part = False
     if tag not in ("html", "body") and tag not in _MAIN | {"h1"} and words & _WORDS:
+        part = bad == 0 and not whole & _WORDS
         bad = 2
     elif tag in _MAIN and words & {"comment", "comments", "reply", "replies", "ad", "advert", "related", "sponsored", "promo"}:
         bad = 2
     elif not bad and words & _WORDS_OUTSIDE:
         bad = 1
-    return label, bad
+    return label, bad, part
+
+
+def _in_article(node: "Node") -> bool:
+    while node is not None and not (node.tag in _MAIN or node.label == "main"):
+        node = node.parent
+    return node is not None
 
 
 class Node:
-    __slots__ = ("tag", "label", "bad", "kind", "kids", "parent", "slot", "inline")
+    """An element. What is nested deeper than ``MAX_DEPTH`` hangs from the element at that depth, as in browsers."""
+
+    __slots__ = ("depth", "tag", "label", "bad", "kind", "kids", "parent", "slot", "inline")
 
     def __init__(self, tag, label, bad, parent, inline=False):
         self.tag, self.label, self.bad, self.kids, self.parent, self.slot, self.inline = tag, label, bad, [], parent, None, inline
+        self.depth = 0 if parent is None else parent.depth + 1
         self.kind = (label, bad)  # only nodes of one kind may share a slot: hidden and shown ones may have the same label
         if parent is not None:
             parent.kids.append(self)
@@ -122,7 +136,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 flush()
                 top = node.parent
             continue
-        label, bad = _role(tag, m[3].strip())
+        label, bad, part = _role(tag, m[3].strip())
+        if part and tag in _PLAIN and _in_article(top):
+            bad = 0
         if tag in _VOID:
             buffer.append(" ")
             if tag == "hr":
@@ -136,7 +152,8 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         if tag in _INLINE:
             if bad or top.inline:
                 flush()
-                top = Node(tag, label, max(bad, top.bad if top.inline else 0), top, inline=True)
+                deep = top.depth >= MAX_DEPTH
+                top = Node(tag, label, max(bad, top.bad if top.inline or deep else 0), top.parent if deep else top, inline=True)
             continue
         flush()
         while top.inline:
@@ -152,7 +169,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 if not shut or node.tag == tag:
                     break
             node = node.parent
-        top = Node(tag, label, bad, top)
+        top = Node(tag, label, max(bad, top.bad) if top.depth >= MAX_DEPTH else bad, top.parent if top.depth >= MAX_DEPTH else top)
     flush()
     return root, blocks
 

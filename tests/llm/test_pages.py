@@ -103,3 +103,16 @@ def test_layouts_of_a_host_are_judged_apart():
     # a single page of the other layout, and a page of which only the marking differs
     assert pg.extract([*marked.values(), other[6]])[-1] == "The Daily Site\nHead 6\nStory 6"
     assert pg.extract([f"<{t}><p>the same words</p></{t}>" for t in ("article", "div")]) == ["the same words"] * 2
+
+
+def test_very_deep_nesting():
+    deep = "<div>" * 20_000 + "<p>inner text</p>" + "</div>" * 20_000
+    page = f"<html><body><nav>{'<b><i>' * 3000}menu</nav><article><p>before</p>{deep}<p>after</p></article></body></html>"
+    assert pg.extract([page])[0].split("\n") == ["before", "inner text", "after"]
+    hidden = "<div>" * 300 + "<aside><p>no</p></aside><p>yes</p>" + "</div>" * 300
+    assert pg.extract([f"<article>{hidden}</article>", page])[0] == "yes"
+
+
+def test_part_of_a_class_name_does_not_rule_out_headings_of_an_article():
+    page = "<article><h2 class=related-work>Related work</h2><p class='social-theory'>Text</p><p class=share>Share</p></article><p class=cookie-note>C</p>"
+    assert pg.extract([page])[0] == "Related work\nText"
