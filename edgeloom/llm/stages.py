@@ -14,7 +14,7 @@ from edgeloom.llm.lines import MIN_CHARS, dedup_lines
 from edgeloom.llm.mixing import mix
 from edgeloom.llm.near_dedup import near_duplicates
 from edgeloom.llm.quality import accept
-from edgeloom.llm.storage import table
+from edgeloom.llm.storage import stored, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +39,19 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """One document of each group of near copies stays: that with the smallest doc_id.
 
     Rows with a null doc_id or without words are in no group and stay. Of rows
-    that share a doc_id, being one node, one stays.
+    that share a doc_id and a text one stays, the smallest in the order of all
+    columns; rows that share a doc_id but not the text all stay if the doc_id does.
     """
     gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named = left.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter("doc_id is null"))
+    several = stored(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return left
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    copies = left.join(several, "doc_id", "left_semi").select(*docs.columns).filter(worded)
+    one_each = copies.groupBy(F.col("doc_id").alias("_d"), F.col("text").alias("_t")).agg(F.min(F.struct(*docs.columns)).alias("_r")).select("_r.*")
+    alone = left.join(several.withColumnRenamed("doc_id", "_d"), (F.col("doc_id") == F.col("_d")) & worded, "left_anti")
+    return alone.select(*docs.columns).unionByName(one_each)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
