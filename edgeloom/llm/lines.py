@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.linking import groups
-from edgeloom.llm.storage import stored, table
+from edgeloom.llm.storage import bucketed, discard, stored, table
+from edgeloom.operators.prefix import lookup
 
 THRESHOLD = 2  # edits between linked lines
 PARITY_WORDS = 4  # of 64 bits
@@ -157,9 +158,9 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1
 
     def traits(items: DataFrame) -> DataFrame:
         wanted = distinct.join(items, "item", "left_semi").select("h1", "h2", "item")
-        texts.append(stored(
+        texts.append(bucketed(
             _lines(docs, near_chars).select("line", *_key()).join(wanted, ["h1", "h2"])
-            .groupBy("item").agg(F.min("line").alias("line")), "texts"))
+            .groupBy("item").agg(F.min("line").alias("line")), "item", "texts"))
         return texts[0].select("item", F.char_length("line").alias("n"), bigram_parity(F.col("line")).alias("parity"))
 
     def may_link(p: str, q: str) -> Column:
@@ -169,20 +170,26 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1
     def verify(pairs: DataFrame) -> DataFrame:
         t = texts[0]
         return (
-            stored(pairs, "pairs").join(t.select(F.col("item").alias("a"), F.col("line").alias("x")), "a")
+            pairs.join(t.select(F.col("item").alias("a"), F.col("line").alias("x")), "a")
             .join(t.select(F.col("item").alias("b"), F.col("line").alias("y")), "b")
             .filter(edit_distance(F.col("x"), F.col("y"), threshold) <= threshold).select("a", "b")
         )
 
-    roots, _ = groups(members, verify, traits, may_link)
+    roots, settled = groups(members, verify, traits, may_link)
     joined = distinct.select("h1", "h2", "item", "copies").join(roots, "item", "left")
     heads = roots.select("root").distinct().select(F.col("root").alias("item"), F.col("root").alias("head"))
-    classed = joined.join(heads, "item", "left").withColumn("line_class", F.coalesce("root", "head")).filter(
-        "line_class is not null or copies > 1").select("h1", "h2", F.coalesce("line_class", "item").alias("line_class"), "copies")
-    occurring = stored(
-        _lines(docs, min_chars).select("doc_id", "line_no", *_key()).join(classed, ["h1", "h2"]).drop("h1", "h2"), "occurring")
-    first = occurring.groupBy("line_class").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    return occurring.join(first, "line_class").withColumn(
+    classed = stored(joined.join(heads, "item", "left").withColumn("line_class", F.coalesce("root", "head")).filter(
+        "line_class is not null or copies > 1").select("h1", "h2", F.coalesce("line_class", "item").alias("line_class"), "copies"), "classed")
+    discard(distinct, roots, settled, *texts)
+    # lines and classes that fill a thousandth of all occurrences are looked up by broadcast, so no task gets all of them
+    total = classed.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    occurring = stored(lookup(
+        _lines(docs, min_chars).select("doc_id", "line_no", *_key()), classed.withColumn("weight", F.col("copies")),
+        ["h1", "h2"], "weight", total, 0).drop("h1", "h2"), "occurring")
+    first = stored(occurring.groupBy("line_class").agg(
+        F.min(F.struct("doc_id", "line_no")).alias("at"), F.count(F.lit(1)).alias("weight")), "first")
+    discard(classed)
+    return lookup(occurring, first, ["line_class"], "weight", total, 0).withColumn(
         "first", F.struct("doc_id", "line_no").eqNullSafe(F.col("at"))).drop("at")
 
 
@@ -198,18 +205,31 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1,
     Null text stays null (0 lines); an empty text is one empty line. Rows with
     a null doc_id keep all their lines and lend none. Rows that share a doc_id
     lose the same line numbers; of repeated rows each keeps its first copies.
-    Other columns pass through.
+    Very long texts are taken whole, no rows give no rows. Other columns pass
+    through, but ``n_lines`` and ``n_removed`` are replaced.
     """
     named = docs.filter("doc_id is not null").select("doc_id", "text")
-    drops = line_classes(named, threshold, min_chars, near_chars).filter("not first").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.collect_set("line_no").alias("_drops"))
+    classes = line_classes(named, threshold, min_chars, near_chars)
+    # which of a document's lines go, 64 to a word: whether a line does is one lookup, however many there are
+    word = classes.filter("not first").select("doc_id", (F.col("line_no") / 64).cast("int").alias("w"), F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.col("line_no") % 64).alias("bit")).groupBy("doc_id", "w").agg(F.bit_or("bit").alias("bits"))
+    found = F.array_sort(F.collect_list(F.struct("w", "bits")))
+    drops = stored(word.groupBy(F.col("doc_id").alias("_line_doc")).agg(
+        found.alias("_line_words")), "drops")
+    dense = F.transform(
+        F.sequence(F.lit(0), F.element_at("_line_words", -1)["w"]),
+        lambda w: F.coalesce(F.get(F.filter("_line_words", lambda x: x["w"] == w), 0)["bits"], F.lit(0).cast("bigint")))
+    keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, k: ~F.array_contains("_drops", k))
-    return docs.join(drops, docs["doc_id"] == F.col("_id"), "left").select(
-        *[c for c in docs.columns if c != "text"],
-        F.when(F.col("_drops").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+    both = docs.join(drops.withColumn("_line_bits", dense).drop("_line_words"), docs["doc_id"] == F.col("_line_doc"), "left")
+    bit = lambda k: F.call_function("shiftright", F.coalesce(F.get("_line_bits", (k / 64).cast("int")), F.lit(0).cast("bigint")), k % 64)
+    kept = F.filter(lines, lambda x, k: bit(k).bitwiseAND(F.lit(1)) == 0)
+    touched = F.col("_line_bits").isNotNull() & F.col("text").isNotNull()
+    return both.select(
+        *[docs[c] for c in keep],
+        F.when(touched, F.array_join(kept, "\n")).otherwise(docs["text"]).alias("text"),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
-        F.when(F.col("text").isNull() | F.col("_drops").isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("bigint").alias("n_removed"),
+        F.when(touched, F.size(lines) - F.size(kept)).otherwise(0).cast("bigint").alias("n_removed"),
     )
 
 

@@ -5,8 +5,10 @@ few members are centres, and every other member is compared with each of
 them. Members already known to belong together need no comparison. A bucket
 takes part in further rounds, with 32 times as many centres each time, until all
 its members belong together or every pair of different groups has had one end
-as a centre. So no link that the buckets allow is lost, and the pairs made in
-a round are a small multiple of the bucket rows.
+as a centre. So no link that the buckets allow is lost. Pairs that cannot be
+linked are sorted out in the join itself; a large bucket meets its centres in
+many places, so its work is spread, though a bucket of many members none of
+which are alike still has each of them compared with all.
 """
 
 from __future__ import annotations
@@ -18,42 +20,50 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm.storage import discard, stored
 
-MAX_CENTRES = 1024  # of a bucket and round; a bucket with more members takes more rounds
+MAX_CENTRES = 32_768  # of a bucket and round; a bucket with more members takes more rounds
+PART_ROWS = 1024  # members of a bucket that meet its centres in one place
 
 
-def _state(edges: DataFrame) -> tuple:
+TASK_ROWS = 1_000_000  # links that one task may connect; more are connected by shuffles
+
+
+def _state() -> dict[str, Column]:
     """A fingerprint of an edge set, to see when it no longer changes."""
-    return tuple(edges.agg(
-        F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return {"v": F.sum(F.col("v").cast("decimal(38,0)")), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
 
 
 def connected(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reached, for every node that reaches a smaller one.
 
     Alternating large-star and small-star steps; ``links`` has ``a, b`` (bigint).
+    A round over ``TASK_ROWS`` links or fewer is one task without shuffles.
     """
+    pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
     edges = stored(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter("u <> v").distinct(), "links")
-    before = _state(edges)
+        .filter("u <> v").distinct(), "links", **_state())
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = edges.rows_seen["rows"] <= TASK_ROWS
+        once = edges.coalesce(1) if few else edges
+        near = (lambda df: df.hint("merge")) if few else (lambda df: df)  # a broadcast would be a job of its own
+        both = once.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.join(low, "u").filter(F.col("v") > F.col("u"))
+            both.join(near(low), "u").filter(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+            large.join(near(low), "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e"))
+            .select("e.*").filter("u <> v").distinct()
         )
-        last, edges = edges, stored(small, "stars")
+        last, edges = edges, stored(small, "stars", **_state())
         discard(last)
-        state = _state(edges)
-        if state == before or state[0] == 0:
-            return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        before = state
+        if edges.rows_seen == last.rows_seen or edges.rows_seen["rows"] == 0:
+            once = edges.coalesce(1) if few else edges
+            out = once.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+            out._scratch = edges._scratch
+            return out
 
 
 def _order(turn: int) -> Column:
@@ -62,9 +72,12 @@ def _order(turn: int) -> Column:
 
 
 def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``item, root`` after ``links`` (a, b) connect further groups."""
+    """``item, root`` after ``links`` (a, b) connect further groups; the tables it came from are deleted."""
     if roots is None:
-        return connected(links).withColumnRenamed("node", "item")
+        moved = connected(links)
+        out = stored(moved.withColumnRenamed("node", "item"), "roots")
+        discard(moved)
+        return out
     ends = (
         links.join(roots.select(F.col("item").alias("a"), F.col("root").alias("ra")), "a", "left")
         .join(roots.select(F.col("item").alias("b"), F.col("root").alias("rb")), "b", "left")
@@ -73,9 +86,11 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = connected(ends)
     old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left")
     new = moved.join(roots.select(F.col("item").alias("node")), "node", "left_anti")
-    return stored(
+    out = stored(
         old.select("item", F.coalesce("r2", "root").alias("root"))
         .unionByName(new.select(F.col("node").alias("item"), "root")), "roots")
+    discard(moved, roots)
+    return out
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -85,11 +100,11 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold different groups, and more than one item that has not served."""
+    """Rows of the buckets that hold different groups, and more than one item that has not served; ``size`` is the bucket's."""
     state = rows.groupBy("bucket").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"),
         F.sum(F.when(~F.col("served"), 1).otherwise(0)).alias("unserved"))
-    return rows.join(state.filter("lo < hi and unserved > 1").select("bucket"), "bucket")
+    return rows.drop("size").join(state.filter("lo < hi and unserved > 1").select("bucket", "size"), "bucket")
 
 
 def _one_of_each(rows: DataFrame) -> DataFrame:
@@ -126,10 +141,10 @@ def groups(
     shared = once
     known = traits(shared.select("item").distinct())
     extra = [c for c in known.columns if c != "item"]
-    columns = ["bucket", "item", "root", "served", *extra]
+    columns = ["bucket", "item", "root", "served", "size", *extra]
     grown, turn = stored(shared.join(known, "item").select(columns), "members"), 0
     discard(shared)
-    while not grown.isEmpty() and turn != turns:
+    while grown.rows_seen["rows"] and turn != turns:
         some = min(32 ** turn, MAX_CENTRES)
         # centres: each of ``some`` parts of a bucket names one member that has not served yet
         part = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(some))
@@ -140,16 +155,25 @@ def groups(
         )
         marked = stored(
             grown.join(named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "centres")
+        discard(grown)
+        # a large bucket is dealt into parts, and its centres go to each of them
+        parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+        dealt = marked.withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn), F.lit(1)), parts).cast("int"))
         centres = marked.filter("now").select(
-            "bucket", F.col("item").alias("centre"), F.col("root").alias("c_root"), *[F.col(x).alias(f"c_{x}") for x in extra])
-        pairs = marked.join(centres, "bucket").filter("root <> c_root").filter(may_link("", "c_")).select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b"))
-        links = stored(verify(pairs.distinct()), "verified")
+            "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("item").alias("centre"),
+            F.col("root").alias("c_root"), *[F.col(x).alias(f"c_{x}") for x in extra])
+        pairs = stored(
+            dealt.join(centres, ["bucket", "part"]).filter("root <> c_root").filter(may_link("", "c_"))
+            .select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b")).distinct(), "pairs")
         after = marked
-        if not links.isEmpty():
-            roots = _merged(roots, links)
-            after = _with_roots(marked.drop("root"), roots)
-        last, grown = grown, stored(_open(after.withColumn("served", F.col("served") | F.col("now")).select(columns)), "open")
-        discard(last, marked, links)
+        if pairs.rows_seen["rows"]:
+            links = stored(verify(pairs), "verified")
+            if links.rows_seen["rows"]:
+                roots = _merged(roots, links)
+                after = _with_roots(marked.drop("root"), roots)
+            discard(links)
+        grown = stored(_open(after.withColumn("served", F.col("served") | F.col("now")).select(columns)), "open")
+        discard(marked, pairs)
         turn += 1
     if roots is None:
         roots = grown.select("item", "root").limit(0)

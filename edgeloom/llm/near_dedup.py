@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm import text as tx
 from edgeloom.llm.linking import connected, groups
-from edgeloom.llm.storage import stored
+from edgeloom.llm.storage import bucketed, discard, stored
+from edgeloom.operators.prefix import lookup
 
 STAR_TURNS = 3  # rounds of stars in the buckets of bands; what they leave open goes by rare shingles
 PARITY_WORDS = 8  # of 64 bits
@@ -132,12 +133,14 @@ def _rare_buckets(sets: DataFrame, items: DataFrame, percent: int) -> DataFrame:
                     [pa.array(np.full(len(members), batch.column(0)[k].as_py())), pa.array(np.full(len(members), len(members))),
                      pa.array(members)], names=["item", "n", "bucket"])
 
-    each = sets.join(items, "item", "left_semi").select("item", "members").mapInArrow(
-        tokens, "item bigint, n bigint, bucket bigint")
-    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    each = stored(sets.join(items, "item", "left_semi").select("item", "members").mapInArrow(
+        tokens, "item bigint, n bigint, bucket bigint"), "shingles")
+    counts = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"), F.count(F.lit(1)).alias("weight"))
     place = F.row_number().over(Window.partitionBy("item", "n").orderBy("df", "bucket"))
     first = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    return each.join(counts, "bucket").withColumn("place", place).filter(F.col("place") <= first).filter("df > 1").select(
+    # a shingle of a whole family is looked up by broadcast, so no task gets all its rows
+    rare = lookup(each, counts, ["bucket"], "weight", each.rows_seen["rows"], 0)
+    return rare.withColumn("place", place).filter(F.col("place") <= first).filter("df > 1").select(
         "bucket", "item")
 
 
@@ -160,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     seen = stored(sketches(docs, words, rows, bands), "sketches")
     named = seen.filter("doc_id is not null and n > 0")
     classes = stored(
-        named.groupBy("set_id").agg(F.min("doc_id").alias("item"), F.first("n").alias("n"),
+        named.groupBy("set_id").agg(F.min("doc_id").alias("item"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
                                     F.first("buckets").alias("buckets"), F.first("parity").alias("parity")), "classes")
     buckets = classes.select("item", F.explode("buckets").alias("bucket"))
     ready: list[DataFrame] = []
@@ -169,13 +172,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         if not ready:  # full sets of the documents that share any bucket with another one
             texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
                 items.withColumnRenamed("item", "doc_id"), "doc_id", "left_semi")
-            ready.append(stored(_full_sets(texts, words), "sets"))
+            ready.append(bucketed(_full_sets(texts, words), "item", "sets"))
         return items.join(classes.select("item", "n", "parity"), "item")
 
     def verify(pairs: DataFrame) -> DataFrame:
         sets = ready[0]
         found = (
-            stored(pairs, "pairs").join(sets.select(F.col("item").alias("a"), F.col("members").alias("x")), "a")
+            pairs.join(sets.select(F.col("item").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("item").alias("b"), F.col("members").alias("y")), "b")
         )
         return found.select("a", "b", "x", "y").mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
@@ -187,13 +190,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         return sizes & ((100 - percent) * (F.col(f"{p}n") + F.col(f"{q}n")) >= (100 + percent) * apart)
 
     roots, unsettled = groups(buckets, verify, traits, may_link, turns=STAR_TURNS)
-    if not unsettled.isEmpty():
+    if unsettled.rows_seen["rows"]:
         rest = _rare_buckets(ready[0], unsettled.select("item").distinct(), percent)
         roots, _ = groups(rest, verify, traits, may_link, roots=roots)
     # equal sets follow their representative; rows that share an id join what each of them joins
-    reps = named.select("doc_id", "set_id").distinct().join(classes.select("set_id", "item"), "set_id").select(
-        F.col("doc_id").alias("a"), F.col("item").alias("b"))
-    return _answer(seen, reps, roots)
+    reps = lookup(named.select("doc_id", "set_id"), classes.select("set_id", "item", "copies"), ["set_id"], "copies",
+                  seen.rows_seen["rows"], 0).select(F.col("doc_id").alias("a"), F.col("item").alias("b")).distinct()
+    answer = stored(_answer(seen, reps, roots), "answer")
+    discard(seen, classes, roots, unsettled, *ready)
+    return answer
 
 
 def _answer(seen: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:

@@ -28,11 +28,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     ``n_chars``, where there is one, follows the text. Unlike in
     ``op7_line_dedup``, lines below ``MIN_CHARS`` characters stay.
     """
-    out = dedup_lines(docs, min_chars=MIN_CHARS)
+    own = {c: f"_own_{c}" for c in ("n_lines", "n_removed") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(own), min_chars=MIN_CHARS)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*[F.col(own[c]).alias(c) if c in own else F.col(c) for c in docs.columns])
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from edgeloom.session import ensure_checkpoint_dir
 
@@ -18,23 +20,51 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def stored(df: DataFrame, what: str, **seen: Column) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    It cuts the lineage into storage that outlives executors. The files are
+    It cuts the lineage into storage that outlives executors. The number of
+    rows, and any aggregates asked for by name, are observed while writing and
+    stand in ``rows_seen`` of the result; they cost no job. The files are
     scratch data; what ``discard`` does not take stays until the folder is
     emptied.
     """
-    path = shared_path(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch = path
+    path, note, asked = shared_path(df.sparkSession, what), Observation(), _asked(seen)
+    df.observe(note, *asked).write.parquet(path)
+    return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path, note, asked)
+
+
+def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df`` stored in files dealt by ``key`` and sorted, and known as such: joins on ``key`` do not move it again."""
+    spark, note, asked = df.sparkSession, Observation(), _asked({})
+    n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"scratch_{uuid.uuid4().hex}", shared_path(df.sparkSession, what)
+    dealt = df.observe(note, *asked).repartition(n, key)
+    dealt.write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    out = _kept(spark.table(name), path, note, asked)
+    out._table = name
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of ``stored`` tables that nothing refers to any more."""
+def _asked(seen: dict[str, Column]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in seen.items()]]
+
+
+def _kept(df: DataFrame, path: str, note: Observation, asked: list[Column]) -> DataFrame:
+    try:
+        seen = note.get
+    except Py4JJavaError:  # a plan that turns out empty while it runs may lose its observation
+        seen = df.agg(*asked).first().asDict()
+    df._scratch, df.rows_seen = path, seen
+    return df
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of stored tables that nothing refers to any more."""
     for df in tables:
+        if df is None or not hasattr(df, "_scratch"):
+            continue
         spark = df.sparkSession
+        if hasattr(df, "_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {df._table}")
         path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -114,3 +114,43 @@ def test_equal_lines_of_any_length_meet(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in ln.dedup_lines(docs).collect()}
     assert got == {1: (rows[0][1], 4, 0), 2: ("And ornd!\n\ny", 5, 2), 3: ("", 2, 2), None: ("x", 1, 0), 4: ("\n", 3, 1)}
+
+
+def test_registered_setting_against_all_pairs(spark):
+    """Lines of any length at the setting of the query: equal ones below 20 characters, near ones above."""
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abc d") for _ in range(rng.choice([1, 5, 18, 22, 30]))) for _ in range(30)]
+    rows = [(k, "\n".join(edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2])) for _ in range(rng.randint(1, 5)))) for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    at = {}
+    for k, t in rows:
+        for n, x in enumerate(t.split("\n")):
+            if x:
+                at.setdefault(x, []).append((k, n))
+    root = {x: x for x in at}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in at:
+        for b in at:
+            if a < b and min(len(a), len(b)) >= 20 and levenshtein(a, b) <= 2:
+                root[find(a)] = find(b)
+    classes = {}
+    for x, places in at.items():
+        classes.setdefault(find(x), []).extend(places)
+    drop = {p for g in classes.values() for p in g if p != min(g)}
+    got = {r.doc_id: (r.text, r.n_removed) for r in ln.dedup_lines(docs).collect()}
+    assert got == {k: ("\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in drop), sum((k, n) in drop for n in range(t.count("\n") + 1)))
+                   for k, t in rows}
+
+
+def test_long_documents_and_clashing_columns(spark):
+    text = "\n".join(f"line {k % 70_000}" for k in range(140_000))
+    rows = [(1, text, 5, 6, "i"), (2, "line 3\nother", 7, 8, "j")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed int, _id string")
+    got = {r.doc_id: r for r in ln.dedup_lines(docs).collect()}
+    assert got[1].n_lines == 140_000 and got[1].n_removed == 70_000 and got[1].text == "\n".join(f"line {k}" for k in range(70_000))
+    assert (got[2].text, got[2].n_lines, got[2].n_removed, got[2]._id) == ("other", 2, 1, "j")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import near_dedup, queries
+from edgeloom.llm import linking, near_dedup, queries
 from edgeloom.llm.linking import connected, groups
 from edgeloom.llm.mixing import mix, source_targets
 
@@ -119,7 +119,22 @@ def test_groups_find_every_link_of_a_bucket(spark):
     assert none.count() == 0
 
 
-def test_connected(spark):
+def test_large_buckets_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(linking, "PART_ROWS", 3)
+    rng = np.random.default_rng(2)
+    links = {tuple(sorted(map(int, e))) for e in rng.integers(0, 60, (50, 2)) if e[0] != e[1]}
+    members = spark.createDataFrame([(1, k) for k in range(60)] + [(2, k) for k in range(0, 60, 7)], "bucket long, item long")
+    allowed = spark.createDataFrame(sorted(links), "a long, b long")
+    for most in (32_768, 5):
+        monkeypatch.setattr(linking, "MAX_CENTRES", most)
+        got, left = groups(members, lambda pairs: pairs.join(allowed, ["a", "b"]), lambda items: items, lambda p, q: F.lit(True))
+        want = roots_of(range(60), links)
+        assert left.isEmpty() and {r["item"]: r["root"] for r in got.collect()} == {k: v for k, v in want.items() if k != v}
+
+
+@pytest.mark.parametrize("in_a_task", [1_000_000, 0])
+def test_connected(spark, monkeypatch, in_a_task):
+    monkeypatch.setattr(linking, "TASK_ROWS", in_a_task)
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (260, 2))]
     got = {r.node: r.root for r in connected(spark.createDataFrame(links, "a long, b long")).collect()}

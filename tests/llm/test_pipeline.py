@@ -94,3 +94,14 @@ def test_stages_take_odd_rows(spark):
     mixed = stages.mix_sources(spark, docs, SF)
     assert mixed.count() == 4 and {"size", "source_size", "target", "taken"} <= set(mixed.columns)
     assert stages.mix_sources(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_that_share_a_doc_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    rows = [(1, a, "x"), (1, b, "x"), (1, None, "x"), (1, a, "w"), (2, a, "x"), (3, "z", "x"), (None, b, "x"), (None, b, "x"), (4, " ", "x"), (4, " ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "5 as n_lines", "6 as n_removed")
+    got = sorted(map(tuple, stages.keep_one_of_each_group(spark, docs, SF).collect()), key=str)
+    want = [(1, a, "w"), (1, b, "x"), (1, None, "x"), (3, "z", "x"), (None, b, "x"), (None, b, "x"), (4, " ", "x"), (4, " ", "x")]
+    assert got == sorted(((*r, 5, 6) for r in want), key=str)
+    out = stages.drop_repeated_lines(spark, docs, SF)
+    assert out.columns == docs.columns and {(r.n_lines, r.n_removed) for r in out.collect()} == {(5, 6)}
