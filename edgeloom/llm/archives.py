@@ -27,6 +27,8 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 MIN_REVISIT = 1000  # bytes of payload from which a copy becomes a revisit
 RECORDS_PER_FILE = 20_000
+FILE_BYTES = 128_000_000  # of records before compression; a file holds one record at least
+BATCH_BYTES = 4_000_000
 _SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:edgeloom:arc-record")
 
 
@@ -152,16 +154,17 @@ _RECORD = "page_id bigint, url string, ip string, date string, http binary, payl
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
-            out = []
+            out, held = [], 0
             for r in parse_arc(content.as_py() or b""):
                 http, payload = split_http(r["block"])
                 page = header(http, "X-Page-Id") or ""
                 url, date = r.get("URL", ""), r.get("Archive-date", "")
                 out.append((int(page) if page else None, url, r.get("IP-address", ""), date, http, payload,
                             hashlib.sha1(payload).hexdigest(), record_id(url, date, page, payload)))
-                if sum(len(x[5]) for x in out[-1:]) > 4_000_000 or len(out) >= 256:
+                held += len(payload)
+                if held > BATCH_BYTES or len(out) >= 256:
                     yield _rows(out)
-                    out = []
+                    out, held = [], 0
             if out:
                 yield _rows(out)
 
@@ -200,24 +203,35 @@ def with_revisits(records: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     ).drop("last", "target")
 
 
-def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = batch.to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([
-            warc_record(r["url"], r["ip"], r["date"], r["http"], r["payload"], r["record_id"], r["refers_to_id"],
-                        "" if r["page_id"] is None else str(r["page_id"]))[:-1] for r in rows], pa.binary())], names=["record"])
+def _serialise(file_bytes: int):
+    """A task that writes records as text and numbers the files they go to, by bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, held = 0, 0
+        for batch in batches:
+            records, files = [], []
+            for k in range(batch.num_rows):  # one at a time: a batch of large payloads is not held twice
+                r = {name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)}
+                record = warc_record(r["url"], r["ip"], r["date"], r["http"], r["payload"], r["record_id"], r["refers_to_id"],
+                                     "" if r["page_id"] is None else str(r["page_id"]))[:-1]
+                if held and held + len(record) > file_bytes:
+                    file, held = file + 1, 0
+                held += len(record) + 1
+                records.append(record)
+                files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary()), pa.array(files, pa.int32())], names=["record", "file"])
+    return run
 
 
-def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write records (see ``with_revisits``) as gzip WARC files below ``path``.
+def write_warc(records: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Write records (see ``with_revisits``) as gzip WARC files below ``path``, each of bounded bytes and records.
 
     Spark's text writer appends the last line feed of every record, so the
     files are plain concatenations of records; its commit protocol covers
     retried tasks.
     """
     out = records.select("page_id", "url", "ip", "date", "http", "payload", "record_id", "refers_to_id")
-    (out.mapInArrow(_serialise, "record binary").select(F.col("record").cast("string"))
-     .write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
+    (out.mapInArrow(_serialise(file_bytes), "record binary, file int").select(F.col("record").cast("string"), "file")
+     .write.partitionBy("file").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

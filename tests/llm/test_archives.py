@@ -50,3 +50,17 @@ def test_records_are_repeatable_and_complete(spark):
     assert a == b and a[0].record_id.startswith("<urn:uuid:")
     head, block = next(ar.parse_warc(ar.warc_record(a[0].url, a[0].ip, a[0].date, bytes(a[0].http), bytes(a[0].payload), a[0].record_id, None, "1")))
     assert ar.header(head, "WARC-Type") == "response" and block.endswith(b"text ")
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(k, f"http://h/{k}", chr(97 + k % 26) * 3000) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "w")
+    ar.write_warc(ar.with_revisits(ar.convert(ar.pages_as_arc(df))).coalesce(1), path, file_bytes=30_000)
+    files = spark.read.format("binaryFile").load(path).collect()
+    sizes = [sum(len(h) + len(b) for h, b in ar.parse_warc(bytes(f.content))) for f in files]
+    assert len(files) >= 4 and max(sizes) <= 30_000
+    back = ar.read_warc(spark, path).collect()
+    assert sorted(r.page_id for r in back) == list(range(40))
+    ar.write_warc(ar.with_revisits(ar.convert(ar.pages_as_arc(df))), path + "2", file_bytes=10)
+    assert ar.read_warc(spark, path + "2").count() == 40
