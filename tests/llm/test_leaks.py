@@ -1,6 +1,7 @@
 """Decontamination: alignment against the plain recurrence, planted copies, odd rows."""
 
 import random
+import re
 
 import numpy as np
 
@@ -84,3 +85,34 @@ def test_whole_table_against_containment(spark):
             if text in " " + " ".join(w) + " ":
                 assert got[k, r.item_id] == 1.0
     assert got
+
+
+def test_whole_table_against_all_pairs(spark):
+    """Every document aligned with every item, cell by cell (items side by side)."""
+    small = SF.replace("sf0.01", "sf0.001")
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    split = re.compile(r"[^\x20\x09-\x0D]+")
+    docs = {r.doc_id: split.findall((r.text or "").translate(low)) for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    items = {r.item_id: split.findall((r.text or "").translate(low)) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    number = {w: k for k, w in enumerate(sorted({w for t in [*docs.values(), *items.values()] for w in t}))}
+    ids = sorted(items)
+    longest = max(len(items[k]) for k in ids)
+    grid = np.full((longest + 1, len(ids)), -1)
+    for c, k in enumerate(ids):
+        grid[1:len(items[k]) + 1, c] = [number[w] for w in items[k]]
+    full = np.array([lk.MATCH * len(items[k]) for k in ids])
+    want = {}
+    for doc, text in docs.items():
+        before, best = np.zeros((longest + 1, len(ids)), int), np.zeros(len(ids), int)
+        for w in text:
+            now = np.maximum(before + lk.GAP, 0)
+            now[1:] = np.maximum(now[1:], before[:-1] + np.where(grid[1:] == number[w], lk.MATCH, lk.MISMATCH))
+            now[0] = 0
+            for i in range(1, longest + 1):
+                np.maximum(now[i], now[i - 1] + lk.GAP, out=now[i])
+            now[grid == -1] = 0
+            best, before = np.maximum(best, now.max(axis=0)), now
+        for c in np.flatnonzero(best >= lk.LEAST * full):
+            want[doc, ids[c]] = best[c] / full[c]
+    got = {(r.doc_id, r.item_id): r.score for r in queries.op8_benchmark_leaks(spark, small).collect()}
+    assert got == want and got

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from edgeloom.llm import language, quality, queries
+from edgeloom.llm import text as tx
 
 SF = "/root/testdata/sf0.01"
 
@@ -80,3 +81,76 @@ def test_language_without_training_rows(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert [(r.lang_pred, r.score) for r in language.identify(docs, empty).collect()] == [("und", 0.0)]
     assert language.identify(docs.limit(0), empty).count() == 0
+
+
+def plain_features(text, dimensions):
+    """One text token by token; the hashes are those of the operator, taken one at a time."""
+    data = (text or "").encode()
+    tokens, k = [], 0
+    kind = lambda b: 0 if b in b" \t\n\x0b\x0c\r" else 2 if 33 <= b < 127 and not chr(b).isalnum() else 1
+    while k < len(data):
+        e = k
+        while e < len(data) and kind(data[e]) == kind(data[k]):
+            e += 1
+        if kind(data[k]):
+            tokens.append((kind(data[k]), data[k:e]))
+        k = e
+    mix = lambda x: int(tx.mix(np.array([x % 2**64], np.uint64))[0])
+    low = [t.translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))) for _, t in tokens]
+    names = [int(tx.Prefix(np.frombuffer(t, np.uint8)).of(np.array([0]), np.array([len(t)]))[0]) for t in low]
+    forms = []
+    for k, (what, t) in enumerate(tokens):
+        up, down = sum(65 <= b <= 90 for b in t), sum(97 <= b <= 122 for b in t)
+        form = 1 if up == 0 else 2 if down == 0 and up > 1 else 3
+        form += sum(10 * back for back in (1, 2) if k >= back and names[k] == names[k - back])
+        forms.append(mix(names[k] if what == 2 else form))
+    out = {0: 1.0}
+    for view, (stream, most) in enumerate(((names, 2), (forms, 3))):
+        count = Counter()
+        for n in range(1, most + 1):
+            for k in range(len(stream) - n + 1):
+                h = stream[k]
+                for x in stream[k + 1:k + n]:
+                    h = mix(h * 0x9DDFEA08EB382D69 + x)
+                count[view * (dimensions // 2) + 1 + mix(h + 977 * n + view) % (dimensions // 2 - 1)] += 1
+        norm = math.sqrt(sum(math.log1p(c) ** 2 for c in count.values()))
+        out.update({k: math.log1p(c) / norm for k, c in count.items()})
+    return out
+
+
+def test_quality_whole_table_recomputed_plainly(spark):
+    small, dim = SF.replace("sf0.01", "sf0.001"), quality.DIMENSIONS
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    learn, rows = quality.sample_labels(docs.filter(quality.fold() != 1), labels.filter(quality.fold() != 1))
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    texts = {r.doc_id: plain_features(r.text, dim) for r in docs.collect()}
+    shards = -(-rows // quality.SHARD_ROWS)
+    epochs = min(max(-(-quality.UPDATES // max(1, rows // shards)), 2), 40)
+    order = learn.selectExpr("doc_id", "quality", "xxhash64(doc_id, 11) as o", f"pmod(xxhash64(doc_id, 5), {shards}) as shard").collect()
+    assert {r.doc_id: r.quality for r in order} == {k: v for k, v in known.items() if k in texts}
+    average = Counter()
+    for shard in range(shards):
+        z, n = Counter(), Counter()
+
+        def weight(i, z=z, n=n):
+            if abs(z[i]) <= quality.L1:
+                return 0.0
+            return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+        for _ in range(epochs):
+            for r in sorted((r for r in order if r.shard == shard), key=lambda r: (r.o, r.doc_id)):
+                x = texts[r.doc_id]
+                w = {i: weight(i) for i in x}
+                p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+                for i, v in x.items():
+                    g = (p - r.quality) * v
+                    z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * w[i]
+                    n[i] += g * g
+        for i in list(z):
+            average[i] += weight(i) / shards
+    got = {r.doc_id: r for r in queries.op2_quality(spark, small).collect()}
+    assert got.keys() == texts.keys()
+    for k, x in texts.items():
+        want = 1 / (1 + math.exp(-sum(average[i] * v for i, v in x.items())))
+        assert got[k].score == pytest.approx(want, abs=1e-7)
+        assert got[k].predicted == int(got[k].score >= 0.5)
