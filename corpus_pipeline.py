@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeloom.llm import stages
-from edgeloom.llm.storage import stored, table
+from edgeloom.llm.storage import discard, stored, table
 
 STAGES = [
     ("quality", stages.drop_low_quality),
@@ -20,5 +20,6 @@ ORACLE_SQL = None  # a learned model, edit distances and alignments: tests hold
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        last, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(last)
     return docs
