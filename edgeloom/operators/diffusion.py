@@ -190,6 +190,11 @@ def _diffuse_by_joins(edges: DataFrame, p: int, delta: np.ndarray, times: np.nda
         "node", "t_idx", F.element_at(t_grid, F.col("t_idx") + 1).alias("t"), "s")
 
 
+def _correlation(x: str, y: str):
+    """Correlation of two columns, null (and no error) where one of them is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def diffusion_metrics(signals: DataFrame, predicted: str, truth: str, p: int) -> DataFrame:
     """Spearman (mean and worst over t) and mean absolute error of two signals."""
     a = signals.filter(F.col("graph") == truth).select("t_idx", "node", F.round("s", 12).alias("a"), F.col("s").alias("ra"))
@@ -197,7 +202,7 @@ def diffusion_metrics(signals: DataFrame, predicted: str, truth: str, p: int) ->
     both = a.join(b, ["t_idx", "node"])
     ranked = average_rank(average_rank(both, "a", ["t_idx"], p, "ka"), "b", ["t_idx"], p, "kb")
     per_t = ranked.groupBy("t_idx").agg(
-        F.corr("ka", "kb").alias("rho"), F.avg(F.abs(F.col("ra") - F.col("rb"))).alias("mae")
+        _correlation("ka", "kb").alias("rho"), F.avg(F.abs(F.col("ra") - F.col("rb"))).alias("mae")
     )
     rho = F.when(F.col("rho").isNull() | F.isnan("rho"), 0.0).otherwise(F.col("rho"))
     return per_t.agg(
@@ -310,7 +315,7 @@ def knockout_metrics(impact_true: DataFrame, impact_pred: DataFrame, p: int, top
     ranked = average_rank(average_rank(both.withColumn("_g", F.lit(0)), "a", ["_g"], p, "ka"), "b", ["_g"], p, "kb")
     r10 = top_k_recall(both, top10, "a", "b").scalar()
     rk = top_k_recall(both, k_eff, "a", "b").scalar()
-    return ranked.agg(F.corr("ka", "kb").alias("rho")).select(
+    return ranked.agg(_correlation("ka", "kb").alias("rho")).select(
         F.when(F.col("rho").isNull() | F.isnan("rho"), 0.0).otherwise(F.col("rho")).alias("knockout_spearman"),
         r10.alias("knockout_top10_recall"), rk.alias("knockout_topk_recall"),
     )

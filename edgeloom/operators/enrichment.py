@@ -7,8 +7,8 @@ database names per level documents which collections a level stands for.
 
 from __future__ import annotations
 
+import math
 import warnings
-import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,6 +22,7 @@ from edgeloom.operators.graph import degree
 from edgeloom.operators.inference import fdr_adjust_within
 from edgeloom.operators.matrix import symmetrise
 from edgeloom.operators.prefix import running
+from edgeloom.session import checkpointed, spread
 
 LEVELS = ("rna", "post_transcriptional", "protein", "all")
 EXTRACTIONS = ("hub", "prerank", "community")
@@ -95,17 +96,23 @@ def ranked_genes(edges: DataFrame, variables: DataFrame, p: int, method: str = "
     return node_scores(edges, p, method).join(names, "node").select("gene", "score")
 
 
-def _log_choose(a: Column, b: Column) -> Column:
-    """``ln C(a, b)`` as a short sum inside the expression."""
-    terms = F.when(b > 0, F.sequence(F.lit(1).cast("bigint"), b)).otherwise(
-        F.array().cast("array<bigint>"))
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.log((a - b + t) / t))
+def _log_factorial(n: Column) -> Column:
+    """``ln n!`` by Stirling's series, 12 steps up the recurrence where it is exact to 13 digits."""
+    x = n.cast("double") + 1.0
+    y = x + 12.0
+    steps = x
+    for k in range(1, 12):
+        steps = steps * (x + float(k))
+    series = 1.0 / (12.0 * y) - 1.0 / (360.0 * F.pow(y, 3)) + 1.0 / (1260.0 * F.pow(y, 5)) - 1.0 / (1680.0 * F.pow(y, 7))
+    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2.0 * math.pi)) + series - F.log(steps)
 
 
 def hypergeometric_tail(n_all: Column, n_term: Column, n_query: Column, k: Column) -> Column:
-    """``P(X >= k)``: the first term from log-binomials, the rest by ratios."""
+    """``P(X >= k)``: the first term from log-factorials, the rest by ratios."""
     N, K, n, k = (c.cast("bigint") for c in (n_all, n_term, n_query, k))
-    first = F.exp(_log_choose(K, k) + _log_choose(N - K, n - k) - _log_choose(N, n))
+    parts = F.array(K, N - K, n, N - n, k, K - k, n - k, N - K - n + k, N)
+    signs = F.array(*[F.lit(x) for x in (1.0, 1.0, 1.0, 1.0, -1.0, -1.0, -1.0, -1.0, -1.0)])
+    first = F.exp(F.aggregate(F.zip_with(parts, signs, lambda v, s: s * _log_factorial(v)), F.lit(0.0), lambda t, v: t + v))
     last = F.least(K, n)
     steps = F.when(last > k, F.sequence(k, last - 1)).otherwise(F.array().cast("array<bigint>"))
     init = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
@@ -181,121 +188,141 @@ def _positions(ranked: DataFrame, rows: int) -> DataFrame:
     return cum.select("gene", "score", F.col("pos").cast("bigint").alias("pos"))
 
 
-def _walk_extreme(w: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
-    """Signed running-sum extreme for rows of sorted hit positions (0-based)."""
+def _walk(weight: np.ndarray, pos: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sum after and before each hit, for rows of hit weights and sorted positions (from 0)."""
     k = pos.shape[1]
-    weight = w[pos]
     total = weight.sum(axis=1, keepdims=True)
     flat = total <= 0
     weight = np.where(flat, 1.0 / k, weight / np.where(flat, 1.0, total))
     share = np.cumsum(weight, axis=1)
     miss = (pos - np.arange(k)) / max(n - k, 1)
-    hi = (share - miss).max(axis=1)
-    lo = (share - weight - miss).min(axis=1)
+    return share - miss, share - weight - miss
+
+
+def _extreme(weight: np.ndarray, pos: np.ndarray, n: int) -> np.ndarray:
+    """Signed running-sum extreme of each row."""
+    after, before = _walk(weight, pos, n)
+    hi, lo = after.max(axis=1), before.min(axis=1)
     return np.where(hi >= -lo, hi, lo)
 
 
-MAX_RANKED_GENES = 2_000_000  # 16 MB of scores broadcast to the permutation tasks
+MAX_RANKED_GENES = 2_000_000  # 16 MB of scores are broadcast to the permutation tasks; more are looked up by a join
+
+
+def _null_scores(placed: DataFrame, sizes: DataFrame, n: int, permutations: int, seed: int) -> DataFrame:
+    """``k, b, es``: the score of a random set of ``k`` genes, for every size and permutation.
+
+    A permutation of gene labels moves a term to random places, whatever the
+    term is, so terms of a size share their null scores. Draws are seeded by
+    size and permutation: a retried task repeats them.
+    """
+    spark = placed.sparkSession
+    draws = spread(sizes.select("k", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("b")), "k", "b")
+
+    def places(k: int, b: int) -> np.ndarray:
+        return np.sort(np.random.default_rng([seed, k, b]).choice(n, k, replace=False))
+
+    if n <= MAX_RANKED_GENES:
+        scores = np.abs(placed.orderBy("pos").select("score").toPandas()["score"].to_numpy(float))
+        shared = spark.sparkContext.broadcast(scores)
+
+        def run(batches):
+            w = shared.value
+            for pdf in batches:
+                rows = [places(int(k), int(b)) for k, b in zip(pdf["k"], pdf["b"])]
+                yield pdf.assign(es=[float(_extreme(w[None, p], p[None, :], n)[0]) for p in rows])
+
+        return draws.mapInPandas(run, "k INT, b INT, es DOUBLE")
+
+    def spots(batches):
+        for pdf in batches:
+            for k, b in zip(pdf["k"], pdf["b"]):
+                yield pd.DataFrame({"k": k, "b": b, "pos": places(int(k), int(b)) + 1})
+
+    hits = draws.mapInPandas(spots, "k INT, b INT, pos BIGINT").join(placed.select("pos", F.abs("score").alias("w")), "pos")
+    sets = hits.groupBy("k", "b").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("h")).select(
+        "k", "b", F.col("h.pos").alias("pos"), F.col("h.w").alias("w"))  # a set of k genes a row
+
+    def walked(batches):
+        for pdf in batches:
+            es = [float(_extreme(np.asarray(w)[None, :], np.asarray(pos)[None, :] - 1, n)[0]) for pos, w in zip(pdf["pos"], pdf["w"])]
+            yield pd.DataFrame({"k": pdf["k"], "b": pdf["b"], "es": es})
+
+    return sets.mapInPandas(walked, "k INT, b INT, es DOUBLE")
 
 
 def prerank(ranked: DataFrame, terms: DataFrame, permutations: int = 1000, min_size: int = 5,
             max_size: int = 500, seed: int = 42) -> DataFrame:
     """Pre-ranked enrichment: ``term_name, ES, NES, p_value, adjusted_p_value, lead_genes``.
 
-    Gene labels are permuted. Terms are spread over tasks; a task draws from a
-    generator seeded by the term, so retries repeat their draws. The FDR compares
-    each NES with the pooled normalised null scores through a fixed histogram
-    per term size, so the null scores themselves never travel.
+    Gene labels are permuted; null scores are drawn for each size of a term
+    (``_null_scores``), so they number ``(max_size - min_size + 1) * permutations`` at most, whatever
+    the number of terms. A score is normalised by the mean null score of its
+    sign and size. The FDR is the share of normalised null scores (each size as
+    often as terms have it) at least as extreme over the share of observed
+    ones, by exact counts.
     """
     spark = ranked.sparkSession
     n = ranked.count()
-    if n > MAX_RANKED_GENES:
-        raise ValueError(f"prerank permutes at most {MAX_RANKED_GENES} genes; got {n}")
-    placed = _positions(ranked, n).persist()
-    scores = np.abs(placed.orderBy("pos").toPandas()["score"].to_numpy(float))
-    shared = spark.sparkContext.broadcast(scores)
+    placed = checkpointed(_positions(ranked, n))
     keys = ["db", "term_id", "term_name"]
-    sets = (
-        terms.select(*keys, "gene").distinct().join(placed.select("gene", "pos"), "gene")
-        .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "gene"))).alias("hits"))
-        .filter(F.size("hits").between(min_size, max_size))
+    hit = F.struct("pos", "gene", F.abs("score").alias("w"))
+    sets = checkpointed(
+        terms.select(*keys, "gene").distinct().join(placed, "gene")
+        .groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+        .filter(F.size("hits").between(min_size, max_size)).withColumn("k", F.size("hits"))
     )  # at most max_size genes per row
-    edges = np.linspace(-10.0, 10.0, 4001)
-
-    def run(batches):
-        w = shared.value
+    sizes = sets.groupBy("k").agg(F.count(F.lit(1)).alias("terms"))
+    null = checkpointed(_null_scores(placed, sizes, n, permutations, seed))
+    up, down = F.col("es") >= 0, F.col("es") < 0
+    by_size = null.groupBy("k").agg(
+        F.avg(F.when(up, F.col("es"))).alias("up"), F.avg(F.when(down, F.col("es"))).alias("down"),
+        F.sort_array(F.collect_list("es")).alias("null")).join(sizes, "k")  # a row a size, ``permutations`` numbers each
+
+    def score(batches):
         for pdf in batches:
             out = []
-            for db, term_id, name, hits in pdf[[*keys, "hits"]].itertuples(index=False):
-                pos = np.array([h["pos"] for h in hits]) - 1
-                k = len(pos)
-                es = float(_walk_extreme(w, pos[None, :], n)[0])
-                rng = np.random.default_rng([seed, zlib.crc32(f"{db}|{term_id}".encode())])
-                null = np.array([
-                    _walk_extreme(w, np.sort(rng.choice(n, k, replace=False))[None, :], n)[0]
-                    for _ in range(permutations)
-                ])
-                up, down = null[null >= 0], null[null < 0]
-                side = up if es >= 0 else down
-                nes = es / abs(side.mean()) if side.size and side.mean() != 0 else 0.0
+            for db, term_id, name, hits, up, down, null in pdf[[*keys, "hits", "up", "down", "null"]].itertuples(index=False):
+                pos, w = np.array([h["pos"] for h in hits]) - 1, np.array([h["w"] for h in hits])
+                after, before = (x[0] for x in _walk(w[None, :], pos[None, :], n))
+                es = float(_extreme(w[None, :], pos[None, :], n)[0])
+                null = np.asarray(null)
+                side = null[null >= 0] if es >= 0 else null[null < 0]
+                mean = up if es >= 0 else down
+                nes = es / abs(mean) if side.size and mean == mean and mean != 0 else 0.0
                 more = (side >= es).sum() if es >= 0 else (side <= es).sum()
-                pval = more / side.size if side.size else 1.0
-                norm = np.concatenate([
-                    up / up.mean() if up.size and up.mean() > 0 else up,
-                    -down / down.mean() if down.size else down])
-                hist = np.histogram(np.clip(norm, -9.999, 9.999), edges)[0]
-                cut = _leading(w, pos, n, es)
-                out.append((db, term_id, name, es, nes, float(pval),
-                            ";".join(h["gene"] for h in hits[cut[0]:cut[1]]), hist.tolist()))
-            yield pd.DataFrame(out, columns=[*keys, "ES", "NES", "p_value", "lead_genes", "hist"])
-
-    scored = sets.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(
-        run, "db STRING, term_id STRING, term_name STRING, ES DOUBLE, NES DOUBLE, "
-             "p_value DOUBLE, lead_genes STRING, hist ARRAY<BIGINT>").persist()
-    pooled = scored.select(F.posexplode("hist").alias("bin", "c")).groupBy("bin").agg(
-        F.sum("c").alias("c")).orderBy("bin").toPandas()  # 4000 rows
-    counts = np.zeros(4000)
-    counts[pooled["bin"].to_numpy(int)] = pooled["c"].to_numpy(float)
-    observed = scored.select("NES")
-    obs_hist = observed.select(_bin_of(F.col("NES")).alias("bin")).groupBy("bin").agg(
-        F.count(F.lit(1)).alias("c")).toPandas()
-    obs = np.zeros(4000)
-    obs[obs_hist["bin"].to_numpy(int)] = obs_hist["c"].to_numpy(float)
-    fdr = _fdr_curve(counts, obs)
-    table = spark.createDataFrame(pd.DataFrame({"bin": np.arange(4000), "adjusted_p_value": fdr}))
-    return scored.withColumn("bin", _bin_of(F.col("NES"))).join(F.broadcast(table), "bin").select(
-        "db", "term_id", "term_name", "ES", "NES", "p_value", "adjusted_p_value", "lead_genes")
-
-
-def _bin_of(nes: Column) -> Column:
-    clipped = F.greatest(F.lit(-9.999), F.least(F.lit(9.999), nes))
-    return F.floor((clipped + 10.0) / 0.005).cast("bigint")
-
-
-def _fdr_curve(null: np.ndarray, obs: np.ndarray) -> np.ndarray:
-    """FDR at every NES bin: null tail share over observed tail share, per sign."""
-    out = np.ones(len(null))
-    half = len(null) // 2
-    for lo, hi, step in ((half, len(null), -1), (0, half, 1)):
-        nul, ob = null[lo:hi][::step], obs[lo:hi][::step]
-        tail_n, tail_o = np.cumsum(nul), np.cumsum(ob)
-        share_n = tail_n / max(tail_n[-1], 1.0)
-        share_o = tail_o / max(tail_o[-1], 1.0)
-        ratio = np.where(share_o > 0, share_n / np.where(share_o > 0, share_o, 1.0), 1.0)
-        out[lo:hi] = np.minimum(ratio, 1.0)[::step]
-    return out
-
-
-def _leading(w: np.ndarray, pos: np.ndarray, n: int, es: float) -> tuple[int, int]:
-    """Slice of the hits on the near side of the extreme."""
-    k = len(pos)
-    weight = w[pos]
-    weight = weight / weight.sum() if weight.sum() > 0 else np.full(k, 1.0 / k)
-    share = np.cumsum(weight)
-    miss = (pos - np.arange(k)) / max(n - k, 1)
-    if es >= 0:
-        return 0, int(np.argmax(share - miss)) + 1
-    return int(np.argmin(share - weight - miss)), k
+                lead = hits[: int(np.argmax(after)) + 1] if es >= 0 else hits[int(np.argmin(before)):]
+                out.append((db, term_id, name, es, nes, float(more / side.size) if side.size else 1.0, ";".join(h["gene"] for h in lead)))
+            yield pd.DataFrame(out, columns=[*keys, "ES", "NES", "p_value", "lead_genes"])
+
+    scored = checkpointed(spread(sets.join(F.broadcast(by_size.drop("terms")), "k"), *keys).mapInPandas(
+        score, "db STRING, term_id STRING, term_name STRING, ES DOUBLE, NES DOUBLE, p_value DOUBLE, lead_genes STRING"))
+    mean = F.when(up, F.when(F.col("up") > 0, F.col("up"))).otherwise(-F.col("down"))
+    normal = null.join(F.broadcast(by_size.drop("null")), "k").select(
+        F.coalesce(F.col("es") / mean, F.col("es")).alias("nes"), "terms")
+    pooled = normal.groupBy(F.when(F.col("nes") >= 0, 1).otherwise(-1).alias("sign"), F.abs("nes").alias("size")).agg(
+        F.sum("terms").alias("c")).toPandas()  # bounded by the sizes and permutations
+    tails = {}
+    for sign in (1, -1):
+        side = pooled[pooled["sign"] == sign].sort_values("size")
+        c = side["c"].to_numpy(float)
+        tails[sign] = (side["size"].to_numpy(float), np.append(np.cumsum(c[::-1])[::-1], 0.0) / max(c.sum(), 1.0))
+    shared = spark.sparkContext.broadcast(tails)
+
+    def beyond(batches):
+        for pdf in batches:
+            share = [float(shared.value[s][1][np.searchsorted(shared.value[s][0], v, side="left")]) for s, v in zip(pdf["sign"], pdf["size"])]
+            yield pdf.assign(null_share=share)
+
+    signed = scored.withColumns({"sign": F.when(F.col("NES") >= 0, 1).otherwise(-1), "size": F.abs("NES")})
+    counts = signed.groupBy("sign", "size").agg(F.count(F.lit(1)).alias("c"))
+    total = signed.groupBy("sign").agg(F.count(F.lit(1)).alias("all_"))
+    at_least = running(counts, "size", {"ge": ("c", "sum")}, part=["sign"], descending=True)
+    shares = at_least.join(F.broadcast(total), "sign").mapInPandas(  # two rows
+        beyond, "sign INT, size DOUBLE, c BIGINT, ge BIGINT, all_ BIGINT, null_share DOUBLE")
+    adjusted = F.least(F.lit(1.0), F.col("null_share") / (F.col("ge") / F.col("all_")))
+    return signed.join(shares.select("sign", "size", adjusted.alias("adjusted_p_value")), ["sign", "size"]).select(
+        *keys, "ES", "NES", "p_value", "adjusted_p_value", "lead_genes")
 
 
 @dataclass(frozen=True)

@@ -224,6 +224,11 @@ class _PrecisionEstimator:
         if self._solved is not None:
             self._solved.unpersist()
 
+    @property
+    def blocks_(self) -> DataFrame:
+        """The solved blocks: ``key, lam, block, ok, logdet, fit, idx, theta``."""
+        return self._fitted()
+
     @property
     def precision_matrix(self) -> np.ndarray:
         """The precision matrix on the driver (size checked)."""

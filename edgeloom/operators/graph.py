@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.hashing import rank_hash
 from edgeloom.operators.matrix import pair_grid, symmetrise
 from edgeloom.operators.metrics import exact_percentiles
+from edgeloom.operators.sampling import smallest
 from edgeloom.session import checkpointed
 
 
@@ -125,7 +126,7 @@ def erdos_renyi_matching(edges: DataFrame, p: int, seed: int) -> DataFrame:
     """A random graph with as many edges: the pairs of smallest hash."""
     m = edges.count()
     key = rank_hash(F.col("i").cast("bigint") * F.lit(p) + F.col("j"), seed)
-    return pair_grid(edges.sparkSession, p).orderBy(key, "i", "j").limit(m)
+    return smallest(pair_grid(edges.sparkSession, p), key, m, ["i", "j"])
 
 
 def neighbours_of(edges: DataFrame, hub: int) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.normal import norm_ppf
-from edgeloom.operators.gram import Stats, collect_stats, correlation_edges, matrix_edges
-from edgeloom.operators.matrix import MAX_DENSE_P, check_dense, to_long, to_wide, validate, width
+from edgeloom.operators.gram import Stats, assemble, collect_stats, correlation_edges, stat_blocks
+from edgeloom.operators.matrix import MAX_DENSE_P, check_dense, pair_grid, to_long, to_wide, validate, width
 from edgeloom.operators.prefix import ROWS_PER_SLICE, average_rank
 from edgeloom.session import checkpointed, spread
 
@@ -434,20 +434,42 @@ def partial_correlations(samples: DataFrame, p: int | None = None) -> DataFrame:
     """Partial correlation of every pair.
 
     With more samples than variables, from the pseudo-inverse of the
-    correlation matrix; otherwise from a cross-validated graphical lasso.
+    correlation matrix, taken in one task (size checked); otherwise from the
+    blocks of a cross-validated graphical lasso, each where it was solved.
     """
     p = p or width(samples)
-    stats = collect_stats(samples, p)
-    spark = samples.sparkSession
-    if stats.n > p:
-        prec = np.linalg.pinv(stats.correlation())
-    else:
-        from edgeloom.operators.estimators import SklearnGLasso
-
-        std = np.sqrt(np.diag(stats.m2) / (stats.n - 1))
-        scaled = standardise(samples, Stats(stats.n, stats.mean, np.diag(np.where(std > 0, std, 1.0) ** 2 * stats.n)))
-        prec = SklearnGLasso(cv=5, max_iter=500).fit(scaled).precision_matrix
+    check_dense(p, "the pseudo-inverse of a correlation matrix")
+    n = samples.count()
+    if n > p:
+        def invert(pdf: pd.DataFrame) -> pd.DataFrame:
+            m = _partial(np.linalg.pinv(assemble(pdf).correlation()))
+            i, j = np.triu_indices(p, k=1)
+            return pd.DataFrame({"i": i, "j": j, "pcorr": m[i, j]})
+
+        return stat_blocks(samples, p).groupBy("key").applyInPandas(invert, "i INT, j INT, pcorr DOUBLE")
+    from edgeloom.operators.estimators import SklearnGLasso
+
+    rows = column_stats(samples).orderBy("var_id").collect()  # 2 p numbers
+    unbiased = math.sqrt(n / (n - 1))
+    constants = F.array(*[F.struct(F.lit(r["mean"]).alias("m"), F.lit(r["std"] * unbiased or 1.0).alias("s")) for r in rows])
+    scaled = samples.withColumn("x", F.zip_with("x", constants, lambda v, c: (v - c["m"]) / c["s"]))
+    est = SklearnGLasso(cv=5, max_iter=500).fit(scaled)
+
+    def entries(batches):
+        for pdf in batches:
+            for idx, theta in zip(pdf["idx"], pdf["theta"]):
+                idx = np.asarray(idx)
+                m = _partial(np.asarray(theta).reshape(len(idx), len(idx)))
+                a, b = np.nonzero(np.triu(m, 1))
+                yield pd.DataFrame({"i": idx[a], "j": idx[b], "pcorr": m[a, b]})
+
+    found = est.blocks_.select("idx", "theta").mapInPandas(entries, "i INT, j INT, pcorr DOUBLE")
+    return pair_grid(samples.sparkSession, p).join(found, ["i", "j"], "left").select(
+        "i", "j", F.coalesce("pcorr", F.lit(0.0)).alias("pcorr"))
+
+
+def _partial(prec: np.ndarray) -> np.ndarray:
+    """``-m_ij / sqrt(m_ii m_jj)``, zero where that is undefined."""
     d = np.diag(prec)
     denom = np.sqrt(np.maximum(np.outer(d, d), 0.0))
-    out = np.where(denom > 0, -prec / np.where(denom > 0, denom, 1.0), 0.0)
-    return matrix_edges(spark, out, "pcorr")
+    return np.where(denom > 0, -prec / np.where(denom > 0, denom, 1.0), 0.0)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.hashing import rank_hash
 from edgeloom.operators.gram import correlation_edges
 from edgeloom.operators.matrix import pair_grid
+from edgeloom.operators.sampling import smallest
 
 
 def corr_prior(samples: DataFrame, p: int | None = None, gamma: float = 2.0) -> DataFrame:
@@ -22,7 +23,7 @@ def noisy_oracle_prior(truth: DataFrame, p: int, noise: float = 0.2, seed: int =
     flips = max(0, round(noise * pairs))
     key = rank_hash(F.col("i").cast("bigint") * F.lit(p) + F.col("j"), seed)
     grid = pair_grid(truth.sparkSession, p)
-    chosen = grid.orderBy(key, "i", "j").limit(flips).withColumn("_f", F.lit(1))
+    chosen = smallest(grid, key, flips, ["i", "j"]).withColumn("_f", F.lit(1))
     label = truth.select("i", "j", F.lit(1).alias("_t")).distinct()
     return (
         grid.join(label, ["i", "j"], "left").join(chosen, ["i", "j"], "left")

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions.hashing import rank_hash_array, set_salts
@@ -149,3 +149,30 @@ def _id_at_rank(samples: DataFrame, rank: int, lo: int, hi: int, n: int) -> int:
             rank -= r["c"]
         if step == 1:
             return int(lo)
+
+
+def smallest(df: DataFrame, key: Column, m: int, order: list[str]) -> DataFrame:
+    """The ``m`` rows of smallest ``key`` (0 .. 2**62 - 1), ties by ``order``, without sorting the table.
+
+    The m-th smallest key is found by histograms of its bits, twelve at a time
+    (4,096 counts a pass); the rest is a comparison. Only rows that tie there are sorted.
+    """
+    if m <= 0:
+        return df.limit(0)
+    keyed, lo, bits, below = df.withColumn("_key", key), 0, 62, 0
+    k = F.col("_key")
+    while bits:
+        step = max(0, bits - 12)
+        part = F.expr(f"shiftright(_key - {lo}, {step})").alias("b")
+        counts = keyed.filter((k >= lo) & (k <= lo + 2**bits - 1)).groupBy(part).agg(F.count(F.lit(1)).alias("c")).orderBy("b").collect()
+        for r in counts:
+            if below + r["c"] >= m:
+                break
+            below += r["c"]
+        else:
+            return df  # no more than m rows
+        lo, bits = lo + (r["b"] << step), step
+        if below + r["c"] == m:
+            return keyed.filter(k <= lo + 2**bits - 1).drop("_key")
+    ties = keyed.filter(k == lo).orderBy(*order).limit(m - below)
+    return keyed.filter(k < lo).unionByName(ties).drop("_key")

@@ -3,7 +3,8 @@
 A Lasso solution is sparse, so each node needs only the Gram rows of its active
 set. Working sets start from the correlations above the penalty that matter
 most and grow by the variables that violate the optimality conditions; the
-result is the exact optimum, reached when nothing is violated.
+result is the exact optimum, reached when nothing is violated. A working set
+only grows, so no round repeats an earlier one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from edgeloom.operators.kernels import lasso_nodes
 from edgeloom.session import checkpointed, spread
 
 GROW = 64  # candidates added to a working set per round
-_STATE = "i INT, gii DOUBLE, tau2 DOUBLE, idx ARRAY<INT>, val ARRAY<DOUBLE>, add ARRAY<INT>"
+_STATE = "i INT, gii DOUBLE, tau2 DOUBLE, idx ARRAY<INT>, val ARRAY<DOUBLE>, work ARRAY<INT>, add ARRAY<INT>"
 
 
 def scaled_rows(samples: DataFrame, p: int, standardise: bool) -> tuple[DataFrame, int]:
@@ -74,7 +75,7 @@ def _solver(lam: float, max_iter: int, tol: float):
         return pd.DataFrame({
             "i": [node], "gii": [g_own[node]], "tau2": [max(g_own[node] - 2 * fit + quad, 0.0)],
             "idx": [idx[keep].astype(np.int32)], "val": [beta[keep]],
-            "add": [add.astype(np.int32)],
+            "work": [idx.astype(np.int32)], "add": [add.astype(np.int32)],
         })
 
     return solve
@@ -109,5 +110,5 @@ def fit_nodes_by_active_set(samples: DataFrame, p: int, penalty_of, standardise:
             break
         todo = own.join(open_nodes.select(F.col("i").alias("node")), "node", "left_semi")
         want = open_nodes.select(
-            F.col("i").alias("node"), F.explode(F.array_union("idx", "add")).alias("k"))
+            F.col("i").alias("node"), F.explode(F.array_union("work", "add")).alias("k"))
     return done.select("i", "tau2", F.size("idx").alias("nnz"), "idx", "val"), n

@@ -88,7 +88,7 @@ qv AS (SELECT *, least(1.0::DOUBLE, min({p}*m*{c}/rn) OVER (ORDER BY rn DESC ROW
 LASSO = AR + f""",
 cf AS (SELECT a.v AS i, b.v AS j, corr(a.y,b.y) AS c FROM ar a JOIN ar b USING (row_id) GROUP BY 1,2),
 gr AS (SELECT i, list(CASE WHEN i=j THEN 1.0::DOUBLE ELSE c END ORDER BY j) AS r FROM cf GROUP BY i),
-gm AS (SELECT list(r ORDER BY i) AS m FROM gr),
+gm AS MATERIALIZED (SELECT list(r ORDER BY i) AS m FROM gr),
 par AS (SELECT n, sqrt(2*ln(CASE WHEN {P}/sqrt(n)>1 THEN {P}/sqrt(n) ELSE {P} END)/n) AS lam,
   (SELECT 1/max(list_sum(list_transform(r, lambda x: abs(x)))) FROM gr) AS eta FROM nn),
 it(k,i,b,w,d) AS (SELECT 0, i, list_transform(range({P}), lambda x: 0.0::DOUBLE), list_transform(range({P}), lambda x: 0.0::DOUBLE), 1.0::DOUBLE FROM gr
@@ -98,11 +98,11 @@ it(k,i,b,w,d) AS (SELECT 0, i, list_transform(range({P}), lambda x: 0.0::DOUBLE)
   SELECT k, i, b, list_transform(range({P}), lambda j: CASE WHEN j=i THEN 0.0::DOUBLE ELSE sign(u[j+1])*greatest(abs(u[j+1])-eta*lam,0.0::DOUBLE) END) AS nb FROM (
    SELECT k, i, b, eta, lam, list_transform(range({P}), lambda j: w[j+1]+eta*(m[i+1][j+1]-list_inner_product(m[j+1],w))) AS u
    FROM it, gm, par WHERE k<1500 AND (k<60 OR d>1e-14)))),
-bt AS (SELECT i, b FROM it QUALIFY row_number() OVER (PARTITION BY i ORDER BY k DESC)=1),
-bl AS (SELECT i, j::INT AS j, b[j+1] AS beta FROM bt, range({P}) t(j)),
-nd AS (SELECT i, 1-2*list_inner_product(b,m[i+1])+list_sum(list_transform(range({P}), lambda j: b[j+1]*list_inner_product(m[j+1],b))) AS tau2,
+bt AS MATERIALIZED (SELECT i, b FROM it QUALIFY row_number() OVER (PARTITION BY i ORDER BY k DESC)=1),
+bl AS MATERIALIZED (SELECT i, j::INT AS j, b[j+1] AS beta FROM bt, range({P}) t(j)),
+nd AS MATERIALIZED (SELECT i, 1-2*list_inner_product(b,m[i+1])+list_sum(list_transform(range({P}), lambda j: b[j+1]*list_inner_product(m[j+1],b))) AS tau2,
   len(list_filter(b, lambda x: abs(x)>1e-9))::INT AS nnz FROM bt, gm),
-ed AS (SELECT a.i, b.i AS j, (-x.beta/a.tau2-y.beta/b.tau2)/2 AS omega, a.tau2*b.tau2 AS variance, a.nnz AS na, b.nnz AS nb
+ed AS MATERIALIZED (SELECT a.i, b.i AS j, (-x.beta/a.tau2-y.beta/b.tau2)/2 AS omega, a.tau2*b.tau2 AS variance, a.nnz AS na, b.nnz AS nb
   FROM nd a JOIN nd b ON a.i<b.i JOIN bl x ON x.i=a.i AND x.j=b.i JOIN bl y ON y.i=b.i AND y.j=a.i),
 ez AS (SELECT *, sqrt(n)*omega/sqrt(variance) AS z FROM ed, nn),
 ep AS (SELECT *, {two_sided('z')} AS p FROM ez)"""

@@ -13,11 +13,12 @@ import traceback
 from concurrent.futures import ThreadPoolExecutor
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.operators import estimators, inference, metrics, preprocess, priors, simulate, stars
+from edgeloom.operators import diffusion, estimators, inference, metrics, preprocess, priors, simulate, stars
 from edgeloom.operators.gram import collect_stats
 from edgeloom.operators.matrix import width
 from edgeloom.operators.metrics import NAN
@@ -143,8 +144,14 @@ def stars_task(spark: SparkSession, topology: str, config: str, rep: int, beta:
 
 def expression_task(samples: DataFrame, variables: DataFrame, truth: DataFrame, method: str,
                     top: int | None = None, npn: bool = True, log2: bool = False,
-                    prior: DataFrame | None = None, alpha: float = 0.05) -> DataFrame:
-    """Score one method on an expression table (top variables by variance, then rank transform)."""
+                    prior: DataFrame | None = None, alpha: float = 0.05, prior_weight: float = 0.5) -> DataFrame:
+    """Score one method on an expression table (top variables by variance, then rank transform).
+
+    ``prior`` (``i, j, prior``) belongs to the stability methods (names that
+    begin with ``piglasso``); ``prior_weight`` is how much it lowers a penalty.
+    """
+    if prior is not None and not method.startswith("piglasso"):
+        raise ValueError(f"method {method!r} takes no prior")
     spark = samples.sparkSession
     if top is not None:
         keep = [r["var_id"] for r in preprocess.top_variance(samples, top).collect()]
@@ -159,12 +166,48 @@ def expression_task(samples: DataFrame, variables: DataFrame, truth: DataFrame,
     if npn:
         samples = preprocess.npn_shrinkage(samples)
     p = width(samples)
-    est, own = make_estimator(method, truth, p, samples) if prior is None else (estimators.PIGLassoEstimator(), prior)
-    row = fit_and_score(est, own, samples.persist(), truth, p, alpha)
+    samples = samples.persist()
+    if prior is None:
+        est, own = make_estimator(method, truth, p, samples, prior_weight=prior_weight)
+    else:
+        limit = "adaptive" if method == "piglasso_adaptive" else 0.9
+        est, own = estimators.PIGLassoEstimator(pi_thr=limit, prior_weight=prior_weight), prior
+    row = fit_and_score(est, own, samples, truth, p, alpha)
+    samples.unpersist()
     row.update(method=method, p=p)
     return results_table(spark, [row], ", p INT")
 
 
+# fixed values: columns of a diffusion record, in order
+DIFFUSION_COLUMNS = [
+    "topology", "config", "method", "rep", "n", "p", "delta_mode", "diffusion_spearman_mean", "diffusion_spearman_min",
+    "diffusion_mae_mean", "knockout_spearman", "knockout_top10_recall", "knockout_topk_recall", "n_components_pred",
+    "diffusion_spearman_mean_null", "knockout_spearman_null", "diffusion_spearman_norm", "knockout_spearman_norm", "wall_seconds"]
+
+
+def diffusion_records(predicted: DataFrame, truth: DataFrame, p: int, n: int, topology: str, config: str, method: str, rep: int,
+                      delta: str = "all", mode: str = "both", tmin: float = 1e-4, tmax: float = 3.0, nt: int = 80,
+                      reduction: float = 0.3, topk: int = 10, normalised: bool = False, seed: int = 0) -> DataFrame:
+    """A record of ``DIFFUSION_COLUMNS`` for each start signal asked for.
+
+    Stability methods have no order that the other signals would follow, so they
+    are always scored with the random one. What a mode does not measure is NaN.
+    """
+    spark = predicted.sparkSession
+    modes = ["random"] if method.startswith("piglasso") else ["random", "hub", "fiedler"] if delta == "all" else [delta]
+    times = [float(t) for t in np.linspace(tmin, tmax, nt)]
+    out = None
+    for m in modes:
+        start = time.perf_counter()
+        row = diffusion.diffusion_task(predicted, truth, p, m, times, seed, mode, reduction, topk, normalised).first().asDict()
+        row.update(topology=topology, config=config, method=method, rep=rep, n=n, p=p, delta_mode=m,
+                   wall_seconds=time.perf_counter() - start)
+        kinds = {"topology": "STRING", "config": "STRING", "method": "STRING", "delta_mode": "STRING", "rep": "INT", "n": "INT", "p": "INT"}
+        one = spark.createDataFrame([tuple(row[c] for c in DIFFUSION_COLUMNS)], ", ".join(f"{c} {kinds.get(c, 'DOUBLE')}" for c in DIFFUSION_COLUMNS))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _renumber(edges: DataFrame, order: DataFrame) -> DataFrame:
     a = order.select(F.col("var_id").alias("i"), F.col("new").alias("_i"))
     b = order.select(F.col("var_id").alias("j"), F.col("new").alias("_j"))

@@ -178,3 +178,39 @@ def test_assess_takes_truth_in_any_order(spark):
     truth = spark.createDataFrame([(1, 0), (0, 1), (2, 1)], "i int, j int")
     row = metrics.assess(pairs, truth, 3).first()
     assert (row.tp, row.fp, row.tn, row.fn) == (2, 0, 1, 0)
+
+
+def test_prerank_by_joins_and_exact_tails(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    genes = [f"g{k:02d}" for k in range(60)]
+    score = np.round(np.sort(rng.standard_normal(60))[::-1], 6)
+    ranked = spark.createDataFrame([(g, float(s)) for g, s in zip(genes, score)], "gene STRING, score DOUBLE")
+    members = {f"T{t}": sorted(rng.choice(60, 5 + t % 3, replace=False)) for t in range(14)}
+    members["T14"] = [0, 1, 2, 3, 5, 8]
+    terms = spark.createDataFrame([("d", t, t, genes[k]) for t, ks in members.items() for k in ks], "db STRING, term_id STRING, term_name STRING, gene STRING")
+    one = {r.term_id: r for r in enrichment.prerank(ranked, terms, 80).collect()}
+    monkeypatch.setattr(enrichment, "MAX_RANKED_GENES", 0)
+    two = {r.term_id: r for r in enrichment.prerank(ranked, terms, 80).collect()}
+    assert one.keys() == two.keys() == members.keys()
+    for t in one:
+        assert one[t].ES == pytest.approx(two[t].ES) and one[t].adjusted_p_value == pytest.approx(two[t].adjusted_p_value)
+
+    def walk(positions):  # the running sum, gene by gene
+        total, at, best = sum(abs(score[k]) for k in positions), 0.0, 0.0
+        for k in range(60):
+            at += abs(score[k]) / total if k in positions else -1.0 / (60 - len(positions))
+            best = at if abs(at) > abs(best) + 1e-12 else best
+        return best
+
+    null = {k: [walk(set(np.random.default_rng([42, k, b]).choice(60, k, replace=False))) for b in range(80)] for k in (5, 6, 7)}
+    side = lambda k, s: [x for x in null[k] if (x >= 0) == (s > 0)]
+    norm = {t: walk(set(ks)) / abs(np.mean(side(len(ks), walk(set(ks)) + 1e-15))) for t, ks in members.items()}
+    pool = [x / abs(np.mean(side(len(ks), x + 1e-15))) for ks in members.values() for x in null[len(ks)]]
+    for t, ks in members.items():
+        es = walk(set(ks))
+        assert one[t].ES == pytest.approx(es) and one[t].NES == pytest.approx(norm[t])
+        same = side(len(ks), es)
+        assert one[t].p_value == pytest.approx(sum(abs(x) >= abs(es) - 1e-12 for x in same) / len(same))
+        near, far = [x for x in pool if x * es > 0], [x for x in norm.values() if x * es > 0]
+        share = lambda xs: sum(abs(x) >= abs(norm[t]) - 1e-12 for x in xs) / len(xs)
+        assert one[t].adjusted_p_value == pytest.approx(min(1.0, share(near) / share(far)), abs=1e-9)

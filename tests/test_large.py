@@ -5,10 +5,12 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.operators import diffusion, gram, screened, sparse
+from edgeloom.operators import diffusion, gram, graph, sampling, screened, sparse
 from edgeloom.operators.estimators import GGLassoEstimator, SklearnGLasso
 from edgeloom.operators.kernels import admm_glasso, gaussian_score, glasso
+from edgeloom.operators.matrix import pair_grid
 from edgeloom.operators.sampling import with_folds, with_subsets
+from edgeloom.sources import readers
 
 
 def test_units_stay_below_the_stated_limit():
@@ -226,3 +228,31 @@ def test_fiedler_vector_of_a_large_graph(spark, monkeypatch):
     assert np.linalg.norm(lap @ f - value * f) < 1e-8 * lap.top and abs(f.sum()) < 1e-9 and value > 0
     with pytest.warns(UserWarning, match="disconnected"):
         diffusion.make_delta(edges.filter("i <> 5000 and j <> 5000"), 10_000, "fiedler")
+
+
+def test_smallest_keys_without_a_sort(spark):
+    grid = pair_grid(spark, 60)
+    for key in (F.xxhash64("i", "j").bitwiseAND(F.lit(2**62 - 1)), (F.col("i") % 7).cast("bigint"), F.lit(5).cast("bigint")):
+        for m in (0, 1, 300, 1770, 5000):
+            want = {tuple(r) for r in grid.orderBy(key, "i", "j").limit(m).collect()}
+            assert {tuple(r) for r in sampling.smallest(grid, key, m, ["i", "j"]).collect()} == want
+    plan = graph.erdos_renyi_matching(grid.limit(100), 60, 1)._jdf.queryExecution().toString()
+    assert plan.count("TakeOrdered") <= 2  # ties alone (and the hundred edges of this test) are taken in order
+
+
+def test_row_ids_are_places_in_files(spark, tmp_path):
+    path = str(tmp_path / "x.csv")
+    rows = [(f"s{k % 9}", float(k % 5), float(k)) for k in range(4000)]
+    df = spark.createDataFrame(rows + rows[:50], "label STRING, a DOUBLE, b DOUBLE").repartition(3)
+    df.write.option("header", True).csv(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        samples, variables = readers.read_expression_csv(spark, path)
+        one, two = samples.collect(), samples.collect()
+        assert len({r.row_id for r in one}) == 4050 and min(r.row_id for r in one) >= 0
+        assert {(r.row_id, *r.x) for r in one} == {(r.row_id, *r.x) for r in two}
+        assert sorted(tuple(r.x) for r in one) == sorted((a, b) for _, a, b in rows + rows[:50])
+        assert "Exchange" not in samples._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -40,3 +40,40 @@ def test_method_names(small):
         tasks.make_estimator("other")
     seeds = {tasks.replicate_seed(t, r, o) for t in tasks.TOPOLOGIES for r in range(5) for o in range(3)}
     assert len(seeds) == 60
+
+
+def test_prior_weight_reaches_the_estimator(small, monkeypatch):
+    data, names = small
+    prior = data.true_edges.selectExpr("i", "j", "1.0D as prior")
+    seen = {}
+
+    def fit(self, samples, prior=None):
+        seen.update(weight=self.prior_weight, thr=self.pi_thr, prior=prior)
+        raise RuntimeError("seen")
+
+    monkeypatch.setattr(tasks.estimators.PIGLassoEstimator, "fit", fit)
+    for method, given in (("piglasso_string", prior), ("piglasso_corr", None), ("piglasso_adaptive", prior)):
+        with pytest.raises(RuntimeError, match="seen"):
+            tasks.expression_task(data.samples, names, data.true_edges, method, prior=given, prior_weight=0.8)
+        assert seen["weight"] == 0.8 and seen["prior"] is not None and (seen["thr"] == "adaptive") == (method == "piglasso_adaptive")
+    with pytest.raises(ValueError, match="takes no prior"):
+        tasks.expression_task(data.samples, names, data.true_edges, "glasso", prior=prior)
+
+
+def test_diffusion_records_have_every_column(small, monkeypatch):
+    data, _ = small
+    truth = data.true_edges.select("i", "j")
+    grids = []
+    whole = tasks.diffusion.diffusion_task
+
+    def short(predicted, truth, p, m, times, *rest):
+        grids.append(times)
+        return whole(predicted, truth, p, m, times[::40], *rest)
+
+    monkeypatch.setattr(tasks.diffusion, "diffusion_task", short)
+    rows = tasks.diffusion_records(truth, truth, 12, 150, "hub", "n150p12", "desparsified", 3, delta="hub").collect()
+    assert rows[0].asDict().keys() == dict.fromkeys(tasks.DIFFUSION_COLUMNS).keys() and len(rows) == 1
+    assert rows[0].diffusion_spearman_mean == pytest.approx(1.0) and rows[0].wall_seconds > 0 and rows[0].rep == 3
+    assert len(grids[0]) == 80 and (grids[0][0], grids[0][-1]) == (1e-4, 3.0)
+    pig = tasks.diffusion_records(truth, truth, 12, 150, "hub", "n150p12", "piglasso", 0, mode="diffusion").collect()
+    assert [r.delta_mode for r in pig] == ["random"] and pig[0].knockout_spearman != pig[0].knockout_spearman
