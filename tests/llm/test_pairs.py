@@ -125,7 +125,7 @@ def test_large_buckets_meet_in_parts(spark, monkeypatch):
     links = {tuple(sorted(map(int, e))) for e in rng.integers(0, 60, (50, 2)) if e[0] != e[1]}
     members = spark.createDataFrame([(1, k) for k in range(60)] + [(2, k) for k in range(0, 60, 7)], "bucket long, item long")
     allowed = spark.createDataFrame(sorted(links), "a long, b long")
-    for most in (32_768, 5):
+    for most in (32_768, 20):
         monkeypatch.setattr(linking, "MAX_CENTRES", most)
         got, left = groups(members, lambda pairs: pairs.join(allowed, ["a", "b"]), lambda items: items, lambda p, q: F.lit(True))
         want = roots_of(range(60), links)
