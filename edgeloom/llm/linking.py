@@ -59,7 +59,7 @@ def connected(links: DataFrame) -> DataFrame:
         )
         last, edges = edges, stored(small, "stars", **_state())
         discard(last)
-        if edges.rows_seen == last.rows_seen or edges.rows_seen["rows"] == 0:
+        if edges.rows_seen.values() == last.rows_seen.values() or edges.rows_seen["rows"] == 0:
             once = edges.coalesce(1) if few else edges
             out = once.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
             out._scratch = edges._scratch

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.session import ensure_checkpoint_dir
@@ -20,41 +19,47 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str, **seen: Column) -> DataFrame:
+class _Seen:
+    """Number of rows and other aggregates of a stored table, computed by one job when first asked for."""
+
+    def __init__(self, df: DataFrame, asked: dict[str, Column]):
+        self._df, self._asked, self._values = df, asked, None
+
+    def values(self) -> dict:
+        if self._values is None:
+            row = self._df.agg(F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in self._asked.items()]).first()
+            self._values = row.asDict()
+        return self._values
+
+    def __getitem__(self, name: str):
+        return self.values()[name]
+
+
+def stored(df: DataFrame, what: str, **asked: Column) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    It cuts the lineage into storage that outlives executors. The number of
-    rows, and any aggregates asked for by name, are observed while writing and
-    stand in ``rows_seen`` of the result; they cost no job. The files are
-    scratch data; what ``discard`` does not take stays until the folder is
-    emptied.
+    It cuts the lineage into storage that outlives executors. ``rows_seen`` of
+    the result tells its ``rows`` and any aggregates asked for by name. The
+    files are scratch data; what ``discard`` does not take stays until the
+    folder is emptied.
     """
-    path, note, asked = shared_path(df.sparkSession, what), Observation(), _asked(seen)
-    df.observe(note, *asked).write.parquet(path)
-    return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path, note, asked)
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return _kept(df.sparkSession.read.schema(df.schema).parquet(path), path, asked)
 
 
 def bucketed(df: DataFrame, key: str, what: str) -> DataFrame:
     """``df`` stored in files dealt by ``key`` and sorted, and known as such: joins on ``key`` do not move it again."""
-    spark, note, asked = df.sparkSession, Observation(), _asked({})
+    spark = df.sparkSession
     n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"scratch_{uuid.uuid4().hex}", shared_path(df.sparkSession, what)
-    dealt = df.observe(note, *asked).repartition(n, key)
-    dealt.write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
-    out = _kept(spark.table(name), path, note, asked)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    out = _kept(spark.table(name), path, {})
     out._table = name
     return out
 
 
-def _asked(seen: dict[str, Column]) -> list[Column]:
-    return [F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in seen.items()]]
-
-
-def _kept(df: DataFrame, path: str, note: Observation, asked: list[Column]) -> DataFrame:
-    try:
-        seen = note.get
-    except Py4JJavaError:  # a plan that turns out empty while it runs may lose its observation
-        seen = df.agg(*asked).first().asDict()
-    df._scratch, df.rows_seen = path, seen
+def _kept(df: DataFrame, path: str, asked: dict[str, Column]) -> DataFrame:
+    df._scratch, df.rows_seen = path, _Seen(df, asked)
     return df
 
 
