@@ -22,7 +22,7 @@ def mix31(x: Column, salt: int | Column) -> Column:
     """31-bit hash of a non-negative BIGINT column."""
     x = x.cast("bigint")
     s = salt.cast("bigint") if isinstance(salt, Column) else F.lit(int(salt)).cast("bigint")
-    high = (F.floor(x / F.lit(float(_MASK))).cast("bigint") * _FOLD) % _MASK
+    high = (F.shiftright(x, 31) * _FOLD) % _MASK
     h = (x % _MASK).bitwiseXOR(high).bitwiseXOR(s)
     h = (h.bitwiseXOR(F.shiftright(h, 15)) * _MULT) % _MASK
     h = (h.bitwiseXOR(F.shiftright(h, 13)) * _MULT + _ADD) % _MASK

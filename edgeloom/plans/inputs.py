@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators.gram import correlation_edges
@@ -15,6 +15,7 @@ LINE_ID = (
     "(((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey) * 64"
     " + cast(l_quantity as bigint)"
 )
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -57,6 +58,23 @@ def labelled_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_id() -> Column:
+    """``LINE_ID``; where it leaves 63 bits (order keys from about 1.8 million on), a hash of the same keys.
+
+    Both are non-negative. Two of n hashed rows share an id with a chance of
+    about n^2 / 2^64: 7e-5 for 36 million rows.
+    """
+    order, line, part, supplier = (F.col(c).cast("bigint") for c in LINE_KEYS[:4])
+    exact = F.try_add(F.try_multiply(order, F.lit(8)), line)
+    for scale, key in ((1_000_000, part), (10_000, supplier), (64, F.col("l_quantity").cast("bigint"))):
+        exact = F.try_add(F.try_multiply(exact, F.lit(scale)), key)
+    hashed = F.xxhash64(*LINE_KEYS).bitwiseAND(F.lit(2**63 - 1))
+    known = F.lit(True)
+    for c in LINE_KEYS:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, F.coalesce(exact, hashed))
+
+
 def line_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four measures of every line item.
 
@@ -65,7 +83,7 @@ def line_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        F.expr(LINE_ID).alias("row_id"),
+        line_id().alias("row_id"),
         F.array(*[F.col(c).cast("double") / s for c, s in zip(LINE_MEASURES, LINE_SCALE)]).alias("x"),
     )
 

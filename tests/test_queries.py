@@ -6,8 +6,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from edgeloom.functions import mix31, mix31_int
+from edgeloom.plans import inputs
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -85,3 +88,20 @@ def test_queries_without_sql_do_the_full_work(spark, monkeypatch):
     rows = QUERIES["grouped_fits"](spark, SF)
     labels = spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().count()
     assert rows.count() == labels * queries.P * (queries.P - 1) // 2 and {"key", "i", "j", "z"} <= set(rows.columns)
+
+
+def test_line_ids_beyond_63_bits(spark, tmp_path):
+    li = spark.read.parquet(f"{SF}/lineitem.parquet")
+    far = li.withColumn("l_orderkey", F.col("l_orderkey") + 9_000_000).withColumn("l_partkey", F.col("l_partkey") + 2_000_000)
+    li.unionByName(far).write.parquet(str(tmp_path / "lineitem.parquet"))
+    ids = [r.row_id for r in inputs.line_matrix(spark, str(tmp_path)).collect()]
+    exact = {r.row_id for r in li.select(F.expr(inputs.LINE_ID).alias("row_id")).collect()}
+    assert len(set(ids)) == len(ids) == 2 * li.count() and min(ids) >= 0 and exact <= set(ids)
+    assert QUERIES["standardized_lines"](spark, str(tmp_path)).count() == len(ids)
+    assert QUERIES["ensemble_ci"](spark, str(tmp_path)).count() == 6
+
+
+def test_hash_of_large_ids_is_exact(spark):
+    ids = [2**31 * k - d for k in (2**23, 2**31 + 5, 2**32) for d in (1, 2)]
+    df = spark.createDataFrame([(x,) for x in ids], "x BIGINT")
+    assert [r[0] for r in df.select(mix31(F.col("x"), 5)).collect()] == [mix31_int(x, 5) for x in ids]
