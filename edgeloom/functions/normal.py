@@ -89,8 +89,16 @@ def norm_cdf(z: Column) -> Column:
 
 
 def two_sided_p(z: Column) -> Column:
-    """``P(|N(0,1)| >= |z|)``."""
-    return _erfc_positive(F.abs(z) / math.sqrt(2.0))
+    """``P(|N(0,1)| >= |z|)``.
+
+    Beyond 37 the density is divided by a continued fraction in the usual order:
+    the result has few digits left there, so an order of its own would show.
+    """
+    a = F.abs(z)
+    b = F.greatest(a, F.lit(37.0))  # keeps the unused branch finite at 0
+    fraction = reduce(lambda acc, k: b + F.lit(float(k)) / acc, range(6, 0, -1), b)
+    far = 2.0 * F.exp(-0.5 * z * z) / F.sqrt(2.0 * F.pi()) / fraction
+    return F.when(a > 37.0, far).otherwise(_erfc_positive(a / math.sqrt(2.0)))
 
 
 def norm_ppf(u: Column) -> Column:

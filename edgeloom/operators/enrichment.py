@@ -74,19 +74,24 @@ def databases_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "backend STRING, level STRING, pos INT, db STRING")
 
 
-def node_scores(edges: DataFrame, p: int, method: str = "min_pvalue") -> DataFrame:
-    """``node, score`` from the significant edges ``i, j, p_value``."""
+def node_scores(edges: DataFrame, p: int, method: str = "min_pvalue", floor: float = 1e-300) -> DataFrame:
+    """``node, score`` from the significant edges ``i, j, p_value``.
+
+    p-values below ``floor`` count as ``floor``. With 0 none is raised, and a
+    p-value of 0 scores infinity.
+    """
     if method not in RANK_METHODS:
         raise ValueError(f"method must be one of {RANK_METHODS}; got {method!r}")
     deg = degree(edges, p)
     if method == "degree":
         return deg.select("node", F.col("degree").cast("double").alias("score"))
     both = symmetrise(edges.select("i", "j", "p_value"), ["p_value"])
-    pv = F.greatest(F.col("p_value"), F.lit(1e-300))
+    pv = F.greatest(F.col("p_value"), F.lit(floor))
+    logs = lambda f, x: F.when(x > 0, f(x)).when(x == 0, F.lit(float("-inf")))
     if method == "min_pvalue":
-        score = -F.log10(F.greatest(F.min("p_value"), F.lit(1e-300)))
+        score = -logs(F.log10, F.greatest(F.min("p_value"), F.lit(floor)))
     else:
-        score = -2.0 * F.sum(F.log(F.least(pv, F.lit(1.0))))
+        score = -2.0 * F.sum(logs(F.log, F.least(pv, F.lit(1.0))))
     got = both.groupBy("node").agg(score.alias("s"))
     return deg.join(got, "node", "left").select("node", F.coalesce("s", F.lit(0.0)).alias("score"))
 

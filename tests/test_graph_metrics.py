@@ -2,7 +2,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from edgeloom.functions import two_sided_p
 from edgeloom.operators import centrality, communities, diffusion, enrichment, graph, metrics
 from edgeloom.operators.communities import _merge_component
 from edgeloom.plans import tasks
@@ -130,6 +132,26 @@ def test_ranked_scores_fixture(spark):
     assert s("degree") == {0: 2.0, 1: 1.0, 2: 1.0, 3: 0.0}
 
 
+def test_ranked_scores_without_a_floor(spark):
+    e = spark.createDataFrame([(0, 1, 0.0), (1, 2, 1e-310)], "i INT, j INT, p_value DOUBLE")
+    s = lambda m, **k: {r.node: r.score for r in enrichment.node_scores(e, 4, m, **k).collect()}
+    assert s("min_pvalue")[2] == 300.0 and s("min_pvalue", floor=0.0)[2] == pytest.approx(310.0)
+    assert s("min_pvalue", floor=0.0)[0] == s("fisher_combined", floor=0.0)[1] == math.inf
+    assert s("fisher_combined", floor=0.0)[3] == s("min_pvalue", floor=0.0)[3] == 0.0
+
+
+def test_p_values_of_few_digits(spark):
+    z = [37.6, -38.0, 38.3, 38.5, 39.0, math.inf]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in z], "z DOUBLE").select(two_sided_p(F.col("z"))).collect()]
+
+    def tail(a):
+        f = a
+        for k in range(120, 0, -1):
+            f = a + k / f
+        return 2 * math.exp(-0.5 * a * a) / math.sqrt(2 * math.pi) / f
+    assert got == pytest.approx([tail(abs(v)) for v in z], rel=1e-12, abs=0.0)
+
+
 def test_enrichment(spark):
     genes = [f"g{k:02d}" for k in range(20)]
     terms = spark.createDataFrame(
