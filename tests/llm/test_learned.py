@@ -1,10 +1,12 @@
 """Quality and language models: held-out accuracy, brute force, odd rows."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edgeloom.llm import language, quality, queries
@@ -154,3 +156,14 @@ def test_quality_whole_table_recomputed_plainly(spark):
         want = 1 / (1 + math.exp(-sum(average[i] * v for i, v in x.items())))
         assert got[k].score == pytest.approx(want, abs=1e-7)
         assert got[k].predicted == int(got[k].score >= 0.5)
+
+
+def test_scoring_takes_little_memory_at_once():
+    texts = pa.array(["Some words, and Some more: of them " * 60] * 4000)  # 8 MB
+    tracemalloc.start()
+    try:
+        for _, data, offsets in tx.slices(texts):
+            quality.features(data, offsets)
+        assert tracemalloc.get_traced_memory()[1] < 64_000_000
+    finally:
+        tracemalloc.stop()
