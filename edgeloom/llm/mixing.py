@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm.storage import stored, table
-from edgeloom.operators.prefix import running
+from edgeloom.operators.prefix import lookup, running
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 ROWS_PER_SLICE = 2_000
+MAX_SOURCES = 10_000  # that are broadcast
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,7 +66,8 @@ def mix(
 
     The order is cut into slices of the hash, which is uniform, so a slice of
     a source has about ``rows_per_slice`` rows at most, whatever the source's
-    share. Sums of slices are accumulated, then the documents of each slice.
+    share. Sums of slices are accumulated, then the documents of the one slice
+    of each source that its target cuts; all other documents stay where they are.
 
     Null text: size 0, taken 0. A null source is a source. Null doc_ids and
     repeated rows are ordered by size. Columns of ``docs`` with the new names
@@ -76,11 +78,12 @@ def mix(
     source = F.col("source").cast("string")
     slices = docs.count() // rows_per_slice + 1
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    cut = docs.select(
-        *own, n_words(F.col("text")).alias("size"),
-        F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("_sid"), key.alias("_key"),
+    placed = docs.select(
+        *own, F.struct(source.isNull().alias("none"), F.coalesce(source, F.lit("")).alias("name")).alias("_sid"), key.alias("_key"),
         F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("bigint") * F.lit(slices) / F.lit(2.0 ** 32)).cast("bigint").alias("_piece"))
-    sums = stored(cut.groupBy("_sid", "_piece").agg(F.sum("size").alias("words")), "slices")
+    size = n_words(F.col("text")).alias("size")
+    sums = stored(placed.select("_sid", "_piece", size).groupBy("_sid", "_piece").agg(
+        F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "slices")
     per = sums.groupBy("_sid").agg(F.sum("words").alias("source_size")).select(
         F.when(~F.col("_sid.none"), F.col("_sid.name")).alias("source"), "source_size")
     plan = source_targets(per, weights, max_epochs).select(
@@ -89,13 +92,23 @@ def mix(
     words = F.floor("target").cast("bigint")
     epochs = F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     before = running(sums, "_piece", {"upto": ("words", "sum")}, ["_sid"], rows=sums.count()).join(plan, "_sid").select(
-        "_sid", "_piece", "source_size", "target", epochs.alias("_epochs"),
+        "_sid", "_piece", "words", "rows", "source_size", "target", epochs.alias("_epochs"),
         (words - epochs * F.col("source_size") - (F.col("upto") - F.col("words"))).alias("_rest"))
+    # one slice of a source is cut inside; those before it are taken whole, those after it not at all
+    inner = F.min(F.when(F.col("_rest") < F.col("words"), F.struct(F.col("_piece").alias("piece"), F.col("_rest").alias("rest"))))
+    ends = stored(before.groupBy("_sid", "source_size", "target", "_epochs").agg(inner.alias("_cut"), F.sum("rows").alias("_rows")), "ends")
+    if ends.rows_seen["rows"] <= MAX_SOURCES:
+        joined = placed.join(F.broadcast(ends.drop("_rows")), "_sid")
+    else:
+        joined = lookup(placed, ends, ["_sid"], "_rows", docs.count(), 0)
+    is_cut = F.col("_piece").eqNullSafe(F.col("_cut.piece"))
+    full = F.when(F.col("_cut").isNull() | (F.col("_piece") < F.col("_cut.piece")), F.col("size")).otherwise(F.lit(0).cast("bigint"))
+    uncut = joined.filter(~is_cut).select("*", size).withColumn("_more", full)
     inside = Window.partitionBy("_sid", "_piece").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    extra = F.col("_rest") - (F.col("_upto") - F.col("size"))
-    return cut.withColumn("_upto", F.sum("size").over(inside)).join(before, ["_sid", "_piece"]).select(
-        *own, "size", "source_size", "target",
-        (F.col("_epochs") * F.col("size") + F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), extra))).alias("taken"))
+    extra = F.col("_cut.rest") - (F.sum("size").over(inside) - F.col("size"))
+    some = joined.filter(is_cut).select("*", size).withColumn("_more", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), extra)))
+    out = [*own, "size", "source_size", "target", (F.col("_epochs") * F.col("size") + F.col("_more")).alias("taken")]
+    return uncut.select(*out).unionByName(some.select(*out))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
