@@ -25,6 +25,27 @@ PART_ROWS = 1024  # members of a bucket that meet its centres in one place
 
 
 TASK_ROWS = 1_000_000  # links that one task may connect; more are connected by shuffles
+FEW_ROWS = 50_000  # of buckets, whose centres one task may name
+KEY_WORDS = 1 << 19  # of 64 bits, that ``narrowed`` has for keys
+
+
+def narrowed(rows: DataFrame, keys: Column, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """Rows whose ``keys`` are in ``wanted`` (one column of that type), and few others; nulls go.
+
+    With ``others``, exactly the rows that are not returned without it.
+
+    Each wanted key sets one of 2^25 bits, which are broadcast: ``KEY_WORDS``
+    rows at most, however many keys there are. So of rows that are mostly not
+    wanted, most need not be moved to be told from the others.
+    """
+    bit = lambda key: F.pmod(F.xxhash64(key), F.lit(64 * KEY_WORDS))
+    one = F.lit(1).cast("bigint")
+    place = wanted.select(F.col(wanted.columns[0]).alias("_key")).filter("_key is not null").select(bit(F.col("_key")).alias("_bit"))
+    words = place.groupBy((F.col("_bit") / 64).cast("int").alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", one, (F.col("_bit") % 64).cast("int"))).alias("_bits"))
+    asked = (bit(keys) / 64).cast("int") == F.col("_word")
+    is_set = F.call_function("shiftright", F.col("_bits"), (bit(keys) % 64).cast("int")).bitwiseAND(one) == 1
+    return rows.join(F.broadcast(words), keys.isNotNull() & asked & is_set, "left_anti" if others else "left_semi")
 
 
 def _state() -> dict[str, Column]:
@@ -107,6 +128,20 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.drop("size").join(state.filter("lo < hi and unserved > 1").select("bucket", "size"), "bucket")
 
 
+def _shared(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """What ``_open`` keeps of all members before the first round.
+
+    Most buckets hold one item. Their rows are told by the buckets' smallest
+    and largest root alone and are not moved themselves.
+    """
+    rows = _with_roots(members, roots)
+    several = stored(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "several")
+    some = narrowed(rows, F.col("bucket"), several)
+    out = stored(_open(some.withColumn("served", F.lit(False))).distinct(), "buckets")
+    discard(several)
+    return out
+
+
 def _one_of_each(rows: DataFrame) -> DataFrame:
     """Rows of one bucket of all that have the same items: the others would only repeat its pairs."""
     item = F.col("item")
@@ -135,7 +170,7 @@ def groups(
     are needed, by default) the rows of buckets that are not settled are
     returned too; they are empty if all are.
     """
-    shared = stored(_open(_with_roots(members, roots).withColumn("served", F.lit(False))).distinct(), "buckets")
+    shared = _shared(members, roots)
     once = stored(_one_of_each(shared), "buckets")
     discard(shared)
     shared = once
@@ -146,15 +181,17 @@ def groups(
     discard(shared)
     while grown.rows_seen["rows"] and turn != turns:
         some = min(32 ** turn, MAX_CENTRES)
+        few = grown.rows_seen["rows"] <= FEW_ROWS
+        once = grown.coalesce(1) if few else grown
         # centres: each of ``some`` parts of a bucket names one member that has not served yet
         part = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(some))
         named = (
-            grown.filter("not served").withColumn("part", part)
+            once.filter("not served").withColumn("part", part)
             .groupBy("bucket", "part").agg(F.min(_order(turn)).alias("m"))
             .select("bucket", F.col("m").bitwiseXOR(F.xxhash64(F.lit(turn))).alias("item"), F.lit(True).alias("now"))
         )
         marked = stored(
-            grown.join(named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "centres")
+            once.join(named.hint("merge") if few else named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "centres")
         discard(grown)
         # a large bucket is dealt into parts, and its centres go to each of them
         parts = F.ceil(F.col("size") / PART_ROWS).cast("int")

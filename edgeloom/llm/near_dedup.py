@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.llm import text as tx
-from edgeloom.llm.linking import connected, groups
+from edgeloom.llm.linking import connected, groups, narrowed
 from edgeloom.llm.storage import bucketed, discard, stored
 from edgeloom.operators.prefix import lookup
 
@@ -169,10 +169,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     ready: list[DataFrame] = []
 
     def traits(items: DataFrame) -> DataFrame:
-        if not ready:  # full sets of the documents that share any bucket with another one
-            texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-                items.withColumnRenamed("item", "doc_id"), "doc_id", "left_semi")
-            ready.append(bucketed(_full_sets(texts, words), "item", "sets"))
+        if not ready:  # full sets of the documents that share any bucket with another one, and of few others
+            texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+            ready.append(bucketed(_full_sets(narrowed(texts, F.col("doc_id"), items), words), "item", "sets"))
         return items.join(classes.select("item", "n", "parity"), "item")
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -177,3 +177,33 @@ def test_mix_is_exact_and_repeats(spark):
     assert taken == {s: int(np.floor(t)) for s, t in target.items()}
     assert mix(docs.limit(0)).count() == 0
     assert mix(docs.withColumn("text", docs.text.cast("string").substr(1, 0))).agg({"taken": "sum"}).first()[0] == 0
+
+
+def test_narrowed_rows_keep_every_wanted_key(spark, monkeypatch):
+    rows = spark.createDataFrame([(k,) for k in range(-500, 500)] + [(None,)], "k long")
+    wanted = spark.createDataFrame([(k,) for k in range(-500, 500, 50)] + [(None,), (7777,)], "w long")
+    for words, most in ((linking.KEY_WORDS, 22), (1, 600)):
+        monkeypatch.setattr(linking, "KEY_WORDS", words)
+        some, others = ([r.k for r in linking.narrowed(rows, F.col("k"), wanted, o).collect()] for o in (False, True))
+        assert set(range(-500, 500, 50)) <= set(some) and len(some) <= most and None in others
+        assert sorted([*some, *others], key=str) == sorted([*range(-500, 500), None], key=str)
+
+
+def test_mix_moves_only_the_documents_of_cut_slices(spark):
+    docs = spark.createDataFrame([(k, "a b c", "xyz"[k % 3]) for k in range(3000)], "doc_id long, text string, source string")
+    mixed = mix(docs, rows_per_slice=50).selectExpr("*", "spark_partition_id() as p")
+    assert mixed.count() == 3000
+    moved = mixed._jdf.queryExecution().optimizedPlan().toString()
+    assert moved.count("Window") == 1 and moved.index("Union") < moved.index("Window")  # one side of the union has none
+    assert mixed.filter("taken not in (0, 3, 6, 9)").count() <= 3
+    assert mixed.groupBy("source", "target").agg(F.sum("taken").alias("t")).filter("abs(t - target) >= 1").isEmpty()
+
+
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_mix_with_many_sources(spark, monkeypatch, most):
+    from edgeloom.llm import mixing
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+    docs = spark.createDataFrame([(k % 190, "a b " * (k % 5), None if k % 7 == 0 else f"s{k % 40}") for k in range(200)], "doc_id long, text string, source string")
+    got = sorted((r.source or "", r.doc_id, r["size"], r.taken) for r in mix(docs, rows_per_slice=20).collect())
+    want = sorted((r.source or "", r.doc_id, r["size"], r.taken) for r in mix(docs).collect())
+    assert got == want and len(got) == 200
