@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.linking import groups
+from edgeloom.llm.linking import groups, narrowed
 from edgeloom.llm.storage import bucketed, discard, stored, table
 from edgeloom.operators.prefix import lookup
 
@@ -157,10 +157,12 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1
     texts: list[DataFrame] = []
 
     def traits(items: DataFrame) -> DataFrame:
-        wanted = distinct.join(items, "item", "left_semi").select("h1", "h2", "item")
+        wanted = stored(distinct.join(items, "item", "left_semi").select("h1", "h2", "item"), "wanted")
+        # lines that are not wanted stay where they are, and copies are combined before the shuffle
+        some = narrowed(_lines(docs, near_chars).select("line", *_key()), F.col("h1"), wanted.select("h1"))
         texts.append(bucketed(
-            _lines(docs, near_chars).select("line", *_key()).join(wanted, ["h1", "h2"])
-            .groupBy("item").agg(F.min("line").alias("line")), "item", "texts"))
+            some.groupBy("h1", "h2").agg(F.min("line").alias("line")).join(wanted, ["h1", "h2"]).select("item", "line"), "item", "texts"))
+        discard(wanted)
         return texts[0].select("item", F.char_length("line").alias("n"), bigram_parity(F.col("line")).alias("parity"))
 
     def may_link(p: str, q: str) -> Column:
@@ -221,16 +223,21 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = 1,
         lambda w: F.coalesce(F.get(F.filter("_line_words", lambda x: x["w"] == w), 0)["bits"], F.lit(0).cast("bigint")))
     keep = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     lines = F.split("text", "\n")
-    both = docs.join(drops.withColumn("_line_bits", dense).drop("_line_words"), docs["doc_id"] == F.col("_line_doc"), "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines")
+    # documents that lose no line stay where they are; the drops grow with the corpus, so they are merged, not broadcast
+    losing = drops.select("_line_doc")
+    some, others = narrowed(docs, F.col("doc_id"), losing), narrowed(docs, F.col("doc_id"), losing, others=True)
+    both = some.join(
+        drops.withColumn("_line_bits", dense).drop("_line_words").hint("merge"), F.col("doc_id") == F.col("_line_doc"), "left")
     bit = lambda k: F.call_function("shiftright", F.coalesce(F.get("_line_bits", (k / 64).cast("int")), F.lit(0).cast("bigint")), k % 64)
     kept = F.filter(lines, lambda x, k: bit(k).bitwiseAND(F.lit(1)) == 0)
     touched = F.col("_line_bits").isNotNull() & F.col("text").isNotNull()
-    return both.select(
-        *[docs[c] for c in keep],
-        F.when(touched, F.array_join(kept, "\n")).otherwise(docs["text"]).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
+    cut = both.select(
+        *keep,
+        F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text"), n_lines,
         F.when(touched, F.size(lines) - F.size(kept)).otherwise(0).cast("bigint").alias("n_removed"),
     )
+    return cut.unionByName(others.select(*keep, "text", n_lines, F.lit(0).cast("bigint").alias("n_removed")))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,3 +154,11 @@ def test_long_documents_and_clashing_columns(spark):
     got = {r.doc_id: r for r in ln.dedup_lines(docs).collect()}
     assert got[1].n_lines == 140_000 and got[1].n_removed == 70_000 and got[1].text == "\n".join(f"line {k}" for k in range(70_000))
     assert (got[2].text, got[2].n_lines, got[2].n_removed, got[2]._id) == ("other", 2, 1, "j")
+
+
+def test_documents_that_lose_no_line_stay_where_they_are(spark):
+    rows = [(k, f"a line that only document {'abcdefghij'[k] * 9} has") for k in range(10)] + [(20, "a line of two documents"), (21, "a line of two documents")]
+    got = ln.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {k: int(k == 21) for k, _ in rows}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan and "Join LeftAnti" in plan and plan.startswith("Union")
