@@ -5,7 +5,9 @@ few members are centres, and every other member is compared with each of
 them. Members already known to belong together need no comparison. A bucket
 takes part in further rounds, with 32 times as many centres each time, until all
 its members belong together or every pair of different groups has had one end
-as a centre. So no link that the buckets allow is lost. Pairs that cannot be
+as a centre. So no link that the buckets allow is lost. In a bucket of at most
+``PART_ROWS`` members all are centres from the second round on, so its rows
+are not moved a third time. Pairs that cannot be
 linked are sorted out in the join itself; a large bucket meets its centres in
 many places, so its work is spread, though a bucket of many members none of
 which are alike still has each of them compared with all.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from edgeloom.llm.storage import discard, stored
 
 MAX_CENTRES = 32_768  # of a bucket and round; a bucket with more members takes more rounds
-PART_ROWS = 1024  # members of a bucket that meet its centres in one place
+PART_ROWS = 1024  # members of a bucket that meet its centres in one place; the second round settles a bucket of no more
 
 
 TASK_ROWS = 1_000_000  # links that one task may connect; more are connected by shuffles
@@ -185,29 +187,33 @@ def groups(
         once = grown.coalesce(1) if few else grown
         # centres: each of ``some`` parts of a bucket names one member that has not served yet
         part = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(some))
+        last_turn = F.col("size") <= PART_ROWS if turn else F.lit(False)  # all members of these buckets are centres
+        large = once.filter(~last_turn)
         named = (
-            once.filter("not served").withColumn("part", part)
+            large.filter("not served").withColumn("part", part)
             .groupBy("bucket", "part").agg(F.min(_order(turn)).alias("m"))
             .select("bucket", F.col("m").bitwiseXOR(F.xxhash64(F.lit(turn))).alias("item"), F.lit(True).alias("now"))
         )
-        marked = stored(
-            once.join(named.hint("merge") if few else named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False))), "centres")
+        marked = large.join(named.hint("merge") if few else named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False)))
+        if turn:
+            marked = marked.unionByName(once.filter(last_turn).withColumn("now", ~F.col("served")))
+        marked = stored(marked, "centres")
         discard(grown)
-        # a large bucket is dealt into parts, and its centres go to each of them
+        # a large bucket is dealt into parts, and its centres go to each of them; who has served has met them all
         parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
-        dealt = marked.withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn), F.lit(1)), parts).cast("int"))
+        dealt = marked.filter("not served").withColumn("part", F.pmod(F.xxhash64("item", F.lit(turn), F.lit(1)), parts).cast("int"))
         centres = marked.filter("now").select(
             "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("item").alias("centre"),
             F.col("root").alias("c_root"), *[F.col(x).alias(f"c_{x}") for x in extra])
         pairs = stored(
-            dealt.join(centres, ["bucket", "part"]).filter("root <> c_root").filter(may_link("", "c_"))
+            dealt.join(centres, ["bucket", "part"]).filter("root <> c_root and (item < centre or not now)").filter(may_link("", "c_"))
             .select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b")).distinct(), "pairs")
-        after = marked
+        after = marked.filter(~last_turn)
         if pairs.rows_seen["rows"]:
             links = stored(verify(pairs), "verified")
             if links.rows_seen["rows"]:
                 roots = _merged(roots, links)
-                after = _with_roots(marked.drop("root"), roots)
+                after = _with_roots(after.drop("root"), roots)
             discard(links)
         grown = stored(_open(after.withColumn("served", F.col("served") | F.col("now")).select(columns)), "open")
         discard(marked, pairs)
