@@ -5,9 +5,12 @@ few members are centres, and every other member is compared with each of
 them. Members already known to belong together need no comparison. A bucket
 takes part in further rounds, with 32 times as many centres each time, until all
 its members belong together or every pair of different groups has had one end
-as a centre. So no link that the buckets allow is lost. In a bucket of at most
-``PART_ROWS`` members all are centres from the second round on, so its rows
-are not moved a third time. Pairs that cannot be
+as a centre. So no link that the buckets allow is lost. Two members outside a
+bucket's largest group, or one and a member of that group, are all that is left
+to compare. So in a bucket of at most ``PART_ROWS`` members all outside of that
+group are centres in the second round, and in the third one in every bucket
+that has no more of them, however large the group is; its rows are not moved
+again. Pairs that cannot be
 linked are sorted out in the join itself; a large bucket meets its centres in
 many places, so its work is spread, though a bucket of many members none of
 which are alike still has each of them compared with all.
@@ -17,15 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.storage import discard, stored
+from edgeloom.llm.storage import discard, packed, stored
 
 MAX_CENTRES = 32_768  # of a bucket and round; a bucket with more members takes more rounds
 PART_ROWS = 1024  # members of a bucket that meet its centres in one place; the second round settles a bucket of no more
 
 
+ROWS_A_TASK, MEMBERS_A_TASK, LINKS_A_TASK = 50_000, 10_000, 20_000  # small tables are written by few tasks
 TASK_ROWS = 1_000_000  # links that one task may connect; more are connected by shuffles
 FEW_ROWS = 50_000  # of buckets, whose centres one task may name
 KEY_WORDS = 1 << 19  # of 64 bits, that ``narrowed`` has for keys
@@ -55,38 +59,40 @@ def _state() -> dict[str, Column]:
     return {"v": F.sum(F.col("v").cast("decimal(38,0)")), "h": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
 
 
-def connected(links: DataFrame) -> DataFrame:
+def connected(links: DataFrame, most: int | None = None) -> DataFrame:
     """``node, root``: the smallest node reached, for every node that reaches a smaller one.
 
-    Alternating large-star and small-star steps; ``links`` has ``a, b`` (bigint).
-    A round over ``TASK_ROWS`` links or fewer is one task without shuffles.
+    Alternating large-star and small-star steps; ``links`` has ``a, b`` (bigint)
+    and, where that is known, ``most`` rows. A round over ``TASK_ROWS`` links or
+    fewer is one task without shuffles: its minima are windows, as a join of
+    estimated size would be dealt out again.
     """
     pair = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
-    edges = stored(
+    edges = stored(packed(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter("u <> v").distinct(), "links", **_state())
-    while True:
+        .filter("u <> v").distinct(), most, LINKS_A_TASK), "links", **_state())
+    while edges.rows_seen["rows"]:
         few = edges.rows_seen["rows"] <= TASK_ROWS
         once = edges.coalesce(1) if few else edges
-        near = (lambda df: df.hint("merge")) if few else (lambda df: df)  # a broadcast would be a job of its own
+        lowest = (lambda df: df.withColumn("m", F.min("v").over(Window.partitionBy("u")))) if few else (
+            lambda df: df.join(df.groupBy("u").agg(F.min("v").alias("m")), "u"))
         both = once.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
-            both.join(near(low), "u").filter(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+            lowest(both).filter(F.col("v") > F.col("u"))
+            .select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(near(low), "u").select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e"))
+            lowest(large).select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e"))
             .select("e.*").filter("u <> v").distinct()
         )
         last, edges = edges, stored(small, "stars", **_state())
         discard(last)
-        if edges.rows_seen.values() == last.rows_seen.values() or edges.rows_seen["rows"] == 0:
-            once = edges.coalesce(1) if few else edges
-            out = once.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-            out._scratch = edges._scratch
-            return out
+        if edges.rows_seen.values() == last.rows_seen.values():
+            break
+    once = edges.coalesce(1) if edges.rows_seen["rows"] <= TASK_ROWS else edges
+    out = once.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
+    out._scratch, out.links_seen = edges._scratch, edges.rows_seen["rows"]
+    return out
 
 
 def _order(turn: int) -> Column:
@@ -94,11 +100,11 @@ def _order(turn: int) -> Column:
     return F.col("item").bitwiseXOR(F.xxhash64(F.lit(turn)))
 
 
-def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """``item, root`` after ``links`` (a, b) connect further groups; the tables it came from are deleted."""
+def _merged(roots: DataFrame | None, links: DataFrame, most: int) -> DataFrame | None:
+    """``item, root`` after ``links`` (a, b; ``most`` rows) connect further groups; the tables it came from are deleted."""
     if roots is None:
-        moved = connected(links)
-        out = stored(moved.withColumnRenamed("node", "item"), "roots")
+        moved = connected(links, most)
+        out = stored(moved.withColumnRenamed("node", "item"), "roots") if moved.links_seen else None
         discard(moved)
         return out
     ends = (
@@ -106,7 +112,10 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
         .join(roots.select(F.col("item").alias("b"), F.col("root").alias("rb")), "b", "left")
         .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     )
-    moved = connected(ends)
+    moved = connected(ends, most)
+    if not moved.links_seen:
+        discard(moved)
+        return roots
     old = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("r2")), "root", "left")
     new = moved.join(roots.select(F.col("item").alias("node")), "node", "left_anti")
     out = stored(
@@ -123,23 +132,31 @@ def _with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold different groups, and more than one item that has not served; ``size`` is the bucket's."""
-    state = rows.groupBy("bucket").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"),
-        F.sum(F.when(~F.col("served"), 1).otherwise(0)).alias("unserved"))
-    return rows.drop("size").join(state.filter("lo < hi and unserved > 1").select("bucket", "size"), "bucket")
+    """Rows of the buckets in which items that have not served are of different groups.
 
+    ``size`` is the bucket's, ``top`` the largest group of those items and
+    ``apart`` the number of them that are not in it.
+    """
+    waiting = F.count(F.when(~F.col("served"), 1))
+    kinds = rows.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), waiting.alias("w"))
+    state = kinds.groupBy("bucket").agg(
+        F.sum("n").alias("size"), F.sum("w").alias("w"), F.max(F.struct("w", "root")).alias("most"))
+    left = state.filter("most.w < w").select("bucket", "size", F.col("most.root").alias("top"), F.expr("w - most.w").alias("apart"))
+    return rows.drop("size", "top", "apart").join(left, "bucket")
 
-def _shared(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+
+def _shared(members: DataFrame, roots: DataFrame | None, most: int | None) -> DataFrame:
     """What ``_open`` keeps of all members before the first round.
 
     Most buckets hold one item. Their rows are told by the buckets' smallest
     and largest root alone and are not moved themselves.
     """
     rows = _with_roots(members, roots)
-    several = stored(rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"), "several")
+    several = stored(packed(
+        rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket"),
+        most, ROWS_A_TASK), "several")
     some = narrowed(rows, F.col("bucket"), several)
-    out = stored(_open(some.withColumn("served", F.lit(False))).distinct(), "buckets")
+    out = stored(packed(_open(some.withColumn("served", F.lit(False))).distinct(), most, ROWS_A_TASK), "buckets")
     discard(several)
     return out
 
@@ -159,27 +176,28 @@ def groups(
     may_link: Callable[[str, str], Column],
     roots: DataFrame | None = None,
     turns: int | None = None,
+    most: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``item, root``: the smallest item reached through links, for every item that reaches a smaller one.
 
     ``members``: ``bucket, item`` (bigint). ``traits`` gets the items (distinct) that
     share a bucket and adds what ``may_link`` needs of each.
-    ``verify`` gets ``a, b`` (a < b, distinct) and returns the pairs that are linked.
+    ``verify`` gets ``a, b`` (a < b, distinct, a ``stored`` table) and returns the pairs that are linked.
     ``may_link`` is a condition on the traits of both (given the prefixes of the
     two names) without which a pair cannot be linked; it is part of the join of
     a bucket with its centres, so pairs that fail it are never made.
     ``roots`` are groups that are known before. After ``turns`` rounds (all that
     are needed, by default) the rows of buckets that are not settled are
-    returned too; they are empty if all are.
+    returned too; they are empty if all are. ``most``: no fewer than the rows of
+    ``members``, if known; it bounds the number of files.
     """
-    shared = _shared(members, roots)
-    once = stored(_one_of_each(shared), "buckets")
-    discard(shared)
-    shared = once
+    shared = _shared(members, roots, most)
     known = traits(shared.select("item").distinct())
     extra = [c for c in known.columns if c != "item"]
-    columns = ["bucket", "item", "root", "served", "size", *extra]
-    grown, turn = stored(shared.join(known, "item").select(columns), "members"), 0
+    columns = ["bucket", "item", "root", "served", "size", "top", "apart", *extra]
+    pack = lambda df: packed(df, grown.rows_seen["rows"], MEMBERS_A_TASK)
+    grown, turn = shared, 0
+    grown = stored(pack(_one_of_each(shared).join(known, "item").select(columns)), "members")
     discard(shared)
     while grown.rows_seen["rows"] and turn != turns:
         some = min(32 ** turn, MAX_CENTRES)
@@ -187,7 +205,8 @@ def groups(
         once = grown.coalesce(1) if few else grown
         # centres: each of ``some`` parts of a bucket names one member that has not served yet
         part = F.pmod(F.xxhash64("item", F.lit(turn)), F.lit(some))
-        last_turn = F.col("size") <= PART_ROWS if turn else F.lit(False)  # all members of these buckets are centres
+        # all outside the largest group of these buckets are centres; of a large bucket, few are left there after two rounds
+        last_turn = F.lit(False) if not turn else F.col("apart" if turn > 1 else "size") <= PART_ROWS
         large = once.filter(~last_turn)
         named = (
             large.filter("not served").withColumn("part", part)
@@ -196,8 +215,8 @@ def groups(
         )
         marked = large.join(named.hint("merge") if few else named, ["bucket", "item"], "left").withColumn("now", F.coalesce("now", F.lit(False)))
         if turn:
-            marked = marked.unionByName(once.filter(last_turn).withColumn("now", ~F.col("served")))
-        marked = stored(marked, "centres")
+            marked = marked.unionByName(once.filter(last_turn).withColumn("now", ~F.col("served") & (F.col("root") != F.col("top"))))
+        marked = stored(pack(marked), "centres")
         discard(grown)
         # a large bucket is dealt into parts, and its centres go to each of them; who has served has met them all
         parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
@@ -205,18 +224,17 @@ def groups(
         centres = marked.filter("now").select(
             "bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("item").alias("centre"),
             F.col("root").alias("c_root"), *[F.col(x).alias(f"c_{x}") for x in extra])
-        pairs = stored(
+        pairs = stored(packed(
             dealt.join(centres, ["bucket", "part"]).filter("root <> c_root and (item < centre or not now)").filter(may_link("", "c_"))
-            .select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b")).distinct(), "pairs")
+            .select(F.least("item", "centre").alias("a"), F.greatest("item", "centre").alias("b")).distinct(),
+            grown.rows_seen["rows"], MEMBERS_A_TASK // 10), "pairs")
         after = marked.filter(~last_turn)
         if pairs.rows_seen["rows"]:
-            links = stored(verify(pairs), "verified")
-            if links.rows_seen["rows"]:
-                roots = _merged(roots, links)
-                after = _with_roots(after.drop("root"), roots)
-            discard(links)
-        grown = stored(_open(after.withColumn("served", F.col("served") | F.col("now")).select(columns)), "open")
-        discard(marked, pairs)
+            before, roots = roots, _merged(roots, verify(pairs), pairs.rows_seen["rows"])
+            if roots is not before:
+                after = stored(pack(_with_roots(after.drop("root"), roots)), "rooted")  # read twice
+        grown = stored(pack(_open(after.withColumn("served", F.col("served") | F.col("now")).select(columns)).select(columns)), "open")
+        discard(marked, pairs, after)
         turn += 1
     if roots is None:
         roots = grown.select("item", "root").limit(0)

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm import text as tx
 from edgeloom.llm.linking import connected, groups, narrowed
-from edgeloom.llm.storage import bucketed, discard, stored
+from edgeloom.llm.storage import bucketed, discard, packed, stored
 from edgeloom.operators.prefix import lookup
 
 STAR_TURNS = 3  # rounds of stars in the buckets of bands; what they leave open goes by rare shingles
 PARITY_WORDS = 8  # of 64 bits
+DOCS_A_TASK, PAIRS_A_TASK = 5000, 2000  # at least; small tables need few tasks
 ROWS, BANDS = 5, 25  # a pair at similarity 0.85 shares no band once in two million, at 0.8 once in 20,000
 
 
@@ -162,9 +163,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     """
     seen = stored(sketches(docs, words, rows, bands), "sketches")
     named = seen.filter("doc_id is not null and n > 0")
-    classes = stored(
+    classes = stored(packed(
         named.groupBy("set_id").agg(F.min("doc_id").alias("item"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-                                    F.first("buckets").alias("buckets"), F.first("parity").alias("parity")), "classes")
+                                    F.first("buckets").alias("buckets"), F.first("parity").alias("parity")),
+        seen.rows_seen["rows"], DOCS_A_TASK), "classes")
     buckets = classes.select("item", F.explode("buckets").alias("bucket"))
     ready: list[DataFrame] = []
 
@@ -180,7 +182,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
             pairs.join(sets.select(F.col("item").alias("a"), F.col("members").alias("x")), "a")
             .join(sets.select(F.col("item").alias("b"), F.col("members").alias("y")), "b")
         )
-        return found.select("a", "b", "x", "y").mapInArrow(_similar(percent), "a bigint, b bigint").distinct()
+        return packed(found.select("a", "b", "x", "y"), pairs.rows_seen["rows"], PAIRS_A_TASK).mapInArrow(
+            _similar(percent), "a bigint, b bigint")
 
     def may_link(p: str, q: str):
         sizes = 100 * F.least(f"{p}n", f"{q}n") >= percent * F.greatest(f"{p}n", f"{q}n")
@@ -188,23 +191,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         apart = sum((F.bit_count(F.col(f"{p}parity")[k].bitwiseXOR(F.col(f"{q}parity")[k])) for k in range(PARITY_WORDS)), F.lit(0))
         return sizes & ((100 - percent) * (F.col(f"{p}n") + F.col(f"{q}n")) >= (100 + percent) * apart)
 
-    roots, unsettled = groups(buckets, verify, traits, may_link, turns=STAR_TURNS)
+    roots, unsettled = groups(buckets, verify, traits, may_link, turns=STAR_TURNS, most=seen.rows_seen["rows"] * bands)
     if unsettled.rows_seen["rows"]:
         rest = _rare_buckets(ready[0], unsettled.select("item").distinct(), percent)
         roots, _ = groups(rest, verify, traits, may_link, roots=roots)
     # equal sets follow their representative; rows that share an id join what each of them joins
     reps = lookup(named.select("doc_id", "set_id"), classes.select("set_id", "item", "copies"), ["set_id"], "copies",
                   seen.rows_seen["rows"], 0).select(F.col("doc_id").alias("a"), F.col("item").alias("b")).distinct()
-    answer = stored(_answer(seen, reps, roots), "answer")
-    discard(seen, classes, roots, unsettled, *ready)
+    nodes = stored(packed(
+        reps.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("b2")), seen.rows_seen["rows"], DOCS_A_TASK), "nodes")
+    answer = stored(packed(_answer(seen, reps, nodes, roots), seen.rows_seen["rows"], DOCS_A_TASK), "answer")
+    discard(seen, classes, roots, unsettled, nodes, *ready)
     return answer
 
 
-def _answer(seen: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    several = reps.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("b2"))
-    whole = several.join(roots.withColumnRenamed("item", "b"), "b", "left").select(
+def _answer(seen: DataFrame, reps: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    whole = nodes.join(roots.withColumnRenamed("item", "b"), "b", "left").select(
         "a", F.coalesce("root", "b").alias("root"))
-    if not several.filter("b <> b2").isEmpty():  # a doc_id with several texts: one more pass over stars
+    if not nodes.filter("b <> b2").isEmpty():  # a doc_id with several texts: one more pass over stars
         stars = reps.unionByName(roots.select(F.col("item").alias("a"), F.col("root").alias("b")))
         whole = connected(stars).withColumnRenamed("node", "a")
     return seen.join(whole.select(F.col("a").alias("doc_id"), "root"), "doc_id", "left").select(

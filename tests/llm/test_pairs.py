@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import linking, near_dedup, queries
+from edgeloom.llm import linking, near_dedup, queries, storage
 from edgeloom.llm.linking import connected, groups
 from edgeloom.llm.mixing import mix, source_targets
 
@@ -137,6 +137,37 @@ def test_a_bucket_of_unlike_members_is_settled_in_two_rounds(spark, monkeypatch,
         assert {tuple(r) for r in got.collect()} == {(38, 3)}
 
 
+@pytest.mark.parametrize("size", [300, 600])
+def test_a_large_family_is_settled_in_three_rounds(spark, monkeypatch, size):
+    # more than PART_ROWS members, all but 20 of them linked with any other one
+    monkeypatch.setattr(linking, "PART_ROWS", 32)
+    members = spark.createDataFrame([(b, k) for b in (1, 2) for k in range(size)] + [(2, size)], "bucket long, item long")
+    rounds = []
+
+    def verify(pairs):
+        rounds.append(pairs.count())
+        return pairs.filter(f"a >= 20 or (a = 3 and b = {size - 1}) or (a = 5 and b = 7)")
+
+    got, left = groups(members, verify, lambda items: items, lambda p, q: F.lit(True), turns=3)
+    assert left.isEmpty() and len(rounds) <= 3  # members of the family that meet no centre any more are not left open
+    assert sum(rounds) <= 60 * size  # in proportion to the family
+    want = roots_of(range(size + 1), [(20, k) for k in range(21, size + 1)] + [(3, size - 1), (5, 7)])
+    assert {r["item"]: r["root"] for r in got.collect()} == {k: v for k, v in want.items() if k != v}
+
+
+def test_few_links_are_connected_in_one_task(spark, monkeypatch):
+    # also where joins of estimated size are dealt out again
+    monkeypatch.setattr(linking, "stored", lambda df, what, **asked: (seen.append((what, df)), kept(df, what, **asked))[1])
+    seen, kept = [], storage.stored
+    links = spark.createDataFrame([(k, k + 1) for k in range(50)], "a long, b long")
+    assert {r.node: r.root for r in connected(links, 50).collect()} == {k: 0 for k in range(1, 51)}
+    assert {what for what, _ in seen} == {"links", "stars"}
+    for what, df in seen:
+        assert df.rdd.getNumPartitions() == 1
+        if what == "stars":
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_large_buckets_meet_in_parts(spark, monkeypatch):
     monkeypatch.setattr(linking, "PART_ROWS", 3)
     rng = np.random.default_rng(2)
